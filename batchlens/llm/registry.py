@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from batchlens.llm.chat import op9_chat_formatting
 from batchlens.llm.decontam import op4_decontamination
+from batchlens.llm.jaccard_join import op6_jaccard_join
 from batchlens.llm.packing import op10_best_fit_packing
 from batchlens.llm.rans import op2_rans_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rans_tokens": op2_rans_tokens,
     "op4_decontamination": op4_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
