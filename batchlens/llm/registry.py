@@ -11,10 +11,12 @@ from batchlens.llm.decontam import op4_decontamination
 from batchlens.llm.jaccard_join import op6_jaccard_join
 from batchlens.llm.packing import op10_best_fit_packing
 from batchlens.llm.rans import op2_rans_tokens
+from batchlens.llm.secrets import op5_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rans_tokens": op2_rans_tokens,
     "op4_decontamination": op4_decontamination,
+    "op5_secret_scans": op5_secret_scans,
     "op6_jaccard_join": op6_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
