@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from batchlens.llm.chat import op9_chat_formatting
 from batchlens.llm.decontam import op4_decontamination
 from batchlens.llm.jaccard_join import op6_jaccard_join
+from batchlens.llm.ngram_lm import op1_ngram_lm
 from batchlens.llm.packing import op10_best_fit_packing
 from batchlens.llm.quality import op3_quality_classifier
 from batchlens.llm.rans import op2_rans_tokens
 from batchlens.llm.secrets import op5_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_lm": op1_ngram_lm,
     "op2_rans_tokens": op2_rans_tokens,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
