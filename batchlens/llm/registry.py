@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from batchlens.llm.ann import op8_nearest_neighbours
 from batchlens.llm.chat import op9_chat_formatting
 from batchlens.llm.decontam import op4_decontamination
 from batchlens.llm.jaccard_join import op6_jaccard_join
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_secret_scans": op5_secret_scans,
     "op6_jaccard_join": op6_jaccard_join,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
