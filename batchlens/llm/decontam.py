@@ -133,47 +133,76 @@ def _in_document(index: Index, shingles: np.ndarray, n_words: int, at: np.ndarra
     return [(item, s, value) for item, (value, s) in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, item_id, first_word, similarity: the best window of each pair with similarity ``least`` or more."""
+def _indexes(benchmark: DataFrame, k: int) -> list[Index]:
+    """The benchmark in indexes of bounded size; each is broadcast in a pass of its own."""
     items = benchmark.select(F.col("item_id").cast("long"), plain_words(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = -(-size // MOST_ITEM_BYTES) or 1
-    parts = []
+    passes, out = -(-size // MOST_ITEM_BYTES), []
     for p in range(passes):
         own = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         got = own.orderBy("item_id", "text").collect()
-        parts.append(_scan(docs, Index([r["item_id"] for r in got], [r["text"] for r in got], k), k, least))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
+        index = Index([r["item_id"] for r in got], [r["text"] for r in got], k)
+        if len(index.ids):
+            out.append(index)
     return out
 
 
-def _scan(docs: DataFrame, index: Index, k: int, least: float) -> DataFrame:
-    def run(batches):
-        for batch in sliced(batches, "text"):
-            words, bounds = word_hashes(batch.column("text"))
-            shingles, cuts = shingle_hashes(words, bounds, k)
-            at, items = index.hits(shingles)
-            doc = np.searchsorted(cuts, at, "right") - 1
-            rows = []
-            edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-2)) if len(doc) else []
-            for a, b in zip(edges, edges[1:]):
-                d = doc[a]
-                own = _in_document(index, shingles[cuts[d] : cuts[d + 1]], int(bounds[d + 1] - bounds[d]), at[a:b] - cuts[d], items[a:b], k, least)
-                rows += [(d, *x) for x in own]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([int(index.ids[r[1]]) for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()),
-                ],
-                ["doc_id", "item_id", "first_word", "similarity"],
-            )
+def _found(index: Index, column: pa.Array, k: int, least: float) -> list[tuple[int, int, int, float]]:
+    """(row, item, first word, similarity) of the matches in a column of texts."""
+    words, bounds = word_hashes(column)
+    shingles, cuts = shingle_hashes(words, bounds, k)
+    at, items = index.hits(shingles)
+    doc, rows = np.searchsorted(cuts, at, "right") - 1, []
+    edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-2)) if len(doc) else []
+    for a, b in zip(edges, edges[1:]):
+        d = int(doc[a])
+        own = _in_document(index, shingles[cuts[d] : cuts[d + 1]], int(bounds[d + 1] - bounds[d]), at[a:b] - cuts[d], items[a:b], k, least)
+        rows += [(d, *x) for x in own]
+    return rows
+
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, item_id, first_word, similarity: the best window of each pair with similarity ``least`` or more."""
     schema = "doc_id long, item_id long, first_word long, similarity double"
-    if not len(index.ids):
-        return docs.sparkSession.createDataFrame([], schema)
-    return docs.select(F.col("doc_id").cast("long"), plain_words(F.col("text")).alias("text")).mapInArrow(run, schema)
+    out = docs.sparkSession.createDataFrame([], schema)
+    texts = docs.select(F.col("doc_id").cast("long"), plain_words(F.col("text")).alias("text"))
+
+    def scan(index: Index):
+        def run(batches):
+            for batch in sliced(batches, "text"):
+                rows = _found(index, batch.column("text"), k, least)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([int(index.ids[r[1]]) for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()),
+                    ],
+                    ["doc_id", "item_id", "first_word", "similarity"],
+                )
+
+        return run
+
+    for n, index in enumerate(_indexes(benchmark, k)):
+        part = texts.mapInArrow(scan(index), schema)
+        out = out.union(part) if n else part
+    return out
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found."""
+    plain, out = "__plain", docs
+
+    def scan(index: Index):
+        def run(batches):
+            for batch in sliced(batches, plain):
+                keep = np.ones(len(batch), bool)
+                keep[[r[0] for r in _found(index, batch.column(plain), k, least)]] = False
+                yield batch.drop_columns([plain]).filter(pa.array(keep))
+
+        return run
+
+    for index in _indexes(benchmark, k):
+        out = out.withColumn(plain, plain_words(F.col("text"))).mapInArrow(scan(index), docs.schema)
+    return out
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,9 +47,10 @@ def _prefixes(tokens: np.ndarray, times: np.ndarray, percent: int) -> tuple[int,
     return alone, int(np.argmin(cost[:most])) + 1, tokens[order], level
 
 
-def _shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _shingle_sets(docs: DataFrame, k: int, percent: int, key: str | None) -> DataFrame:
     """Of each row: the size and signature of its set, its prefix, and (where it can match at all) the set."""
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = [F.col(key).cast("long").alias("key")] if key else []
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
 
     def shingles(batch):
         return np.concatenate([shingle_hashes(*word_hashes(b.column("text")), k)[0] for b in sliced([batch], "text")] or [np.zeros(0, np.uint64)])
@@ -73,9 +74,11 @@ def _shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 rows.append((len(s), *sig, alone, matches, tokens.view(np.int64), level, s.astype("<u8").tobytes() if len(tokens) else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             names = ["doc_id", "n", "sig1", "sig2", "first", "matches", "tokens", "levels", "items"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names)
+            keys = [batch.column("key")] if key else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), *keys], names + ["key"] * bool(key))
 
-    return scratch.saved(text.mapInArrow(run, _SETS).withColumn("key", F.monotonically_increasing_id()), "shingle-sets")
+    sets = text.mapInArrow(run, _SETS + ", key long" * bool(key))
+    return scratch.saved(sets if key else sets.withColumn("key", F.monotonically_increasing_id()), "shingle-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -97,9 +100,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scratch.saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "linked")
 
 
-def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, key (of the row), n_shingles, class_id, component_id of every row of ``docs`` (doc_id, text)."""
-    sets = _shingle_sets(docs, k, percent)
+def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, key: str | None = None) -> DataFrame:
+    """doc_id, key (of the row), n_shingles, class_id, part, component_id of every row of ``docs`` (doc_id, text).
+
+    ``key`` names a column that differs for each row; without one, rows are numbered. Rows of one component have the same ``part``.
+    """
+    sets = _shingle_sets(docs, k, percent, key)
     sig = ["n", "sig1", "sig2"]
     classes = sets.where("n > 0").groupBy(*sig).agg(F.min("key").alias("class"), F.min("doc_id").alias("low"))
     classes = scratch.saved(classes, "classes")
@@ -135,6 +141,15 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     return rows.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("class", "key").alias("class_id"), "part", own.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that with the smallest doc_id (nulls last), then the first."""
+    key = "__row"
+    rows = scratch.saved(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    links = linked_documents(rows, k, percent, key)
+    first = links.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
+    return rows.join(first.select(F.col("f.key").alias(key)), key, "left_semi").select(*docs.columns)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return linked_documents(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")

@@ -127,20 +127,26 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Voter
     return Voters(x, rows["label"].to_numpy())
 
 
-def scored(docs: DataFrame, voters: Voters | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and a column ``score`` for every row."""
+def scored(docs: DataFrame, voters: Voters | None, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score, as column ``name``, for every row."""
     names = [c for c in keep if c != "text"]
     kept = docs.select(*names, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema) + f", `{name}` double"
 
     def run(batches):
         for batch in sliced(batches, "text"):
             score = voters.scores(features(batch.column("text"))) if voters else np.full(len(batch), 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, name])
 
     return kept.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose score is ``cut`` or more."""
+    out = scored(docs, trained(docs, labels), docs.columns, "__score")
+    return out.where(F.col("__score") >= cut).drop("__score")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = scored(docs, trained(docs, labels), ["doc_id"])
