@@ -10,6 +10,7 @@ from batchlens.llm.ann import op8_nearest_neighbours
 from batchlens.llm.chat import op9_chat_formatting
 from batchlens.llm.decontam import op4_decontamination
 from batchlens.llm.jaccard_join import op6_jaccard_join
+from batchlens.llm.licenses import op7_license_scans
 from batchlens.llm.ngram_lm import op1_ngram_lm
 from batchlens.llm.packing import op10_best_fit_packing
 from batchlens.llm.quality import op3_quality_classifier
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_secret_scans": op5_secret_scans,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_license_scans": op7_license_scans,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
