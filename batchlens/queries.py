@@ -1,11 +1,316 @@
-"""The queries over the driver's tables and the SQL that they equal."""
+"""The queries over the driver's tables, and the SQL that they equal.
+
+Every check runs over the batch view of ``testbed``; both sides return the check's detail rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from batchlens.functions.labels import isotope_label, line_label, mass_label
+from batchlens.functions.units import UNIT_FACTORS, converted, parsed_concentration
+from batchlens.operators import pairs, recoveries
+from batchlens.plans.engine import CATALOG, outcomes, verdict
+from batchlens.sources.crm import PATTERNS, VALUES
+from batchlens.sources.profile import column_profile, redacted_column
+from batchlens.sources.tables import HEADER_CASES, collapsed_headers, merged_counts, split_flags
+from batchlens.testbed import VIEW, batch_frames
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_LOQ = {"loq_ppb": {"default": 0.1}}
+_EVERY = (
+    VIEW
+    + """, ana as (select b.batch_id, concat('L', cast(g.n as varchar(4))) as label, cast(g.n as int) as pos from (select distinct batch_id from sm) b cross join (select unnest(range(1, 8)) as n) g),
+er as (select s.batch_id, s.seq, s.name, s.sample_type, s.level, s.parent_name, a.label, a.pos, r.conc, r.intensity, coalesce(r.below_dl, false) as below_dl, r.dl, r.rsd_pct
+  from sm s join ana a on a.batch_id = s.batch_id left join rs r on r.batch_id = s.batch_id and r.seq = s.seq and r.label = a.label),
+std as (select *, count(*) over (partition by batch_id) as n_std, min(level) over (partition by batch_id) as lo_level,
+  row_number() over (partition by batch_id order by level, seq) as i from sm where sample_type = 'CAL_STD' and level <> 0)
+"""
+)
+_PCT = "case when level <> 0 then conc * 100 / level end"
+_BOUND = "case when level <> 0 and conc is null and below_dl then dl * 100 / level end"
+
+
+def _ok(lo: str, hi: str) -> str:
+    return f"case when {_PCT} is not null then {_PCT} between {lo} and {hi} when {_BOUND} < {lo} then false end"
+
+
+def _add(name: str, sql: str | None, columns: list | None = None, params: dict | None = None, check=None):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = (check or CATALOG[name])(batch_frames(spark, sf_dir), {**_LOQ, **(params or {})})
+        return got.details.select(*columns) if columns else got.details
+
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = _EVERY + sql
+
+
+def _round(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+_ROW = ["batch_id", "row_pos", "name", "label"]
+_SROW = "batch_id, seq as row_pos, name, label"
+_REC = [*_ROW, "recovery_pct", "bound_pct", "ok"]
+
+
+def _recovery_sql(kind: str, lo: int, hi: int) -> str:
+    return f"select {_SROW}, {_PCT} as recovery_pct, {_BOUND} as bound_pct, {_ok(str(lo), str(hi))} as ok from er where sample_type = '{kind}'"
+
+
+_add("cal_linearity", """
+, g as (select batch_id, label, count(*) as n, regr_sxx(conc, level) as sxx, regr_syy(conc, level) as syy, regr_sxy(conc, level) as sxy
+  from er where sample_type = 'CAL_STD' and level <> 0 and conc is not null group by batch_id, label),
+e as (select a.batch_id, a.label, coalesce(g.n, 0) as n, case when sxx <= 0 or syy <= 0 then 0.0 else sxy / sqrt(sxx * syy) end as r
+  from ana a left join g on g.batch_id = a.batch_id and g.label = a.label where a.batch_id in (select batch_id from std where n_std >= 3))
+select batch_id, label, n, case when n >= 3 then round(r, 6) end as r, case when n >= 3 then r >= 0.998 end as ok from e
+""", ["batch_id", "label", "n", *_round("r"), "ok"])
+_LOW = "case when level = lo_level then {} else {} end"
+_add("cal_back_calc", f"""
+select e.batch_id, e.seq as row_pos, e.name, e.label, e.level, e.level = lo_level as lowest_level, {_PCT.replace('level', 'e.level')} as recovery_pct,
+  {_ok(_LOW.format(70, 90), _LOW.format(130, 110)).replace('level', 'e.level').replace('lo_e.level', 'lo_level')} as ok
+from er e join std s on s.batch_id = e.batch_id and s.seq = e.seq where n_std >= 3
+""", [*_ROW, "level", "lowest_level", "recovery_pct", "ok"])
+_add("cal_low_std", f"""
+select e.batch_id, e.seq as row_pos, e.name, e.label, e.level, {_PCT.replace('level', 'e.level')} as recovery_pct, {_ok('90', '110').replace('level', 'e.level')} as ok
+from er e join std s on s.batch_id = e.batch_id and s.seq = e.seq where s.i = 1
+""", [*_ROW, "level", "recovery_pct", "ok"], {"window_pct": [90, 110]})
+_add("cal_heteroscedasticity", """
+, h as (select e.batch_id, e.label, case when s.i <= n_std // 2 then 'low' when s.i > n_std - n_std // 2 then 'high' end as side, abs(e.conc - e.level) / e.level * 100 as err
+  from er e join std s on s.batch_id = e.batch_id and s.seq = e.seq where n_std >= 4),
+g as (select batch_id, label, count(err) filter (where side = 'low') as n_low, count(err) filter (where side = 'high') as n_high,
+  median(err) filter (where side = 'low') as lo, median(err) filter (where side = 'high') as hi from h where side is not null group by batch_id, label),
+r as (select *, case when n_low >= 2 and n_high >= 2 and hi > 0 then lo / hi end as ratio from g)
+select batch_id, label, n_low, n_high, round(lo, 6) as low_err_pct, round(hi, 6) as high_err_pct, coalesce(ratio > 1.1 and lo >= 5, false) as flagged,
+  case when ratio is null then null when coalesce(ratio > 1.1 and lo >= 5, false) then false else true end as ok from r
+""", ["batch_id", "label", "n_low", "n_high", *_round("low_err_pct", "high_err_pct"), "flagged", "ok"], {"max_ratio": 1.1, "min_low_err_pct": 5, "on_exceed": "fail"})
+_add("icv_recovery", _recovery_sql("ICV", 90, 110), _REC)
+_add("ccv_recovery", _recovery_sql("CCV", 90, 110), _REC)
+_add("lcs_recovery", _recovery_sql("LCS", 92, 108), _REC, {"window_pct": [92, 108]})
+_SEGMENTS = """
+, g as (select *, 1 + coalesce(sum(case when {mark} then 1 else 0 end) over (partition by batch_id order by {order} rows between unbounded preceding and 1 preceding), 0) as segment from {rows}),
+t as (select batch_id, cast(segment as bigint) as segment, count(*) filter (where {counted}) as analyses, bool_or({mark}) as closed from g group by batch_id, segment)
+select batch_id, segment, analyses, closed, case when closed then analyses <= 10 else false end as ok from t
+where (closed or analyses > 0) and batch_id in (select batch_id from g where {mark})
+"""
+_ANALYSES = "sample_type in ('MB','LCS','SAMPLE','DUP','MS','MSD','SERIAL_DIL','POST_SPIKE')"
+_add("ccv_frequency", _SEGMENTS.format(mark="sample_type = 'CCV'", order="seq", rows="sm", counted=_ANALYSES), ["batch_id", "segment", "analyses", "closed", "ok"])
+
+
+def _blank_sql(kinds: str, limit: str) -> str:
+    return f"""
+select {_SROW}, conc, case when conc is not null or below_dl then cast({limit} as double) end as limit_ppb, case when conc is null then dl end as dl,
+  case when conc is not null then abs(conc) < cast({limit} as double) when below_dl and dl <= cast({limit} as double) then true end as ok
+from er where sample_type in ({kinds})"""
+
+
+_BLANK = [*_ROW, "conc", "limit_ppb", "dl", "ok"]
+_add("icb_ccb_blank", _blank_sql("'ICB', 'CCB'", "0.1"), _BLANK)
+_add("method_blank", _blank_sql("'MB'", "0.05"), _BLANK, {"limit": "1/2 LOQ"})
+_add("blank_derived_lod", """
+, k as (select batch_id from sm where sample_type in ('ICB', 'CCB') group by batch_id having count(*) >= 3),
+g as (select batch_id, label, count(conc) as n, case when count(conc) >= 3 then stddev_samp(conc) end as sd from er where sample_type in ('ICB', 'CCB') group by batch_id, label)
+select batch_id, label, n, round(sd, 6) as sd, round(sd * 3, 6) as derived_lod, round(sd * 10, 6) as derived_loq, coalesce(sd * 10 > 0.1, false) as over,
+  case when sd is null then null when sd * 10 > 0.1 then false else true end as ok from g where batch_id in (select batch_id from k)
+""", ["batch_id", "label", "n", *_round("sd", "derived_lod", "derived_loq"), "over", "ok"], {"after_calibration": False, "on_exceed": "fail"})
+_add("precision_rsd", """
+, a as (select *, rsd_pct is not null and (case when intensity is not null then intensity >= 20000 when conc is not null then conc > 1.0 else false end) as assessed from er)
+select batch_id, label, count(*) filter (where assessed) as n_assessed, count(*) filter (where assessed and rsd_pct > 7) as n_over, max(rsd_pct) filter (where assessed) as max_rsd_pct,
+  case when count(*) filter (where assessed and rsd_pct > 7) > 0 then arg_max(name, struct_pack(r := rsd_pct, t := -seq)) filter (where assessed) end as worst_sample,
+  case when count(*) filter (where assessed) > 0 then count(*) filter (where assessed and rsd_pct > 7) = 0 end as ok
+from a group by batch_id, label
+""", ["batch_id", "label", "n_assessed", "n_over", "max_rsd_pct", "worst_sample", "ok"], {"max_rsd_pct": 7, "min_intensity_cps": 20000})
+_add("instrument_flags", """
+, f as (select batch_id, seq, label, row_number() over (partition by batch_id order by seq, label) as ord from rs where rsd_pct > 7),
+k as (select batch_id, count(*) as total, count(distinct seq) as s from f group by batch_id)
+select batch_id, cast(0 as int) as ord, cast(null as int) as row_pos, cast(null as varchar) as analyte, concat(cast(total as varchar), ' x CPS RSD') as metric, total as n, s as samples_flagged from k
+union all select batch_id, cast(ord as int), seq, label, 'CPS RSD', cast(1 as bigint), null from f where ord <= 60
+union all select batch_id, cast(61 as int), null, null, 'more', total - 60, null from k where total > 60
+""", ["batch_id", F.col("ord").cast("int").alias("ord"), "row_pos", "analyte", "metric", "n", "samples_flagged"])
+_add("istd_recovery", """
+, ref as (select batch_id, avg(istd) as reference from sm where sample_type in ('CAL_STD', 'CAL_BLANK') group by batch_id),
+p as (select s.batch_id, s.seq, istd * 100 / reference as pct from sm s join ref using (batch_id) where sample_type not in ('CAL_STD', 'CAL_BLANK')),
+t as (select ref.batch_id, count(pct) as n, min(pct) as lo, max(pct) as hi, bool_and(pct between 70 and 130) as ok from ref left join p on p.batch_id = ref.batch_id group by ref.batch_id)
+select batch_id, 'IS' as istd_label, cast(null as int) as row_pos, n, round(lo, 6) as min_pct, round(hi, 6) as max_pct, ok from t
+union all select batch_id, 'IS', seq, cast(1 as bigint), round(pct, 6), round(pct, 6), false from p where not pct between 70 and 130
+""", ["batch_id", "istd_label", "row_pos", "n", *_round("min_pct", "max_pct"), "ok"])
+_add("quant_crosscheck", """
+, x as (select e.*, e.intensity / s.istd as response, case when e.sample_type = 'CAL_STD' then e.level when e.sample_type = 'CAL_BLANK' then coalesce(e.level, 0) end as x
+  from er e join sm s on s.batch_id = e.batch_id and s.seq = e.seq),
+cal as (select batch_id, label, regr_slope(response, x) as slope, regr_intercept(response, x) as intercept, regr_sxx(response, x) as sxx, regr_syy(response, x) as syy, regr_sxy(response, x) as sxy,
+  min(x) filter (where x > 0) as lo, max(x) as hi from x where x is not null and response is not null group by batch_id, label having count(*) >= 3),
+fit as (select *, case when sxx <= 0 or syy <= 0 then 0 else sxy / sqrt(sxx * syy) end as r from cal),
+u as (select x.batch_id, x.label, x.conc, (x.response - intercept) / slope as predicted from x join fit on fit.batch_id = x.batch_id and fit.label = x.label
+  where r >= 0.3 and slope <> 0 and sample_type not in ('CAL_STD', 'CAL_BLANK') and conc is not null and response is not null and conc between lo and hi and conc > 1.0),
+g as (select batch_id, label, count(*) as n, median(predicted / conc) as med, avg(predicted / conc) as mean, stddev_samp(predicted / conc) as sd, max(abs(predicted - conc) / conc * 100) as worst
+  from u where predicted > 0 group by batch_id, label having count(*) >= 2)
+select batch_id, label, n, round(med, 6) as median_ratio, round(sd / abs(mean) * 100, 5) as cv_pct, round(worst, 5) as worst_pct from g
+union all select batch_id, label, 0, null, null, null from fit where not (r >= 0.3 and slope is not null and slope <> 0)
+""", ["batch_id", "label", "n", *_round("median_ratio"), F.round("cv_pct", 5).alias("cv_pct"), F.round("worst_pct", 5).alias("worst_pct")], {"min_cal_r": 0.3})
+
+
+def _crm(b, params):
+    spark = b.batches.sparkSession
+    values = spark.createDataFrame([(0, "water", "ug/L", "Xx", 20.0, 0.5, "certified"), (1, "soil", "mg/L", "Xx", 0.03, None, "reference")], VALUES)
+    patterns = spark.createDataFrame([(0, "water", "^S1[0-9]$"), (1, "soil", "^S1"), (1, "soil", "(?i)^s2[0-4]$")], PATTERNS)
+    return recoveries.crm_recovery(b, params, values, patterns)
+
+
+_add("crm_recovery", """
+, m as (select e.*, case when regexp_matches(name, '^S1[0-9]$') then 0 when regexp_matches(name, '^S1') or regexp_matches(name, '(?i)^s2[0-4]$') then 1 end as lib from er e),
+x as (select *, case lib when 0 then cast(20 as double) else cast(0.03 as double) * cast(1000 as double) / cast(1 as double) end as expected from m where lib is not null)
+select batch_id, seq as row_pos, name, label, case lib when 0 then 'water' else 'soil' end as crm_id, expected, round(conc * 100 / expected, 6) as recovery_pct,
+  case when lib = 0 then abs(conc - expected) <= 0.5 end as within_ref_uncert,
+  case when conc is not null then conc * 100 / expected between 80 and 120 when below_dl and dl * 100 / expected < 80 then false end as ok from x
+""", [*_ROW, "crm_id", "expected", *_round("recovery_pct"), "within_ref_uncert", "ok"], check=_crm)
+_PARENT = """
+, par as (select batch_id, name as parent_name, min(seq) as parent_pos from sm where sample_type = 'SAMPLE' group by batch_id, name),
+wp as (select e.*, p.parent_pos, r.conc as parent_conc from er e left join par p on p.batch_id = e.batch_id and p.parent_name = e.parent_name
+  left join rs r on r.batch_id = e.batch_id and r.seq = p.parent_pos and r.label = e.label)
+"""
+_add("dup_rpd", _PARENT + f"""
+, d as (select {_SROW}, parent_name, conc, parent_conc, case when parent_pos is not null and not least(conc, parent_conc) <= 2.5 then abs(parent_conc - conc) * 100 / ((parent_conc + conc) / 2) end as rpd_pct
+  from wp where sample_type = 'DUP' and (parent_pos is null or (conc is not null and parent_conc is not null)))
+select *, rpd_pct <= 20 as ok from d
+""", [*_ROW, "parent_name", "conc", "parent_conc", "rpd_pct", "ok"], {"min_conc_x_loq": 25})
+_add("ms_msd", _PARENT + f"""
+, one as (select * from (select *, row_number() over (partition by batch_id, parent_name, sample_type order by seq desc) as i from sm where sample_type in ('MS', 'MSD') and parent_name is not null) where i = 1),
+rec as (select {_SROW}, 'recovery' as kind, case when parent_pos is not null and level <> 0 then (conc - parent_conc) / level * 100 end as value_pct from wp
+  where sample_type in ('MS', 'MSD') and (parent_pos is null or (conc is not null and parent_conc is not null))),
+pr as (select a.batch_id, a.seq as row_pos, a.name, x.label, 'rpd' as kind, abs(x.conc - y.conc) * 100 / ((x.conc + y.conc) / 2) as value_pct
+  from one a join one b on a.batch_id = b.batch_id and a.parent_name = b.parent_name and a.sample_type = 'MS' and b.sample_type = 'MSD'
+  join rs x on x.batch_id = a.batch_id and x.seq = a.seq join rs y on y.batch_id = b.batch_id and y.seq = b.seq and y.label = x.label where x.conc is not null and y.conc is not null)
+select *, value_pct between 75 and 125 as ok from rec union all select *, value_pct <= 20 from pr
+""", [*_ROW, "kind", "value_pct", "ok"])
+_add("serial_dilution", _PARENT + f"""
+, d as (select {_SROW}, parent_name, conc, parent_conc, case when parent_pos is not null and not parent_conc <= 5 then abs(conc - parent_conc / 5) / (parent_conc / 5) * 100 end as diff_pct
+  from wp where sample_type = 'SERIAL_DIL' and (parent_pos is null or (conc is not null and parent_conc is not null)))
+select *, diff_pct <= 10 as ok from d
+""", [*_ROW, "parent_name", "conc", "parent_conc", "diff_pct", "ok"])
+_add("oes_line_agreement", """
+, p as (select x.batch_id, x.label as label_x, y.label as label_y, x.conc as a, y.conc as b, greatest(abs(x.conc), abs(y.conc)) as high
+  from rs x join rs y on x.batch_id = y.batch_id and x.seq = y.seq and x.label < y.label where x.conc is not null and y.conc is not null),
+g as (select batch_id, 'Xx' as element, label_x, label_y, count(*) as n, max(abs(a - b) / high) as worst, count(*) filter (where a > b) as higher from p where high > 1.0 group by all having count(*) >= 2)
+select batch_id, element, label_x, label_y, n, worst, higher, worst <= 0.25 as ok,
+  case when not worst <= 0.25 and cast(greatest(higher, n - higher) as double) / n >= 0.6 then case when higher * 2 >= n then label_x else label_y end end as high_line from g
+""", ["batch_id", "element", "label_x", "label_y", "n", "worst", "higher", "ok", "high_line"], {"systematic_share": 0.6})
+_add("seq_structure", """
+select b.batch_id, t.required, exists (select 1 from sm where sm.batch_id = b.batch_id and sample_type = t.required) as ok
+from (select distinct batch_id from sm) b cross join (select unnest(['ICV', 'ICB', 'MB', 'LCS']) as required) t
+""", ["batch_id", "required", "ok"], {"require": ["ICV", "ICB", "MB", "LCS"]})
+
+_FOLDED = {"icv_recovery": ("ICV", "no ICV samples in batch"), "ccv_recovery": ("CCV", "no CCV samples in batch"), "lcs_recovery": ("LCS", "no LCS in batch"), "method_blank": ("MB", "no method blank in batch")}
+
+
+def check_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome and reason a batch of four checks."""
+    b, out = batch_frames(spark, sf_dir), None
+    for name in _FOLDED:
+        rows = outcomes(b, CATALOG[name](b, {**_LOQ, "window_pct": [85, 115]})).withColumn("check_id", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("batch_id", "check_id", "outcome", "reason")
+
+
+def _outcome_sql() -> str:
+    parts = []
+    for name, (kind, _) in _FOLDED.items():
+        ok = _ok("85", "115") if name != "method_blank" else "case when conc is not null then abs(conc) < 0.1 when below_dl and dl <= 0.1 then true end"
+        parts.append(f"select '{name}' as check_id, batch_id, {ok} as ok from er where sample_type = '{kind}'")
+    guard = ", ".join(f"('{n}', '{r}')" for n, (_, r) in _FOLDED.items())
+    return _EVERY + f"""
+, d as ({' union all '.join(parts)}),
+c as (select b.batch_id, v.check_id, v.reason from (select distinct batch_id from sm) b cross join (values {guard}) v(check_id, reason)),
+f as (select c.batch_id, c.check_id, c.reason, count(d.batch_id) as n, count(*) filter (where d.ok = false) as failing, count(d.ok) as decided from c left join d on d.batch_id = c.batch_id and d.check_id = c.check_id group by all),
+o as (select batch_id, check_id, case when n = 0 then 'NOT_EVALUATED' when failing > 0 then 'FAIL' when decided = 0 then 'WARN' else 'PASS' end as outcome,
+  case when n = 0 then reason when failing > 0 then concat(cast(failing as varchar), ' failing row(s)') when decided = 0 then 'evaluated, but no decisive rows' else '' end as reason from f)
+"""
+
+
+QUERIES["check_outcomes"] = check_outcomes
+ORACLE_SQL["check_outcomes"] = _outcome_sql() + "select batch_id, check_id, outcome, reason from o"
+QUERIES["batch_verdict"] = lambda spark, sf_dir: verdict(check_outcomes(spark, sf_dir))
+ORACLE_SQL["batch_verdict"] = _outcome_sql() + (
+    "select batch_id, case when bool_or(outcome = 'FAIL') then 'FAIL' else 'PASS' end as verdict, cast(case when bool_or(outcome = 'FAIL') then 2 else 0 end as int) as exit_code from o group by batch_id"
+)
+QUERIES["sample_type_counts"] = lambda spark, sf_dir: batch_frames(spark, sf_dir).samples.groupBy("batch_id", "type").agg(F.count("*").alias("n"))
+ORACLE_SQL["sample_type_counts"] = VIEW + "select batch_id, sample_type as type, count(*) as n from sm group by batch_id, sample_type"
+
+
+def event_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verification cadence over the events of each user: a purchase closes a segment, views and clicks count."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    b = batch_frames(spark, sf_dir)
+    from dataclasses import replace
+
+    samples = e.select(
+        F.col("user_id").cast("string").alias("batch_id"), F.row_number().over(order).alias("row_pos"),
+        F.when(F.col("event_type") == "purchase", "CCV").otherwise("SAMPLE").alias("type"),
+    )
+    b = replace(b, samples=samples, batches=samples.select("batch_id").distinct())
+    return recoveries.ccv_frequency(b, {}).details.select("batch_id", "segment", "analyses", "closed", "ok")
+
+
+QUERIES["event_cadence"] = event_cadence
+ORACLE_SQL["event_cadence"] = "with e as (select cast(user_id as varchar) as batch_id, ts, event_id, event_type from events)" + _SEGMENTS.format(
+    mark="event_type = 'purchase'", order="ts, event_id", rows="e", counted="event_type <> 'purchase'"
+)
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_rows(rows: list[tuple], names: str) -> str:
+    quoted = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(values " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") v({names})"
+
+
+_CONCS = [(i, c) for i, c in enumerate(["0.05", "<0.05", "< 0.05", "ND", "n.d.", "<LOQ", "<x", "", "-", "N/A", "1,234.5", " 7 ", "abc", "1e3", None, "1d", "+.5"])]
+QUERIES["parse_conc"] = lambda spark, sf_dir: _values(spark, _CONCS, "id int, cell string").select("id", parsed_concentration(F.col("cell")).alias("p")).select("id", "p.*")
+ORACLE_SQL["parse_conc"] = f"""
+with c as (select id, trim(coalesce(cell, '')) as t from {_sql_rows(_CONCS, 'id, cell')}),
+f as (select *, lower(t) in ('nd', 'n.d.', 'n.d', '<dl', '<mdl', '<loq', '<lod') as listed from c)
+select id, case when not (listed or t like '<%') and regexp_matches(replace(t, ',', ''), '^[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?)$') then try_cast(replace(t, ',', '') as double) end as conc,
+  listed or t like '<%' as below_dl, case when not listed and t like '<%' then try_cast(trim(substr(t, 2)) as double) end as dl from f
+"""
+_UNITS = [(i, v, a, b) for i, (v, a, b) in enumerate([(1.0, "ppb", "ug/L"), (2.0, "mg/L", "ppb"), (5.0, "[ug/L]", "ppm"), (3.0, "µg/L", "ng/L"), (1.0, "cps", "ppb"), (4.0, "cps", "cps"), (1.0, "%", "ppm"), (7.0, " mg / kg ", "ug/kg")])]
+QUERIES["unit_convert"] = lambda spark, sf_dir: _values(spark, _UNITS, "id int, v double, a string, b string").select("id", converted(F.col("v"), F.col("a"), F.col("b")).alias("value"))
+_NORMAL = "replace(replace(lower(trim({}, '[]() ')), 'µ', 'u'), ' ', '')"
+ORACLE_SQL["unit_convert"] = f"""
+with f(u, x) as (values {', '.join(f"('{u}', cast({x} as double))" for u, x in UNIT_FACTORS.items())}),
+n as (select id, cast(v as double) as v, {_NORMAL.format('a')} as a, {_NORMAL.format('b')} as b from {_sql_rows(_UNITS, 'id, v, a, b')})
+select n.id, case when n.a = n.b then v else v * fa.x / fb.x end as value from n left join f fa on fa.u = n.a left join f fb on fb.u = n.b
+"""
+_LABELS = [(i, x) for i, x in enumerate(["9 Be", "75 As [He]", "56  Fe  [ No Gas ]", "31 -> 47 P [O2]", "78 -> 78 Se [He]", "12 Xy", "Cu", "45 Sca", "208 Pb", "Na23(LR)", "S32 (MR)", "U 385.958 (mg/L)", "Fe 259.940 (cps)", "U 385.958"])]
+QUERIES["label_parse"] = lambda spark, sf_dir: _values(spark, _LABELS, "id int, label string").select(
+    "id", mass_label(F.col("label")).alias("m"), isotope_label(F.col("label")).alias("i"), line_label(F.col("label")).alias("l")
+).select("id", "m.mass", "m.mass_shift", "m.element", "m.mode", F.col("i.mass").alias("iso_mass"), F.col("i.element").alias("iso_element"), F.col("i.mode").alias("iso_mode"), "l.wavelength_nm", F.col("l.unit").alias("line_unit"))
+QUERIES["header_collapse"] = lambda spark, sf_dir: collapsed_headers(_values(spark, HEADER_CASES, "file string, col int, top string, sub string"), ["Sample"])
+ORACLE_SQL["header_collapse"] = f"""
+with h as (select file, col, case when regexp_matches(trim(top), '^Unnamed: *[0-9]+$') then '' else trim(coalesce(top, '')) end as top, trim(coalesce(sub, '')) as sub from {_sql_rows(HEADER_CASES, 'file, col, top, sub')}),
+g as (select *, last_value(nullif(top, '') ignore nulls) over (partition by file order by col rows between unbounded preceding and current row) as cur from h)
+select file, cast(col as int) as col, case when sub = '' and cur = 'Sample' then cur when sub = '' and top = '' then concat('(unnamed column ', cast(col as varchar), ')') when sub = '' then cur
+  when cur is null or cur = 'Sample' then sub else concat(cur, ' :: ', sub) end as name from g
+"""
+QUERIES["companion_merge"] = lambda spark, sf_dir: merged_counts(batch_frames(spark, sf_dir))
+ORACLE_SQL["companion_merge"] = VIEW + """
+, c as (select batch_id, name, count(*) as k from sm group by batch_id, name)
+select r.batch_id, r.seq as row_pos, r.label, r.conc, r.intensity from rs r join sm s on s.batch_id = r.batch_id and s.seq = r.seq join c on c.batch_id = s.batch_id and c.name = s.name and k = 1
+"""
+QUERIES["flag_split"] = split_flags
+QUERIES["column_profile"] = lambda spark, sf_dir: column_profile(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+ORACLE_SQL["column_profile"] = """
+with u as (unpivot (select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment from customer)
+  on c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment into name col value v),
+g as (select col, count(*) filter (where trim(v) <> '') as n, count(*) filter (where regexp_matches(trim(v), '^[+-]?[0-9.,]+([eE][+-]?[0-9]+)?$')) as m, count(distinct trim(v)) filter (where trim(v) <> '') as d from u group by col)
+select col as "column", n as nonempty, round(cast(m as double) / n, 6) as numeric_share, d as distinct_values, case when n = 0 then 'empty' when m > 0.5 * n then 'numeric' when d <= 15 then 'categorical' else 'text' end as kind from g
+"""
+QUERIES["redact_text"] = lambda spark, sf_dir: redacted_column(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
