@@ -68,7 +68,7 @@ def run(b: BatchFrames, rules: str | dict = "epa6020b") -> tuple[DataFrame, Data
     results, details = [], []
     for pos, (check_id, check) in enumerate(CATALOG.items()):
         entry = pack.get("checks", {}).get(check_id)
-        if not entry or not entry.get("enabled", True):
+        if entry is None or not entry.get("enabled", True):
             continue
         try:
             got = check(b, {**pack.get("shared", {}), **entry.get("params", {})})
