@@ -117,13 +117,12 @@ STOP = set("a an and any are as at by can for free from had has in is it its of
 
 def plain(text: str) -> list[str]:
     """The words of a paragraph, as ``words_of`` has them."""
-    return [w for w in re.split(r"[^a-z0-9]+", text.translate({c: c + 32 for c in range(65, 91)})) if w]
+    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
 def words_of(text: Column) -> Column:
-    """Runs of ASCII letters and digits, A-Z lowered."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
+    """Runs of ASCII letters and digits of the text in lower case; empty strings may stand at the ends."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
 
 
 def _grams(words: list[str]) -> set[str]:
@@ -184,7 +183,8 @@ class Model:
 
 def fitted(docs: DataFrame) -> Model:
     """Fit on the templates and on paragraphs of a bounded number of documents (those with the lowest hashes)."""
-    some = docs.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 3).select(F.slice(F.split("text", "\n"), 1, 3).alias("lines"))
+    ids = [r["doc_id"] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 3).collect()]
+    some = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select(F.slice(F.split("text", "\n"), 1, 3).alias("lines")).limit(SAMPLE)
     licence = re.compile(r"licen[sc]|copyright|rights reserved|creative commons|public domain", re.I)
     lines = sorted(line for r in some.collect() for line in r["lines"])
     return Model([" ".join(line.split()[:60]) for line in lines if not licence.search(line)])
@@ -195,7 +195,7 @@ def licensed_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     cues = F.array(*map(F.lit, model.cues))
     touched = docs.select("doc_id", "text").where(F.arrays_overlap(words_of(F.col("text")), cues))
     lines = touched.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.withColumn("words", words_of(F.col("line"))).where(F.arrays_overlap("words", cues)).select("doc_id", "paragraph", "words")
+    lines = lines.withColumn("words", F.array_remove(words_of(F.col("line")), "")).where(F.arrays_overlap("words", cues)).select("doc_id", "paragraph", "words")
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
     pairs = F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>"))
     lines = lines.withColumn("pairs", F.array_distinct(pairs))
