@@ -13,7 +13,7 @@ Words are compared in lower case without punctuation. The benchmark is broadcast
 ``MOST_ITEM_BYTES`` bounds it, and larger benchmarks are worked off in several passes.
 
 Nulls and empty texts contain nothing and match nothing; items with fewer words than
-a shingle are one shingle of all their words; rows that repeat give rows that repeat; items with equal
+a shingle are one shingle of all their words, found where a window of so many words is equal; rows that repeat give rows that repeat; items with equal
 text all match. Empty tables give no rows.
 """
 
@@ -67,12 +67,22 @@ class Index:
         self.ids = np.array(ids, np.int64)[keep]
         self.words = np.diff(bounds)[keep]
         self.shingles = [shingles[a:b] for a, b, ok in zip(at, at[1:], keep) if ok]
+        for n in {int(n) for n in self.words if n < k}:  # the hashes that windows of so many words have
+            grams, cuts = shingle_hashes(words, bounds, n)
+            for i, row in enumerate(np.flatnonzero(keep)):
+                if self.words[i] == n:
+                    self.shingles[i] = grams[cuts[row] : cuts[row] + 1]
         self.prints = fingerprint(np.array([signs(s).sum(axis=0) for s in self.shingles]).reshape(-1, 64))
         flat = np.concatenate(self.shingles) if self.shingles else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(self.shingles)), [len(s) for s in self.shingles])
         pairs = np.unique(np.array([flat, owner.astype(np.uint64)]), axis=1) if len(flat) else np.zeros((2, 0), np.uint64)
         order = np.lexsort((pairs[1], pairs[0]))
         self.key, self.owner = pairs[0][order], pairs[1][order].astype(np.int64)
+        #: Items with fewer words than a shingle, by their number of words: the one hash of each, and the item.
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for i, (s, n) in enumerate(zip(self.shingles, self.words.tolist())):
+            if n < k:
+                self.short.setdefault(n, []).append((int(s[0]), i))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.key >> np.uint64(44)).astype(np.int64)] = True
         flips = np.array([sum(1 << b for b in c) for n in range(_NEAR + 1) for c in combinations(range(16), n)], np.uint64)
@@ -157,7 +167,14 @@ def _found(index: Index, column: pa.Array, k: int, least: float) -> list[tuple[i
     for a, b in zip(edges, edges[1:]):
         d = int(doc[a])
         own = _in_document(index, shingles[cuts[d] : cuts[d + 1]], int(bounds[d + 1] - bounds[d]), at[a:b] - cuts[d], items[a:b], k, least)
-        rows += [(d, *x) for x in own]
+        rows += [(d, *x) for x in own if index.words[x[0]] >= k]
+    for n, known in index.short.items():
+        grams, cuts = shingle_hashes(words, bounds, n)
+        for value, item in known:
+            hit = np.flatnonzero(grams == np.uint64(value))
+            doc = np.searchsorted(cuts, hit, "right") - 1
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            rows += [(int(doc[f]), item, int(hit[f] - cuts[doc[f]]), 1.0) for f in first if bounds[doc[f] + 1] - bounds[doc[f]] >= n]
     return rows
 
 
