@@ -132,6 +132,16 @@ class _Block:
                 hi[d, t] = np.searchsorted(self.codes[t], codes[t] | rest, "right")
         return lo, hi
 
+    def gathered(self, lo: np.ndarray, hi: np.ndarray, depth: int, least: int) -> np.ndarray:
+        """The rows below the prefixes of ``depth`` bits in all trees; shorter prefixes until there are ``least``."""
+        while True:
+            mark = np.zeros(self.n, bool)
+            for t in range(TREES):
+                mark[self.places[t, lo[depth, t] : hi[depth, t]]] = True
+            if depth == 0 or mark.sum() >= least:
+                return np.flatnonzero(mark)
+            depth -= 1
+
     def nearest(self, q: np.ndarray, own: int, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k nearest ids among ``rows`` of the block, their distances, and their rows."""
         d = np.sqrt(((self.x[rows] - q) ** 2).sum(axis=1))
@@ -179,11 +189,7 @@ def _compared(forest: DataFrame, queries: DataFrame, blocks: int, centre: np.nda
                     if share is None:
                         rows = np.arange(block.n)
                     else:
-                        depth = int(np.flatnonzero(gathered[:, j] >= min(share, TREES) * block.n).max(initial=0))
-                        mark = np.zeros(block.n, bool)
-                        for t in range(TREES):
-                            mark[block.places[t, lo[depth, t, j] : hi[depth, t, j]]] = True
-                        rows = np.flatnonzero(mark)
+                        rows = block.gathered(lo[:, :, j], hi[:, :, j], int(np.flatnonzero(gathered[:, j] >= min(share, TREES) * block.n).max(initial=0)), k + 1)
                     ids, d, at = block.nearest(q[j].astype(np.float64), own[j], rows, k)
                     need = np.zeros(len(ids))
                     if share is None:
