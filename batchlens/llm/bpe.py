@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
 _UNSURE = re.compile("[^\x00-ɏ]|[²³¹¼-¾\x1c-\x1f]")
-_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_MOST = 600_000
+_PIECE = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_MOST = 1_000_000
 _JOIN = 2048
 
 
@@ -40,21 +41,23 @@ class Encoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Whether an id begins with a space, written as the character below: words begin there and nowhere else.
+        self.begins = np.zeros(1 << 16, bool)
+        self.begins[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, split: list[list[str]]) -> None:
         if len(self.known) > _MOST:
             self.known.clear()
-        new = [p for p in pieces if p not in self.known]
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         words = [p for p in new if p[0] == " " and p[1:2].isalpha()]
         for i in range(0, len(words), _JOIN):
             part = words[i : i + _JOIN]
-            e = self.library.encode("".join(part), add_special_tokens=False)
-            raw = np.array(e.ids, "<u2").tobytes()
-            ends = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 2).tolist()
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            raw, ends = ids.tobytes(), [*(np.flatnonzero(self.begins[ids]) * 2).tolist(), 2 * len(ids)]
             self.known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
         for p in new:
             if p not in self.known:
@@ -62,14 +65,14 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(texts), 64):
+        for i in range(0, len(texts), 256):
             split: list = []
-            for t in texts[i : i + 64]:
+            for t in texts[i : i + 256]:
                 t = t or ""
                 odd = not t.isascii() and _UNSURE.search(t) or any(s in t for s in self.special)
                 odd = odd or t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f")
                 split.append(self._whole(t) if odd else _PIECE.findall(t))
-            self._learn(set().union(*(x for x in split if isinstance(x, list))))
+            self._learn([x for x in split if isinstance(x, list)])
             get = self.known.__getitem__
             out += [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
         return out

@@ -29,7 +29,8 @@ from batchlens.llm.words import shingle_hashes, sliced, word_hashes
 
 LONGEST = 6
 _CHECK = 8.0
-_SETS = "doc_id long, n long, sig1 long, sig2 long, first int, matches int, tokens array<long>, levels array<int>, items binary"
+_MASK = 1024
+_SETS = "doc_id long, n long, sig1 long, sig2 long, first int, matches int, tokens array<long>, levels array<int>, mask array<long>, items binary"
 
 
 def _prefixes(tokens: np.ndarray, times: np.ndarray, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -47,6 +48,13 @@ def _prefixes(tokens: np.ndarray, times: np.ndarray, percent: int) -> tuple[int,
     return alone, int(np.argmin(cost[:most])) + 1, tokens[order], level
 
 
+def _mask(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each of _MASK residues that some token has, as 64-bit integers."""
+    bits = np.zeros(_MASK, bool)
+    bits[(tokens >> np.uint64(20)).astype(np.int64) % _MASK] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _shingle_sets(docs: DataFrame, k: int, percent: int, key: str | None) -> DataFrame:
     """Of each row: the size and signature of its set, its prefix, and (where it can match at all) the set."""
     own = [F.col(key).cast("long").alias("key")] if key else []
@@ -66,14 +74,14 @@ def _shingle_sets(docs: DataFrame, k: int, percent: int, key: str | None) -> Dat
             rows = []
             for s, a, b in zip(sets, at, at[1:]):
                 if not len(s):
-                    rows.append((0, 0, 0, 0, 1, [], [], None))
+                    rows.append((0, 0, 0, 0, 1, [], [], None, None))
                     continue
                 alone, matches, tokens, level = _prefixes(s, times[a:b], percent)
                 sig = int(np.bitwise_xor.reduce(s)), int((s * (s | np.uint64(1))).sum(dtype=np.uint64))
                 sig = tuple(x - (1 << 64) if x >> 63 else x for x in sig)
-                rows.append((len(s), *sig, alone, matches, tokens.view(np.int64), level, s.astype("<u8").tobytes() if len(tokens) else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            names = ["doc_id", "n", "sig1", "sig2", "first", "matches", "tokens", "levels", "items"]
+                rows.append((len(s), *sig, alone, matches, tokens.view(np.int64), level, *((_mask(s), s.astype("<u8").tobytes()) if len(tokens) else (None, None))))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+            names = ["doc_id", "n", "sig1", "sig2", "first", "matches", "tokens", "levels", "mask", "items"]
             keys = [batch.column("key")] if key else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), *keys], names + ["key"] * bool(key))
 
@@ -81,6 +89,21 @@ def _shingle_sets(docs: DataFrame, k: int, percent: int, key: str | None) -> Dat
     return scratch.saved(sets if key else sets.withColumn("key", F.monotonically_increasing_id()), "shingle-sets")
 
 
+def _possible(x: dict, y: dict, percent: int):
+    """Whether two classes that meet at a token can be linked; never false for two that are and meet there first.
+
+    They share at most what is shared in front of the token (no more than either's shared
+    tokens there) and the fewer of what is left; and at most what either has less the bits of
+    its mask that the other's lacks.
+    """
+    need = F.lit(percent) * (x["n"] + y["n"])
+    before = F.least(x["at"] - x["first"], y["at"] - y["first"])
+    shared = before + F.least(x["n"] - x["at"], y["n"] - y["at"])
+    lacks = lambda p, q: sum(F.bit_count(p["mask"][i].bitwiseAND(F.bitwise_not(q["mask"][i]))) for i in range(_MASK // 64))
+    common = F.least(x["n"] - lacks(x, y), y["n"] - lacks(y, x))
+    return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (shared * (100 + percent) >= need) & (common * (100 + percent) >= need)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
     one = sets.select(F.col("key").alias("a"), F.col("items").alias("x"))
@@ -111,8 +134,8 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, key: str |
     classes = scratch.saved(classes, "classes")
     heads = sets.where("items is not null").join(classes.select(F.col("class").alias("key")), "key", "left_semi")
     heads = scratch.saved(heads, "heads")
-    lists = heads.select("key", "n", "first", "matches", F.explode(F.arrays_zip("tokens", "levels")).alias("t"))
-    lists = lists.select("key", "n", "first", "matches", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
+    lists = heads.select("key", "n", "first", "matches", "mask", F.posexplode(F.arrays_zip("tokens", "levels")).alias("i", "t"))
+    lists = lists.select("key", "n", "first", (F.col("first") + F.col("i")).alias("at"), "matches", "mask", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
 
     ones = lists.where("level = 1")
     centres = ones.groupBy("token").agg(F.min(F.struct("first", "key")).alias("c"), F.count("*").alias("m")).where("m > 1")
@@ -121,13 +144,14 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, key: str |
     known = components(near)
 
     member = F.coalesce(F.col("component"), F.col("key")).alias("part")
-    lists = scratch.saved(lists.join(known.withColumnRenamed("id", "key"), "key", "left").select("key", "n", "matches", "token", "level", member), "lists")
+    lists = scratch.saved(lists.join(known.withColumnRenamed("id", "key"), "key", "left").select("key", "n", "first", "at", "matches", "mask", "token", "level", member), "lists")
     open_ = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     open_ = scratch.saved(lists.join(open_, "token", "left_semi"), "open-lists")
-    a = open_.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("matches").alias("l"), F.col("level").alias("la")).where("la <= l")
-    b = open_.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("level").alias("lb"))
-    sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    met = a.join(b, "token").where((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & (F.col("lb") <= F.col("l")) & sized)
+    names = ("key", "n", "first", "at", "part", "matches", "level", "mask")
+    x, y = ({c: F.col(f"{side}_{c}") for c in names} for side in "ab")
+    one, two = (open_.select("token", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "ab")
+    matched = (x["key"] > y["key"]) & (x["part"] != y["part"]) & (x["level"] <= x["matches"]) & (y["level"] <= x["matches"])
+    met = one.join(two, "token").where(matched & _possible(x, y, percent)).select(x["key"].alias("a"), y["key"].alias("b"), x["matches"].alias("l"))
     pairs = met.groupBy("a", "b", "l").count().where("count >= l").select("a", "b")
     far = _verified(pairs, heads, percent)
     final = components(near.union(far))

@@ -4,7 +4,7 @@
 ascending order of document id. ``read_tokens`` decodes the files again.
 
 File format: a folder with ``table`` (one shared frequency table: token, freq; the
-frequencies add up to 2**20) and ``segments`` (Parquet; one row a segment of
+frequencies add up to 2**BITS) and ``segments`` (Parquet; one row a segment of
 whole documents). A segment's ids are cut into blocks of ``BLOCK`` ids, each coded by
 ``LANES`` interleaved coders into its own run of 32-bit words. ``checkpoints`` holds per
 block the first word, the number of ids, and CRC-32 of the ids; ``states`` the coders' states at the
@@ -30,7 +30,7 @@ from batchlens.llm import scratch
 from batchlens.llm.bpe import default_tokenizer, encoder
 from batchlens.llm.words import sliced
 
-BITS = 20
+BITS = 18
 LANES = 32
 BLOCK = 16_384
 SEGMENT = 1 << 19
@@ -130,18 +130,22 @@ class Coder:
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """doc_id, n, ids (16-bit little-endian, with the end id) of every row of ``docs``."""
+    """doc_id, ids (16-bit little-endian, with the end id) of every row of ``docs``.
+
+    A last row of each task has no ids but ``counts``: how often each of its ids occurs.
+    """
     path, end = tokenizer or default_tokenizer(), np.array([end_id], "<u2").tobytes()
+    names = ["doc_id", "ids", "counts"]
 
     def run(batches):
+        total = np.zeros(1 << 16, np.int64)
         for batch in sliced(batches, "text", 1 << 20):
             ids = [x + end for x in encoder(path).ids(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())],
-                ["doc_id", "n", "ids"],
-            )
+            total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n int, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def _counted(ids: DataFrame) -> np.ndarray:
@@ -150,13 +154,13 @@ def _counted(ids: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["token", "n"])
 
     counts = np.zeros(1 << 16, np.int64)
-    for r in ids.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for r in ids.where("counts is not null").select("counts").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[r["token"]] = r["n"]
     return counts
 
@@ -199,8 +203,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield row()
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.select("doc_id", "ids").mapInArrow(run, _SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
+    ordered = ids.where("counts is null").select("doc_id", "ids").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered.mapInArrow(run, _SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BLOCK = 4 << 20
+_BLOCK = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CODE[65:91] = _CODE[97:123]

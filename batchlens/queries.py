@@ -43,7 +43,7 @@ def _ok(lo: str, hi: str) -> str:
 def _add(name: str, sql: str | None, columns: list | None = None, params: dict | None = None, check=None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = (check or CATALOG[name])(batch_frames(spark, sf_dir), {**_LOQ, **(params or {})})
-        return got.details.select(*columns) if columns else got.details
+        return got.details.selectExpr(*columns) if columns else got.details
 
     QUERIES[name] = query
     if sql:
@@ -51,7 +51,7 @@ def _add(name: str, sql: str | None, columns: list | None = None, params: dict |
 
 
 def _round(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [f"round({n}, 6) as {n}" for n in names]
 
 
 _ROW = ["batch_id", "row_pos", "name", "label"]
@@ -131,7 +131,7 @@ k as (select batch_id, count(*) as total, count(distinct seq) as s from f group
 select batch_id, cast(0 as int) as ord, cast(null as int) as row_pos, cast(null as varchar) as analyte, concat(cast(total as varchar), ' x CPS RSD') as metric, total as n, s as samples_flagged from k
 union all select batch_id, cast(ord as int), seq, label, 'CPS RSD', cast(1 as bigint), null from f where ord <= 60
 union all select batch_id, cast(61 as int), null, null, 'more', total - 60, null from k where total > 60
-""", ["batch_id", F.col("ord").cast("int").alias("ord"), "row_pos", "analyte", "metric", "n", "samples_flagged"])
+""", ["batch_id", "cast(ord as int) as ord", "row_pos", "analyte", "metric", "n", "samples_flagged"])
 _add("istd_recovery", """
 , ref as (select batch_id, avg(istd) as reference from sm where sample_type in ('CAL_STD', 'CAL_BLANK') group by batch_id),
 p as (select s.batch_id, s.seq, istd * 100 / reference as pct from sm s join ref using (batch_id) where sample_type not in ('CAL_STD', 'CAL_BLANK')),
@@ -151,7 +151,7 @@ g as (select batch_id, label, count(*) as n, median(predicted / conc) as med, av
   from u where predicted > 0 group by batch_id, label having count(*) >= 2)
 select batch_id, label, n, round(med, 6) as median_ratio, round(sd / abs(mean) * 100, 5) as cv_pct, round(worst, 5) as worst_pct from g
 union all select batch_id, label, 0, null, null, null from fit where not (r >= 0.3 and slope is not null and slope <> 0)
-""", ["batch_id", "label", "n", *_round("median_ratio"), F.round("cv_pct", 5).alias("cv_pct"), F.round("worst_pct", 5).alias("worst_pct")], {"min_cal_r": 0.3})
+""", ["batch_id", "label", "n", *_round("median_ratio"), "round(cv_pct, 5) as cv_pct", "round(worst_pct, 5) as worst_pct"], {"min_cal_r": 0.3})
 
 
 def _crm(b, params):

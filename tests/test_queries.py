@@ -44,3 +44,12 @@ def test_streamed_cadence(spark, tmp_path):
     q.awaitTermination()
     got = [(r["segment"], r["analyses"], r["ok"]) for r in spark.table("cadence").orderBy("segment").collect()]
     assert got == [(1, 3, False), (2, 1, True)]
+
+
+def test_entry_points_import_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 33"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True).returncode == 0
