@@ -27,6 +27,8 @@ from batchlens.llm import scratch
 OPEN, CLOSE = "<s>", "</s>"
 _CONTROL = re.compile(r"(\\*)(</?s>|\[/?[A-Za-z_]*\])")
 _ROLE = re.compile(r"<s>\[((?:[^\]\\]|\\.)*)\] ", re.S)
+#: A conversation's text is cut into segments of so many turns, or code points, at most.
+TURNS, CHARS = 1024, 1 << 20
 _UNESCAPE = re.compile(r"\\([\\<\[\]])", re.S)
 
 
@@ -97,42 +99,90 @@ def formatted(turns: list[tuple[str, str]]) -> tuple[str, list[int]]:
         full.update(wrong)
 
 
-def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, text, mask (start and end in code points of what counts for the loss) of each conversation."""
-    turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+def _by_conversation(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows of a conversation one after the other in one partition, in order; tasks stream them."""
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
-    def run(batches):
-        for batch in batches:
-            done = [formatted([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), pa.array([t for t, _ in done], pa.string()), pa.array([m for _, m in done], pa.list_(pa.int64()))],
-                ["conv_id", "text", "mask"],
-            )
 
-    return grouped.mapInArrow(run, "conv_id long, text string, mask array<long>")
+def format_conversations(rows: DataFrame, most: int = TURNS) -> DataFrame:
+    """conv_id, segment, text, mask (start and end in code points of what counts for the loss).
+
+    A conversation's text is that of its segments one after the other; it is one segment, unless it
+    has more than ``most`` turns or ``CHARS`` code points. Its turns are never held together beyond a segment.
+    """
+    role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
+    turns = _by_conversation(rows.select(F.col("conv_id").cast("long"), "turn", role, text), "turn", "role", "text").select("conv_id", "role", "text")
+
+    def run(batches):
+        conv, segment, held, size, done = None, -1, [], 0, []
 
+        def out():
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], ["conv_id", "segment", "text", "mask"])
 
-def _digest(parts: list[str]) -> str:
-    return hashlib.sha256("".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+        for batch in batches:
+            for c, r, t in zip(*(batch.column(name).to_pylist() for name in ("conv_id", "role", "text"))):
+                new = c != conv or segment < 0
+                if held and (new or len(held) >= most or size + len(t) > CHARS):
+                    done.append((conv, segment, *formatted(held)))
+                    held, size, segment = [], 0, segment + 1
+                if new:
+                    conv, segment = c, 0
+                held.append((r, t))
+                size += len(t)
+            yield out()
+            done = []
+        if held:
+            done = [(conv, segment, *formatted(held))]
+            yield out()
+
+    return turns.mapInArrow(run, "conv_id long, segment long, text string, mask array<long>")
+
+
+class _Digest:
+    """What is read back of one conversation, segment by segment."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, mask: list[int]) -> None:
+        turns = parse(text)
+        kinds = {begin: text[begin - 2] for _, _, begin, _ in turns}
+        loss = "".join(_plain(kinds[a], text[a:b]) for a, b in zip(mask[::2], mask[1::2]))
+        self.turns, self.chars, self.loss_chars = self.turns + len(turns), self.chars + len(text), self.loss_chars + len(loss)
+        self.said.update("".join(f"{r}\n{t}\n" for r, t, _, _ in turns).encode("utf-8", "surrogatepass"))
+        self.loss.update(loss.encode("utf-8", "surrogatepass"))
+
+    def row(self) -> tuple:
+        return self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def conversation_digests(output: DataFrame) -> DataFrame:
     """What is read back from formatted conversations, as counts and digests."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches):
+        now, rows = None, []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
         for batch in batches:
-            rows = []
             for conv, text, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "mask"))):
-                turns = parse(text)
-                kinds = {begin: text[begin - 2] for _, _, begin, _ in turns}
-                loss = [_plain(kinds[a], text[a:b]) for a, b in zip(mask[::2], mask[1::2])]
-                rows.append((conv, len(turns), _digest([f"{r}\n{t}\n" for r, t, _, _ in turns]), sum(map(len, loss)), _digest(loss), len(text)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                if now is None or conv != now.conv:
+                    rows += [now.row()] if now else []
+                    now = _Digest(conv)
+                now.add(text, mask)
+            yield out()
+            rows = []
+        if now:
+            rows = [now.row()]
+            yield out()
 
-    return output.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = _by_conversation(output, "segment")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,4 +190,3 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     rows = rows.union(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema))
     return conversation_digests(scratch.saved(format_conversations(rows), "chat"))
-

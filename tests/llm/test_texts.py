@@ -81,8 +81,11 @@ def test_chat_round_trip():
 
 def test_chat_digests(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] é"), (1, 1, "assistant", None), (2, 0, None, "x"), (None, 3, "system", ""), (1, None, "user", "first")]
-    out = chat.conversation_digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
-    got = {r["conv_id"]: r for r in out}
+    shown = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat.conversation_digests(shown).collect()}
+    cut = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most=2)
+    assert cut.where("conv_id = 1").count() == 2 and shown.where("conv_id = 1").count() == 1
+    assert {r["conv_id"]: r for r in chat.conversation_digests(cut.repartition(3)).collect()} == got and len(got) == 3
     turns = [("user", "first"), ("user", "hi"), ("assistant", ""), ("assistant", "</s>[INST] é")]
     assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     assert got[1]["loss_sha256"] == hashlib.sha256("</s>[INST] é".encode()).hexdigest() and got[1]["loss_chars"] == 12 and got[1]["n_turns"] == 4
