@@ -2,7 +2,8 @@
 
 A document's shingles are put in one order for the whole corpus, rare ones first. Two documents
 with ``100 * intersection >= percent * union`` share at least l shingles among the
-first n - ceil(percent * n / 100) + l of each, for every l. Each document picks the l that costs
+first n - ceil(percent * n / 100) + l of each, for every l up to ceil(percent * n / 100), the least
+that a linked pair has in common. Each document picks the l that costs
 least, estimated from how often its prefix shingles occur, and needs l shared prefix
 shingles before a pair is verified.
 
@@ -36,14 +37,15 @@ _SETS = "doc_id long, n long, sig1 long, sig2 long, first int, matches int, toke
 def _prefixes(tokens: np.ndarray, times: np.ndarray, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     """Unshared tokens at the front, l, and the shared tokens of the longest prefix with the level at which each joins."""
     n = len(tokens)
-    base = n - -(-percent * n // 100) + 1
+    least = -(-percent * n // 100)
+    base = n - least + 1
     alone = int((times == 1).sum())
     if alone >= base:
         return alone, 1, tokens[:0], times[:0].astype(np.int32)
     order = np.lexsort((tokens, times))[alone : min(n, base + LONGEST - 1)]
     level = np.maximum(1, np.arange(alone, alone + len(order)) - base + 2).astype(np.int32)
     reach = np.array([times[order][level <= m].sum(dtype=np.float64) for m in range(1, LONGEST + 1)])
-    most = min(LONGEST, len(order))
+    most = min(LONGEST, len(order), least)
     cost = reach + _CHECK * reach / np.arange(1, LONGEST + 1)
     return alone, int(np.argmin(cost[:most])) + 1, tokens[order], level
 

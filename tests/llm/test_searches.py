@@ -61,6 +61,29 @@ def test_jaccard_join(spark, k, percent, seed):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_jaccard_join_of_short_texts(spark):
+    """Pairs of exactly 0.8 whose lists have a third text, with the same passage, as centre."""
+    assert all(jaccard_join._prefixes(np.arange(n, dtype=np.uint64), np.full(n, t), p)[1] <= -(-p * n // 100) for n in range(1, 12) for t in (2, 4, 50) for p in (1, 60, 80, 90))
+    rows, texts, rng = [], {}, random.Random(9)
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(8 + g % 3)]
+        tail = [f"tail{g % 6}x{i}" for i in range(12)]
+        for text in (words + tail, words[:-1], words, tail, tail + ["end"]) if g % 2 else (words + tail, words, words[1:], words, tail, tail):
+            texts[len(rows)] = text
+            rows.append((len(rows), " ".join(text)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    part = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and part[i] != part[j]:
+                lo, hi = sorted((part[i], part[j]))
+                part = {d: lo if p == hi else p for d, p in part.items()}
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, i) for i, t in rows], DOCS + ", own long")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.linked_documents(docs, 5, 80, "own").select("doc_id", "component_id").collect()}
+    assert {i: (got[i], part[i]) for i in part if got[i] != part[i]} == {}
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (2, "other words here to stay now", "x"), (3, None, "x"), (4, "", "x")]
     got = jaccard_join.one_of_each(spark.createDataFrame(rows, DOCS + ", key string")).collect()
