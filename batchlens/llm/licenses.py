@@ -1,14 +1,17 @@
 """License scans: a trained classifier of paragraphs, in DataFrame functions on the main path.
 
 Features are the presence of word unigrams and bigrams that hold a licence word: a word of
-``TEMPLATES`` that neither is in ``STOP`` nor occurs in the sample of plain paragraphs. A sparse
+``TEMPLATES`` that is not in ``STOP``. A sparse
 (L1) multinomial logistic regression, fitted on the driver on the templates' variants, ``OTHER_USES``
-and at most ``SAMPLE`` paragraphs of the corpus, gives each paragraph a family or ``unknown``; its
+and at most ``SAMPLE`` plain paragraphs of the corpus, gives each paragraph a family or ``unknown``. The
+sample has three lines, from anywhere in the text, of each of ``SAMPLE / 3`` documents, without repeats and
+without lines that name a licence or cover a template; its
 probabilities are calibrated by a temperature fitted on held-out variants. A family is confirmed where the
 paragraph's word bigrams cover one of its templates, or are covered by one, to ``CONFIRM``.
 
 A paragraph is a line of a text. Paragraphs without a licence word have no features, and so the
-intercept's verdict, unknown; they are left out before n-grams are made.
+intercept's verdict, unknown; they are left out before n-grams are made, and so are those whose licence
+words can't outweigh the intercept even with all n-grams of the templates that hold no other licence word.
 
 One row a paragraph with a family: doc_id, paragraph (from 0), family, probability, similarity, confirmed. Null and
 empty texts have none. Rows that repeat give rows that repeat. An empty table gives no rows.
@@ -17,6 +20,7 @@ empty texts have none. Rows that repeat give rows that repeat. An empty table gi
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +29,10 @@ from pyspark.sql import functions as F
 SAMPLE = 600
 CONFIRM = 0.6
 LEAST = 0.5
+#: Share of a template's licence bigrams (or of the line's) from which a sampled line is no plain paragraph.
+LIKE = 0.3
+#: Sampled lines with these are no plain paragraphs.
+LICENCE = re.compile(r"licen[sc]|copyright|rights reserved|creative commons|public domain|spdx|\b[al]?gpl", re.I)
 UNKNOWN = "unknown"
 
 # Short public licence notices.
@@ -129,6 +137,24 @@ def _grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+def _cues() -> list[str]:
+    """The licence words."""
+    return sorted({w for ts in TEMPLATES.values() for t in ts for w in plain(t) if w not in STOP and len(w) > 1})
+
+
+def without_licences(lines: list[str]) -> list[str]:
+    """The distinct lines that neither name a licence nor cover a template."""
+    cues = set(_cues())
+    pairs = lambda words: {(a, b) for a, b in zip(words, words[1:]) if a in cues or b in cues}
+    templates = [pairs(plain(t)) for ts in TEMPLATES.values() for t in ts]
+
+    def like(line: str) -> bool:
+        own = pairs(plain(line))
+        return any(len(own & t) >= max(LIKE * min(len(own), len(t)), min(2, len(own), len(t))) for t in templates if own and t)
+
+    return sorted({line for line in lines if not LICENCE.search(line) and not like(line)})
+
+
 class Model:
     """Families, licence words, and for each n-gram a weight a family (the last class is unknown)."""
 
@@ -136,8 +162,7 @@ class Model:
         rng = np.random.default_rng(3)
         negatives = [w for w in map(plain, [*OTHER_USES * 4, *negatives]) if w]
         texts = {f: [plain(t) for t in ts] for f, ts in TEMPLATES.items()}
-        common = {w for n in negatives[len(OTHER_USES) * 4 :] for w in n} | STOP
-        self.cues = sorted({w for ts in texts.values() for t in ts for w in t if w not in common and len(w) > 1})
+        self.cues = _cues()
         cues = set(self.cues)
         self.families = [*texts, UNKNOWN]
         rows, labels = [], []
@@ -163,6 +188,18 @@ class Model:
         w = self._fitted(x[~held], y[~held])
         self.temperature = min(np.linspace(0.3, 2.0, 18), key=lambda t: -np.log(np.maximum(self._shares(x[held] @ w / t), 1e-9))[y[held] > 0].mean())
         self.weights, self.intercept = w[:-1], w[-1]
+        self.telling = self._telling(Counter(g for n in negatives for g in set(n) & cues))
+
+    def _telling(self, times: Counter) -> list[str]:
+        """The licence words without those that, all together and with all their n-grams, leave a paragraph unknown; frequent ones are tried first."""
+        gain = np.maximum(self.weights[:, :-1] - self.weights[:, -1:], 0)
+        room = self.intercept[-1] - self.intercept[:-1] - 0.01
+        cues, weak = set(self.cues), set()
+        needs = [cues & set(g.split()) for g in self.vocabulary]
+        for word in sorted(self.cues, key=lambda c: (-times[c], c)):
+            if (gain[[i for i, n in enumerate(needs) if n <= weak | {word}]].sum(axis=0) < room).all():
+                weak.add(word)
+        return sorted(cues - weak)
 
     @staticmethod
     def _shares(z: np.ndarray) -> np.ndarray:
@@ -184,15 +221,15 @@ class Model:
 def fitted(docs: DataFrame) -> Model:
     """Fit on the templates and on paragraphs of a bounded number of documents (those with the lowest hashes)."""
     ids = [r["doc_id"] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 3).collect()]
-    some = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select(F.slice(F.split("text", "\n"), 1, 3).alias("lines")).limit(SAMPLE)
-    licence = re.compile(r"licen[sc]|copyright|rights reserved|creative commons|public domain", re.I)
-    lines = sorted(line for r in some.collect() for line in r["lines"])
-    return Model([" ".join(line.split()[:60]) for line in lines if not licence.search(line)])
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.xxhash64("doc_id", i).alias("order"), F.regexp_extract(line, r"^\s*((?:\S+\s*){0,60})", 1).alias("line")))
+    lines = F.slice(F.array_sort(F.filter(lines, lambda x: x["line"] != "")), 1, 3)["line"]
+    some = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select(lines.alias("lines")).limit(SAMPLE // 3)
+    return Model(without_licences([" ".join(line.split()) for r in some.collect() for line in r["lines"]]))
 
 
 def licensed_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, paragraph, family, probability, similarity, confirmed of each paragraph with a family."""
-    cues = F.array(*map(F.lit, model.cues))
+    cues = F.array(*map(F.lit, model.telling))
     touched = docs.select("doc_id", "text").where(F.arrays_overlap(words_of(F.col("text")), cues))
     lines = touched.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lines = lines.withColumn("words", F.array_remove(words_of(F.col("line")), "")).where(F.arrays_overlap("words", cues)).select("doc_id", "paragraph", "words")

@@ -70,6 +70,25 @@ def test_licences(spark):
     assert licenses.licensed_paragraphs(spark.createDataFrame([], DOCS), licenses.fitted(spark.createDataFrame([], DOCS))).count() == 0
 
 
+def test_licences_that_begin_the_sampled_documents(spark):
+    wanted = {t: f for f, ts in licenses.TEMPLATES.items() for t in ts if t.startswith(("Permission is", "Redistribution and", "Released under the GPL", "Released under the LGPL", "Released under the AGPL", "Proprietary and"))}
+    assert len(wanted) == 6
+    rng = random.Random(2)
+    prose = lambda: " ".join(rng.choice(["rolo", "the", "mina", "of", "software", "source", "taku", "terms", "veli"]) for _ in range(12))
+    rows = [(i, "\n".join([t, prose(), prose(), prose()])) for i, t in enumerate(list(wanted) * 50)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = licenses.fitted(docs)
+    found = licenses.licensed_paragraphs(docs, model).collect()
+    assert len(model.telling) < len(model.cues)
+    model.telling = model.cues
+    assert sorted(found) == sorted(licenses.licensed_paragraphs(docs, model).collect())
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in found}
+    assert got == {(i, 0): wanted[t.split("\n")[0]] for i, t in rows}
+    lines = [w for t in wanted for w in (t, " ".join(t.split()[:9]), "// " + t)] + licenses.OTHER_USES * 2
+    kept = licenses.without_licences(lines)
+    assert len(kept) == len(set(kept)) >= 8 and set(kept) <= set(licenses.OTHER_USES)
+
+
 def test_chat_round_trip():
     rng = random.Random(0)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "\\\\", "a", " ", "[", "] ", "F ", "L ", "\n", "<", "s>", "[user]", "[]", "é"]
