@@ -5,7 +5,9 @@ Four kinds of spans, in code points of the whole text, end exclusive: ``assign``
 in runs of one character class (``CLASSES``) a window slides by one character, its
 counts change by the character that enters and the one that leaves, and with them its Shannon
 entropy; runs in which some window reaches the class's entropy and that no
-pattern of ``ALLOWED`` matches are spans. Allow-listing never removes a span of the first three kinds.
+pattern of ``ALLOWED`` matches whole are spans. Windows with a part of what ``FILLERS`` match don't count. Runs
+of letters alone (and signs) that are words are left out; those in one case can't be told from words.
+Allow-listing never removes a span of the first three kinds.
 
 Null and empty texts have no spans. Rows that repeat give rows that repeat. An
 empty table gives no rows. Matches are leftmost and don't overlap within a kind.
@@ -25,14 +27,25 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 WINDOW = 20
 #: Character class: alphabet and least entropy in bits of some window of WINDOW characters.
-CLASSES = {"hex": ("0123456789abcdef", 3.0), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.6)}
-#: Candidates mix digits with letters; others are words, numbers or rules.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[0-9+/_=-]{0,64}[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+CLASSES = {
+    "hex": ("0123456789abcdef", 3.0),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.6),
+    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 3.6),
+}
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Words in one case or in camel case, joined by signs, and a short number.
+WORDS = r"^[+/_=-]*+(?:(?:[a-z]++|[A-Z]++|(?:[a-z]++)?(?:(?:[A-Z]{3,}+|[A-Z])[a-z]{2,}+)++(?:[A-Z]++)?)(?:[+/_=-]++|(?=[0-9]{0,4}$)))*+[0-9]{0,4}$"
+#: Whole runs that are no secrets.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|your[_-]?(?:api[_-]?)?(?:key|token|secret)",
-    r"(?i)0123456789|abcdefghij|(.)\1{7}",
-    r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}$",
+    r"^[0-9+/_=-]*$",
+    WORDS,
+)
+_FILLER = "(?:example|sample|placeholder|changeme|dummy|your[_-]?(?:api[_-]?)?(?:key|token|secret))"
+#: Parts of a run that are no secrets: a letters-and-digits piece with such a word, rows and repeats.
+FILLERS = (
+    rf"(?i)(?<![A-Za-z0-9])[A-Za-z0-9]*?{_FILLER}[A-Za-z0-9]*",
+    r"(?i)0123456789|abcdefghij|(.)\1{7,}",
 )
 # Marks that can't be part of a match; texts that have the first get the second for it, at the same places.
 _MARK, _OTHER = "\ue000", "\ue001"
@@ -87,14 +100,23 @@ def window_entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
     return F.when(F.length(text) >= window, best).otherwise(F.lit(-1.0))
 
 
+def _dense(text: Column) -> Column:
+    """Whether some window of a run reaches the entropy of the run's class."""
+    (a, low), (b, high), (c, least) = CLASSES["hex"], CLASSES["base64"], CLASSES["letters"]
+    folded = text.rlike("^[0-9a-fA-F]+$") & (window_entropy(F.lower(text), a) >= low)
+    return folded | F.when(text.rlike("[0-9]"), window_entropy(text, b) >= high).otherwise(window_entropy(text, c) >= least)
+
+
 def _suspicious(span: Column) -> Column:
     text = span["text"]
     allowed = F.lit(False)
     for p in ALLOWED:
         allowed = allowed | text.rlike(p)
-    hexadecimal = text.rlike("^[0-9a-f]+$")
-    (a, low), (b, high) = CLASSES["hex"], CLASSES["base64"]
-    return ~allowed & F.when(hexadecimal, window_entropy(text, a) >= low).otherwise(window_entropy(text, b) >= high)
+    left, filled = text, F.lit(False)
+    for p in FILLERS:
+        left, filled = F.regexp_replace(left, p, " "), filled | text.rlike(p)
+    pieces = F.filter(F.split(F.when(filled, left).otherwise(text), " "), lambda x: ~x.rlike(WORDS))
+    return ~allowed & F.exists(pieces, _dense)
 
 
 def spans_of(text: Column) -> dict[str, Column]:
@@ -105,7 +127,7 @@ def spans_of(text: Column) -> dict[str, Column]:
         "assign": _guarded(text, ASSIGN, words, lambda m: m["text"].rlike(ASSIGN_VALUE)),
         "access": _guarded(text, ACCESS, text.contains("AKIA"), lambda m: F.length(m["text"]) >= 20),
         "hex": _guarded(text, HEX, text.rlike("[0-9a-f]{24}"), lambda m: F.length(m["text"]) >= 24),
-        "entropy": _guarded(text, CANDIDATE, text.rlike("[0-9]"), _suspicious),
+        "entropy": _guarded(text, CANDIDATE, text.rlike("[A-Za-z0-9+/_=-]{20}"), _suspicious),
     }
 
 

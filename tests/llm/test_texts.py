@@ -58,6 +58,24 @@ def test_entropy_spans_and_allow_list(spark):
     assert list(clean[1].asDict()) == docs.columns and secrets.cleaned(docs.limit(0)).count() == 0
 
 
+def test_entropy_of_upper_case_hex_letters_and_filled_runs(spark):
+    rng = random.Random(3)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secret = "aZ3kQ9vR7tLp2XwB8sNd4"
+    found = [key("0123456789ABCDEF", n) for n in (24, 32, 40, 64) for _ in range(60)] + [key("0123456789abcdefABCDEF", 32) for _ in range(60)]
+    mixed = [key(letters, n) for n in (20, 24, 32, 40) for _ in range(60)] + [key(letters, 24) + "7" for _ in range(60)]
+    found += [f"example/{secret}", f"{secret}/docs/sample", f"{secret}AAAAAAAA{secret}", f"{secret}AAAAAAAAAAAAAAA", f"abcdefghij{secret}", "q" * 80 + secret]
+    clean = ["someRatherLongCamelCaseName", "parseHTTPResponseBodyAndHeaders", "/usr/local/share/applications/defaults", "MAX_BUFFER_SIZE_OF_THE_TABLE", "Donaudampfschifffahrtsgesellschaft"]
+    clean += ["12345678901234567890123", "0123456789abcdef0123456789abcdef"[:23].upper(), "=" * 40, "A" * 40 + "1", f"{secret}example1", "path/to/example/of/a/file1", "some-Long_path/withWords/2024", "a/Bcd" * 20000, "SomeWords" * 20000, "123E4567-E89B-42D3-A456-426614174000"]
+    rows = list(enumerate([*found, *mixed, *clean]))
+    out = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(secrets.with_spans(spark.createDataFrame(rows, DOCS))).collect()}
+    hit = [f"entropy:0:{len(t)}" in out[i].split(",") for i, t in rows]
+    assert [t for (i, t) in rows[: len(found)] if not hit[i]] == []
+    assert sum(hit[len(found) : len(found) + len(mixed)]) >= 0.97 * len(mixed)
+    assert [t for (i, t) in rows[-len(clean) :] if hit[i]] == []
+
+
 def test_licences(spark):
     model = licenses.fitted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     rows = [(i, f"Some words first.\n{t}\nAnd more.") for i, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)]
