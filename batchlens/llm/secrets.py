@@ -10,7 +10,8 @@ of letters alone (and signs) that are words are left out; those in one case can'
 Allow-listing never removes a span of the first three kinds.
 
 Null and empty texts have no spans. Rows that repeat give rows that repeat. An
-empty table gives no rows. Matches are leftmost and don't overlap within a kind.
+empty table gives no rows. Matches are leftmost and don't overlap within a kind. Very long texts
+take time in proportion to their length, in one task. Other columns of the table, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# A run that is long enough begins where the leftmost run of any length would: these find what a length filter keeps.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 WINDOW = 20
 #: Character class: alphabet and least entropy in bits of some window of WINDOW characters.
 CLASSES = {
@@ -50,54 +52,75 @@ FILLERS = (
 # Marks that can't be part of a match; texts that have the first get the second for it, at the same places.
 _MARK, _OTHER = "\ue000", "\ue001"
 _SPANS = "array<struct<start:bigint,stop:bigint,text:string>>"
+#: Pieces of a text that are numbered together (even): an array that grows is copied at each step.
+_GROUP = 64
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """Start, stop and text of all leftmost matches that don't overlap."""
-    parts = F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+    """Start, stop and text of all leftmost matches that don't overlap, in time linear in the text.
+
+    The text is cut at its matches; every second piece is one. Pieces are numbered in groups of ``_GROUP``
+    from the group's own start, and the groups' starts are added up once.
+    """
+    cut = F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPANS).alias("found"))
 
-    def step(acc, part):
+    def piece(acc, part):
         stop = acc["at"] + F.length(part)
         own = F.array(F.struct(acc["at"].alias("start"), stop.alias("stop"), part.alias("text")))
         return F.struct(stop.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(parts, empty, step, lambda acc: acc["found"])
+    def grouped(parts):
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _GROUP).cast("int")), lambda g: F.slice(parts, g * _GROUP + 1, F.lit(_GROUP)))
+        return F.transform(groups, lambda g: F.aggregate(g, empty, piece))
+
+    def moved(groups):
+        starts = F.aggregate(groups, F.array(F.lit(0).cast("long")), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g["at"])))
+        return _let(starts, lambda at: F.flatten(F.transform(groups, lambda g, i: F.transform(g["found"], lambda m: F.struct((m["start"] + F.get(at, i)).alias("start"), (m["stop"] + F.get(at, i)).alias("stop"), m["text"].alias("text"))))))
+
+    return _let(cut, lambda parts: _let(grouped(parts), moved))
 
 
-def _guarded(text: Column, pattern: str, hint: Column, keep) -> Column:
-    return F.when(hint, F.filter(_matches(text, pattern), keep)).otherwise(F.array().cast(_SPANS))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _guarded(text: Column, pattern: str, hint: Column, keep=None) -> Column:
+    found = _matches(text, pattern)
+    return F.when(hint, F.filter(found, keep) if keep else found).otherwise(F.array().cast(_SPANS))
 
 
 def window_entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy (bits) of any window of ``window`` characters, by incremental counts; -1 without one.
+    """The highest Shannon entropy (bits) of any window of ``window`` characters (63 at most), by incremental counts; -1 without one.
 
-    The state holds the count of each character of the class in the window and the sum of c * log2(c);
-    a step changes two counts and two terms of the sum.
+    The state holds the count of each character of the class in the window, packed ten to an integer, and the sum of c * log2(c);
+    a step changes the counts of the character that enters and the one that leaves, and two terms of the sum.
     """
     chars = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c))
     terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     start = F.struct(
-        F.lit(1).alias("i"), F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(1e9).cast("double").alias("low")
+        F.lit(1).alias("i"), F.array_repeat(F.lit(0).cast("long"), len(alphabet) // 10 + 1).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(1e9).cast("double").alias("low")
     )
-
-    def shift(counts, at, by):
-        return F.transform(counts, lambda c, i: c + F.when(i == at, F.lit(by)).otherwise(F.lit(0)))
+    place = lambda slot: F.struct(F.floor(slot / 10).cast("int").alias("word"), (slot % 10 * 6).alias("bit"))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at["bit"])
+    count = lambda counts, at: F.call_function("shiftright", F.get(counts, at["word"]), at["bit"]).bitwiseAND(F.lit(63).cast("long")).cast("int")
 
     def step(acc, cs):
-        new = cs["new"]
-        n = F.get(acc["counts"], new)
+        new, old, full = cs["new"], cs["old"], acc["i"] > window
+        n = count(acc["counts"], new)
         grown = acc["sum"] + F.get(terms, n + 1) - F.get(terms, n)
-        counts = shift(acc["counts"], new, 1)
-        m = F.get(counts, cs["old"])
-        gone = F.when(cs["old"] >= 0, grown - F.get(terms, m) + F.get(terms, m - 1)).otherwise(grown)
-        left = F.when(cs["old"] >= 0, shift(counts, cs["old"], -1)).otherwise(counts)
+        m = count(acc["counts"], old) + F.when((new["word"] == old["word"]) & (new["bit"] == old["bit"]), 1).otherwise(0)
+        gone = F.when(full, grown - F.get(terms, m) + F.get(terms, m - 1)).otherwise(grown)
+        by = lambda x, k: x + F.when(k == new["word"], one(new)).otherwise(F.lit(0).cast("long")) - F.when(full & (k == old["word"]), one(old)).otherwise(F.lit(0).cast("long"))
         low = F.when(acc["i"] >= window, F.least(acc["low"], gone)).otherwise(acc["low"])
-        return F.struct((acc["i"] + 1).alias("i"), left.alias("counts"), gone.alias("sum"), low.alias("low"))
+        return F.struct((acc["i"] + 1).alias("i"), F.transform(acc["counts"], by).alias("counts"), gone.alias("sum"), low.alias("low"))
+
+    def best(slots):
+        moves = F.transform(slots, lambda c, i: F.struct(place(c).alias("new"), place(F.coalesce(F.get(slots, i - window), F.lit(0))).alias("old")))
+        return F.aggregate(moves, start, step, lambda acc: F.lit(math.log2(window)) - acc["low"] / window)
 
-    moves = F.transform(chars, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(chars, i - window)).otherwise(F.lit(-1)).alias("old")))
-    best = F.aggregate(moves, start, step, lambda acc: F.lit(math.log2(window)) - acc["low"] / window)
-    return F.when(F.length(text) >= window, best).otherwise(F.lit(-1.0))
+    return F.when(F.length(text) >= window, _let(chars, best)).otherwise(F.lit(-1.0))
 
 
 def _dense(text: Column) -> Column:
@@ -125,8 +148,8 @@ def spans_of(text: Column) -> dict[str, Column]:
     words = lower.contains("password") | lower.contains("passwd") | lower.contains("secret") | lower.contains("token") | lower.contains("api")
     return {
         "assign": _guarded(text, ASSIGN, words, lambda m: m["text"].rlike(ASSIGN_VALUE)),
-        "access": _guarded(text, ACCESS, text.contains("AKIA"), lambda m: F.length(m["text"]) >= 20),
-        "hex": _guarded(text, HEX, text.rlike("[0-9a-f]{24}"), lambda m: F.length(m["text"]) >= 24),
+        "access": _guarded(text, ACCESS, text.contains("AKIA")),
+        "hex": _guarded(text, HEX, text.rlike("[0-9a-f]{24}")),
         "entropy": _guarded(text, CANDIDATE, text.rlike("[A-Za-z0-9+/_=-]{20}"), _suspicious),
     }
 
