@@ -243,13 +243,13 @@ def licensed_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     start = F.array(*[F.lit(round(float(x), 6)) for x in model.intercept / model.temperature])
     known = F.array(*[F.lit(model.vocabulary[i]) for i in used])
     grams = F.array_intersect(F.concat(F.array_distinct("words"), "pairs"), known)
-    sums = F.aggregate(grams, start, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
-    lines = lines.withColumn("z", sums)
-    lines = lines.withColumn("top", F.array_max("z"))
-    lines = lines.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top"))))
     names = F.array(*map(F.lit, model.families))
-    lines = lines.withColumn("family", F.element_at(names, F.array_position("z", F.col("top")).cast("int")))
-    lines = lines.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  a value that is used more than once
+    share = lambda z, top: F.struct(F.element_at(names, F.array_position(z, top).cast("int")).alias("family"), (1 / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))).alias("probability"))
+    sums = F.aggregate(grams, start, lambda acc, g: once(F.element_at(table, g), lambda w: F.zip_with(acc, w, lambda a, b: a + b)))
+    best = once(sums, lambda z: once(F.array_max(z), lambda top: share(z, top)))
+    best = F.filter(F.array(best), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= LEAST))
+    lines = lines.select("doc_id", "paragraph", "pairs", F.explode(best).alias("best")).select("doc_id", "paragraph", "pairs", "best.*")
     similarity = F.lit(0.0)
     for family, templates in TEMPLATES.items():
         scores = []
