@@ -6,7 +6,7 @@ Features are the presence of word unigrams and bigrams that hold a licence word:
 and at most ``SAMPLE`` plain paragraphs of the corpus, gives each paragraph a family or ``unknown``. The
 sample has three lines, from anywhere in the text, of each of ``SAMPLE / 3`` documents, without repeats and
 without lines that name a licence or cover a template; its
-probabilities are calibrated by a temperature fitted on held-out variants. A family is confirmed where the
+probabilities, unknown's among them, are calibrated by a temperature fitted on templates that training left out, with all their variants. A family is confirmed where the
 paragraph's word bigrams cover one of its templates, or are covered by one, to ``CONFIRM``.
 
 A paragraph is a line of a text. Paragraphs without a licence word have no features, and so the
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 SAMPLE = 600
 CONFIRM = 0.6
+#: In calibration each template is left out of training once, with its variants.
+FOLDS = 5
 LEAST = 0.5
 #: Share of a template's licence bigrams (or of the line's) from which a sampled line is no plain paragraph.
 LIKE = 0.3
@@ -165,16 +167,18 @@ class Model:
         self.cues = _cues()
         cues = set(self.cues)
         self.families = [*texts, UNKNOWN]
-        rows, labels = [], []
+        rows, labels, source = [], [], []
         for k, ts in enumerate(texts.values()):
-            for t in ts:
+            for j, t in enumerate(ts):
                 for v in range(10):
                     noise = negatives[rng.integers(len(negatives))][: 2 * (v % 4)]
                     part = t if v < 6 else t[: max(3, len(t) * 7 // 10)] if v < 8 else t[len(t) * 3 // 10 :]
                     rows.append(part + noise if v % 2 else noise + part)
                     labels.append(k)
+                    source.append(j)
         rows += negatives
         labels += [len(texts)] * len(negatives)
+        source += list(range(len(negatives)))
         kept = lambda words: {g for g in _grams(words) if any(w in cues for w in g.split())}
         grams = [kept(w) for w in rows]
         self.vocabulary = sorted({g for r, k in zip(grams, labels) if k < len(texts) for g in r if g in set().union(*(_grams(t) for t in texts[self.families[k]]))})
@@ -184,12 +188,19 @@ class Model:
         for i, r in enumerate(grams):
             x[i, [at[g] for g in r if g in at]] = 1
         y = np.eye(len(self.families), dtype=np.float32)[labels]
-        held = np.arange(len(rows)) % 5 == 4
-        w = self._fitted(x[~held], y[~held])
-        self.temperature = min(np.linspace(0.3, 2.0, 18), key=lambda t: -np.log(np.maximum(self._shares(x[held] @ w / t), 1e-9))[y[held] > 0].mean())
+        self.temperature = self._temperature(x, y, np.array(source) % FOLDS)
+        w = self._fitted(x, y)
         self.weights, self.intercept = w[:-1], w[-1]
         self.telling = self._telling(Counter(g for n in negatives for g in set(n) & cues))
 
+    def _temperature(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+        """The temperature with the least log loss on templates (and plain paragraphs) that were left out of training, fold by fold."""
+        logits = np.zeros(y.shape, np.float32)
+        for f in range(FOLDS):
+            logits[fold == f] = x[fold == f] @ self._fitted(x[fold != f], y[fold != f], rounds=200)
+        loss = lambda t: -np.log(np.maximum(self._shares(logits / t), 1e-9))[y > 0].mean()
+        return float(min(np.geomspace(0.3, 6.0, 40), key=loss))
+
     def _telling(self, times: Counter) -> list[str]:
         """The licence words without those that, all together and with all their n-grams, leave a paragraph unknown; frequent ones are tried first."""
         gain = np.maximum(self.weights[:, :-1] - self.weights[:, -1:], 0)
