@@ -130,8 +130,8 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     return mix(out), out_bounds
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``most`` bytes of text (one row at least)."""
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` bytes of text and of ``rows`` rows (one row at least)."""
     for batch in batches:
         column = batch.column(text)
         if not len(column):
@@ -140,6 +140,6 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
         at = 0
         while at < len(column):
             base = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, base + most, "right"))))
             yield batch.slice(at, stop - at)
             at = stop
