@@ -33,6 +33,7 @@ from batchlens.llm.words import mix, sliced, word_hashes
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 DISCOUNT = 0.75
 _CHUNK = 1 << 20
+_PACKED = 21
 _WORDS_A_SHARD = 2 << 20
 _LOWEST = -9.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +52,15 @@ def _short(h: np.ndarray) -> np.ndarray:
 
 
 def _spread(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.uint16)
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def _by_shard(shard: np.ndarray):
+    """Each shard that occurs, and where."""
+    order = np.argsort(shard, kind="stable")
+    first = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, b in zip(first, [*first[1:], len(order)]):
+        yield int(shard[order[a]]), order[a:b]
 
 
 def _streams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,14 +107,10 @@ class Model:
     def word_counts(self, words: np.ndarray) -> np.ndarray:
         """The training counts of word hashes."""
         out, shard = np.zeros(len(words), np.int64), _spread(words, self.shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            own = order[cuts[s] : cuts[s + 1]]
-            if len(own):
-                arrays = unpack_arrays(scratch.mapped(f"{self.path}/words-{s}"))
-                at, same = EliasFano(arrays[:4]).successor(words[own])
-                out[own[same]] = arrays[4][at[same]]
+        for s, own in _by_shard(shard):
+            arrays = unpack_arrays(scratch.mapped(f"{self.path}/words-{s}"))
+            at, same = EliasFano(arrays[:4]).successor(words[own])
+            out[own[same]] = arrays[4][at[same]]
         return out
 
     def node(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -119,14 +124,8 @@ class Model:
     def ngrams(self, a: np.ndarray, b: np.ndarray, c: np.ndarray):
         """For n-grams (a, b, c): f(b|a), l(a), f(c|ab), l(ab) as probabilities and weights."""
         node = self.node(a, b)
-        shard = _spread(node, self.parts)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.parts + 1))
         f2, l2, f3, l3 = np.zeros(len(a)), np.ones(len(a)), np.zeros(len(a)), np.ones(len(a))
-        for s in range(self.parts):
-            own = order[cuts[s] : cuts[s + 1]]
-            if not len(own):
-                continue
+        for s, own in _by_shard(_spread(node, self.parts)):
             arrays = unpack_arrays(scratch.mapped(f"{self.path}/ngrams-{s}"))
             nodes, pointers, pairs, pair_pointers, triples = (EliasFano(arrays[4 * i : 4 * i + 4]) for i in range(5))
             back, pair_code, pair_back, triple_code = arrays[20:24]
@@ -155,14 +154,14 @@ def _below(values: EliasFano, pointers: EliasFano, context: np.ndarray, word: np
     return out, found
 
 
-def _count_words(training: DataFrame, path: str, shards: int) -> list:
+def _count_words(training: DataFrame, path: str, shards: int) -> DataFrame:
+    """Write the words' files; total, size, and the frequent words of each shard with words."""
     def count(batches):
         for _, stream, _ in _chunks(batches):
             words, n = np.unique(stream[stream != START], return_counts=True)
-            cuts = np.searchsorted(_spread(words, shards), np.arange(shards + 1))
-            some = np.flatnonzero(np.diff(cuts))
+            some = list(_by_shard(_spread(words, shards)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), *(pa.array([x[cuts[s] : cuts[s + 1]].astype("<u8").tobytes() if x is words else x[cuts[s] : cuts[s + 1]].astype("<u4").tobytes() for s in some], pa.binary()) for x in (words, n))],
+                [pa.array([s for s, _ in some], pa.int32()), *(pa.array([x[own].astype(t).tobytes() for _, own in some], pa.binary()) for x, t in ((words, "<u8"), (n, "<u4")))],
                 ["shard", "words", "n"],
             )
 
@@ -170,18 +169,34 @@ def _count_words(training: DataFrame, path: str, shards: int) -> list:
         held = defaultdict(list)
         for batch in batches:
             for s, w, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "words", "n"))):
-                held[s].append((w, n))
+                held[s] += [(w, n)] * (w is not None)
         for s, got in held.items():
+            if not got:
+                scratch.put_bytes(f"{path}/words-{s}", pack_arrays([*build(np.zeros(0, np.uint64)), np.zeros(0, "<u8")]))
+                continue
             words, n = (np.concatenate([np.frombuffer(x[i], t) for x in got]) for i, t in ((0, "<u8"), (1, "<u4")))
             order = np.argsort(words)
             first = np.flatnonzero(np.diff(words[order], prepend=words[order[:1]] + np.uint64(1)))
             words, n = words[order][first], np.add.reduceat(n[order].astype(np.int64), first)
             scratch.put_bytes(f"{path}/words-{s}", pack_arrays([*build(words), n.astype("<u8")]))
-            top = np.argsort(-n)[:64]
+            top = np.flatnonzero(n >= max(1, min(_WORDS_A_SHARD // 2, n.sum() // 64)))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((s, pa.int32()), (int(n.sum()), pa.int64()), (len(n), pa.int64()), (words[top].view(np.int64), pa.list_(pa.int64())), (n[top], pa.list_(pa.int64())))], ["shard", "total", "size", "words", "n"])
 
-    blobs = training.select("text").mapInArrow(count, "shard int, words binary, n binary")
-    return blobs.repartition(shards, "shard").mapInArrow(write, "shard int, total long, size long, words array<long>, n array<long>").collect()
+    every = training.sparkSession.range(shards).selectExpr("cast(id as int) as shard", "cast(null as binary) as words", "cast(null as binary) as n")  # a file for each shard
+    blobs = training.select("text").mapInArrow(count, "shard int, words binary, n binary").union(every)
+    return scratch.saved(blobs.repartition(shards, "shard").mapInArrow(write, "shard int, total long, size long, words array<long>, n array<long>"), "ngram-words")
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct triples of word numbers and how often each occurs; in one integer where the numbers have at most _PACKED bits."""
+    if max(x.max(initial=0) for x in (a, b, c)) < 1 << _PACKED:
+        shift, mask = np.uint64(_PACKED), np.uint64((1 << _PACKED) - 1)
+        key, n = np.unique((((a.astype(np.uint64) << shift) | b.astype(np.uint64)) << shift) | c.astype(np.uint64), return_counts=True)
+        return *((x & mask).astype(np.int64) for x in (key >> shift >> shift, key >> shift, key)), n
+    order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+    return a[first], b[first], c[first], np.diff(np.append(first, len(a)))
 
 
 def _events(model: Model, stream: np.ndarray, begins: np.ndarray):
@@ -191,9 +206,8 @@ def _events(model: Model, stream: np.ndarray, begins: np.ndarray):
     last[begins[1:] - 1] = True
     i = np.flatnonzero(~last)
     third = np.where(last[i + 1], 0, ids[np.minimum(i + 2, len(ids) - 1)] + 1)
-    key, n = np.unique((ids[i].astype(np.uint64) << np.uint64(42)) | (ids[i + 1].astype(np.uint64) << np.uint64(21)) | third.astype(np.uint64), return_counts=True)
-    mask = np.uint64((1 << 21) - 1)
-    a, b, c = words[(key >> np.uint64(42)).astype(np.int64)], words[((key >> np.uint64(21)) & mask).astype(np.int64)], (key & mask).astype(np.int64)
+    a, b, c, n = _distinct(ids[i], ids[i + 1], third)
+    a, b = words[a], words[b]
     node = model.node(a, b)
     short = np.concatenate([np.zeros(1, np.uint32), _short(words)])
     return node, _short(b), short[c], n.astype(np.uint32)
@@ -238,14 +252,13 @@ def train(training: DataFrame) -> Model:
     """Train on the column ``text`` of all rows."""
     spark = training.sparkSession
     path = scratch.new_path(spark, "ngram-lm")
-    shards = int(np.clip((training.agg(F.sum(F.length("text"))).first()[0] or 0) // (16 << 20), 12, 4096))
+    shards = max(12, (training.agg(F.sum(F.length("text"))).first()[0] or 0) // (16 << 20))
     done = _count_words(training, path, shards)
-    for s in set(range(shards)) - {r["shard"] for r in done}:
-        scratch.put_bytes(f"{path}/words-{s}", pack_arrays([*build(np.zeros(0, np.uint64)), np.zeros(0, "<u8")]))
-    tokens, distinct = sum(r["total"] for r in done), sum(r["size"] for r in done)
-    parts = int(np.clip(tokens // _WORDS_A_SHARD, 12, 65_535))
+    tokens, distinct = (x or 0 for x in done.agg(F.sum("total"), F.sum("size")).first())
+    parts = max(12, tokens // _WORDS_A_SHARD)
     most = max(1, tokens // (2 * parts))
-    top = {w & (2**64 - 1): n for r in done for w, n in zip(r["words"], r["n"]) if n > most}
+    frequent = done.select(F.explode(F.arrays_zip("words", "n")).alias("x")).select("x.*").where(F.col("n") > most)
+    top = {r["words"] & (2**64 - 1): r["n"] for r in frequent.collect()}
     texts = training.count() if tokens else 0
     if texts > most:
         top[int(START)] = texts
@@ -261,17 +274,14 @@ def train(training: DataFrame) -> Model:
     def emit(batches):
         for _, stream, begins in _chunks(batches):
             node, b, c, n = _events(model, stream, begins)
-            shard = _spread(node, parts)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(parts + 1))
-            some, blobs = np.flatnonzero(np.diff(cuts)), []
-            for s in some:
-                own = order[cuts[s] : cuts[s + 1]]
+            some, blobs = [], []
+            for s, own in _by_shard(_spread(node, parts)):
+                some.append(s)
                 first = _runs(node[own])
                 length = np.diff(np.append(first, len(own))).astype("<u4")
                 raw = b"".join(pack_arrays([node[own][first], length, b[own], c[own], n[own]]))
                 blobs.append(np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "ngrams"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "ngrams"])
 
     known = np.array(sorted(virtual), np.uint64)
     known_total = np.array([virtual[int(x)][1] for x in known], np.float64)
@@ -286,9 +296,13 @@ def train(training: DataFrame) -> Model:
         held = defaultdict(list)
         for batch in batches:
             for s, raw in zip(batch.column("shard").to_pylist(), batch.column("ngrams").to_pylist()):
-                held[s].append(raw)
+                held[s] += [raw] * (raw is not None)
         for s in list(held):
             got = []
+            if not held[s]:
+                none = np.zeros(0, np.uint64)
+                scratch.put_bytes(f"{path}/ngrams-{s}", pack_arrays([*build(none), *build(np.zeros(1, np.uint64)), *build(none), *build(np.zeros(1, np.uint64)), *build(none), *[np.zeros(0, np.uint8)] * 4]))
+                continue
             for raw in held.pop(s):
                 whole = pa.decompress(raw[8:], decompressed_size=int(np.frombuffer(raw[:8], "<i8")[0]), codec="zstd", asbytes=True)
                 node, length, b, c, n = unpack_arrays(np.frombuffer(whole, np.uint8))
@@ -298,13 +312,11 @@ def train(training: DataFrame) -> Model:
             split = np.isin(nodes, known)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([nodes[split].view(np.int64)], pa.list_(pa.int64())), pa.array([size[split]], pa.list_(pa.int64()))], ["shard", "nodes", "sizes"])
 
-    blobs = training.select("text").mapInArrow(emit, "shard int, ngrams binary").repartition(parts, "shard")
-    done = blobs.mapInArrow(write, "shard int, nodes array<long>, sizes array<long>").collect()
-    for s in set(range(parts)) - {r["shard"] for r in done}:
-        none = np.zeros(0, np.uint64)
-        scratch.put_bytes(f"{path}/ngrams-{s}", pack_arrays([*build(none), *build(np.zeros(1, np.uint64)), *build(none), *build(np.zeros(1, np.uint64)), *build(none), *[np.zeros(0, np.uint8)] * 4]))
+    every = spark.range(parts).selectExpr("cast(id as int) as shard", "cast(null as binary) as ngrams")  # a file for each shard
+    blobs = training.select("text").mapInArrow(emit, "shard int, ngrams binary").union(every).repartition(parts, "shard")
+    split_nodes = blobs.mapInArrow(write, "shard int, nodes array<long>, sizes array<long>").where(F.size("nodes") > 0)
     kinds: dict[int, int] = defaultdict(int)
-    for r in done:
+    for r in split_nodes.collect():
         for node, size in zip(r["nodes"], r["sizes"]):
             kinds[virtual[node & (2**64 - 1)][0]] += size
     keep = splits > 1
