@@ -4,21 +4,23 @@ For each benchmark item all windows of a document that have as many words as
 the item (the whole document where it has fewer) and share at least one shingle
 with it get a 64-bit SimHash of their shingles, weighted by how often each occurs. A
 multi-index over four 16-bit blocks finds every item fingerprint within ``RADIUS`` = 15
-bits: of 15 differing bits, some block has at most 3, and the index lists each item
-under all block values within 3 bits of its own. The candidates are then verified by
+bits: of 15 differing bits, some block has at most 3, so each block of a window is looked up
+with all sets of up to 3 bits flipped; the index lists each item once a block. The candidates are then verified by
 the exact weighted Jaccard similarity of window and item (sum of minima over sum of maxima).
 A window without any shared shingle has similarity 0, so leaving it out loses nothing.
 
-Words are compared in lower case without punctuation. The benchmark is broadcast;
-``MOST_ITEM_BYTES`` bounds it, and larger benchmarks are worked off in several passes.
+Words are compared in lower case without punctuation. The benchmark's index is cut into files for ``MOST_ITEM_BYTES``
+of items each (about 30 bytes a word); a scan works off one after the other.
 
 Nulls and empty texts contain nothing and match nothing; items with fewer words than
 a shingle are one shingle of all their words, found where a window of so many words is equal; rows that repeat give rows that repeat; items with equal
-text all match. Empty tables give no rows.
+text all match. Empty tables give no rows. Other columns stay as they are, whatever their names but ``__plain``.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.llm import scratch
 from batchlens.llm.words import mix, shingle_hashes, sliced, word_hashes
 
 RADIUS = 15
 _NEAR = 3
 MOST_ITEM_BYTES = 4 << 20
+#: Places of a document that are worked on together.
+SPAN = 16_384
 _BITS = np.arange(64, dtype=np.uint64)
+_FLIPS = np.array([sum(1 << b for b in c) for n in range(_NEAR + 1) for c in combinations(range(16), n)], np.uint16)
 
 
 def plain_words(text):
@@ -85,14 +91,13 @@ class Index:
                 self.short.setdefault(n, []).append((int(s[0]), i))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.key >> np.uint64(44)).astype(np.int64)] = True
-        flips = np.array([sum(1 << b for b in c) for n in range(_NEAR + 1) for c in combinations(range(16), n)], np.uint64)
+        #: Of each block: whether an item has the value, where its items begin, and the items by value.
         self.blocks = []
         for b in range(4):
-            value = (self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-            near = (value[:, None] ^ flips).ravel().astype(np.int64)
-            item = np.repeat(np.arange(len(value)), len(flips))
-            by = np.argsort(near, kind="stable")
-            self.blocks.append((np.searchsorted(near[by], np.arange((1 << 16) + 1)), item[by]))
+            value = ((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            by = np.argsort(value, kind="stable")
+            starts = np.searchsorted(value[by], np.arange((1 << 16) + 1))
+            self.blocks.append((np.diff(starts) > 0, starts, by))
 
     def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``shingles`` and items that have the shingle there."""
@@ -104,26 +109,29 @@ class Index:
         return np.repeat(maybe, n), self.owner[np.repeat(first, n) + inner]
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (fingerprint, item) within RADIUS bits."""
-        found = []
-        for b, (starts, items) in enumerate(self.blocks):
-            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            n = starts[value + 1] - starts[value]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + items[np.repeat(starts[value], n) + inner])
-        pair = np.unique(np.concatenate(found))
-        w, i = pair // len(self.ids), pair % len(self.ids)
+        """All pairs (fingerprint, item) within RADIUS bits: each block's value is looked up with up to _NEAR bits flipped."""
+        pairs = [np.zeros(0, np.int64)]
+        for a in range(0, len(prints), 512):
+            for b, (some, starts, items) in enumerate(self.blocks):
+                value = ((prints[a : a + 512] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+                flipped = value[:, None] ^ _FLIPS
+                w, f = np.nonzero(some[flipped])
+                value = flipped[w, f].astype(np.int64)
+                n = starts[value + 1] - starts[value]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pairs.append((np.repeat(w, n) + a) * len(self.ids) + items[np.repeat(starts[value], n) + inner])
+        pair = np.unique(np.concatenate(pairs))
+        w, i = np.divmod(pair, max(1, len(self.ids)))
         close = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
         return w[close], i[close]
 
 
 def _in_document(index: Index, shingles: np.ndarray, n_words: int, at: np.ndarray, items: np.ndarray, k: int, least: float) -> list[tuple[int, int, float]]:
-    """(item, first word of the best window, similarity) for one document's shared shingles."""
+    """(item, first word of the best window, similarity) for one document's shared shingles.
+
+    Windows are worked on ``SPAN`` places at a time, so memory doesn't grow with the document beyond its shingles.
+    """
     best: dict[int, tuple[float, int]] = {}
-    lo, hi = max(0, int(at.min())), int(at.max()) + 1
-    widest = max(1, int(index.words[items].max()) - k + 1)
-    lo, hi = max(0, lo - widest + 1), min(len(shingles), hi + widest - 1)
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(shingles[lo:hi]), axis=0, dtype=np.int32)])
     for size in np.unique(np.minimum(index.words[items], n_words)):
         n = max(1, int(size) - k + 1)
         own = at[np.minimum(index.words[items], n_words) == size]
@@ -131,30 +139,35 @@ def _in_document(index: Index, shingles: np.ndarray, n_words: int, at: np.ndarra
         np.add.at(reach, np.maximum(own - n + 1, 0), 1)
         np.add.at(reach, own + 1, -1)
         starts = np.flatnonzero(np.cumsum(reach)[: max(1, len(shingles) - n + 1)] > 0)
-        starts = starts[(starts >= lo) & (starts + n <= hi)]
-        if not len(starts):
-            continue
-        w, i = index.near(fingerprint(sums[starts - lo + n] - sums[starts - lo]))
-        same = np.minimum(index.words[i], n_words) == size
-        for s, item in zip(starts[w[same]].tolist(), i[same].tolist()):
-            value = weighted_jaccard(shingles[s : s + n], index.shingles[item])
-            if value >= least and value > best.get(item, (0.0, 0))[0]:
-                best[item] = (value, s)
+        for some in np.split(starts, np.flatnonzero(np.diff(starts // SPAN)) + 1):
+            if not len(some):
+                continue
+            lo = some[0]
+            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(shingles[lo : some[-1] + n]), axis=0, dtype=np.int32)])
+            w, i = index.near(fingerprint(sums[some - lo + n] - sums[some - lo]))
+            same = np.minimum(index.words[i], n_words) == size
+            for s, item in zip(some[w[same]].tolist(), i[same].tolist()):
+                value = weighted_jaccard(shingles[s : s + n], index.shingles[item])
+                if value >= least and value > best.get(item, (0.0, 0))[0]:
+                    best[item] = (value, s)
     return [(item, s, value) for item, (value, s) in sorted(best.items())]
 
 
-def _indexes(benchmark: DataFrame, k: int) -> list[Index]:
-    """The benchmark in indexes of bounded size; each is broadcast in a pass of its own."""
+def _indexes(benchmark: DataFrame, k: int) -> list[str]:
+    """The benchmark in index files of bounded size in the shared folder; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), plain_words(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes, out = -(-size // MOST_ITEM_BYTES), []
+    passes, path = -(-size // MOST_ITEM_BYTES), scratch.new_path(benchmark.sparkSession, "benchmark")
     for p in range(passes):
         own = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         got = own.orderBy("item_id", "text").collect()
-        index = Index([r["item_id"] for r in got], [r["text"] for r in got], k)
-        if len(index.ids):
-            out.append(index)
-    return out
+        scratch.put_bytes(f"{path}/{p}", [pickle.dumps(Index([r["item_id"] for r in got], [r["text"] for r in got], k))])
+    return [f"{path}/{p}" for p in range(passes)]
+
+
+@lru_cache(maxsize=2)
+def _index(path: str) -> Index:
+    return pickle.loads(scratch.mapped(path).tobytes())
 
 
 def _found(index: Index, column: pa.Array, k: int, least: float) -> list[tuple[int, int, int, float]]:
@@ -181,12 +194,14 @@ def _found(index: Index, column: pa.Array, k: int, least: float) -> list[tuple[i
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, first_word, similarity: the best window of each pair with similarity ``least`` or more."""
     schema = "doc_id long, item_id long, first_word long, similarity double"
-    out = docs.sparkSession.createDataFrame([], schema)
     texts = docs.select(F.col("doc_id").cast("long"), plain_words(F.col("text")).alias("text"))
 
-    def scan(index: Index):
-        def run(batches):
-            for batch in sliced(batches, "text"):
+    paths = _indexes(benchmark, k)
+
+    def run(batches):
+        for batch in sliced(batches, "text"):
+            for path in paths:
+                index = _index(path)
                 rows = _found(index, batch.column("text"), k, least)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -196,30 +211,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
                     ["doc_id", "item_id", "first_word", "similarity"],
                 )
 
-        return run
-
-    for n, index in enumerate(_indexes(benchmark, k)):
-        part = texts.mapInArrow(scan(index), schema)
-        out = out.union(part) if n else part
-    return out
+    return texts.mapInArrow(run, schema)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found."""
-    plain, out = "__plain", docs
-
-    def scan(index: Index):
-        def run(batches):
-            for batch in sliced(batches, plain):
-                keep = np.ones(len(batch), bool)
-                keep[[r[0] for r in _found(index, batch.column(plain), k, least)]] = False
-                yield batch.drop_columns([plain]).filter(pa.array(keep))
+    plain, paths = "__plain", _indexes(benchmark, k)
 
-        return run
+    def run(batches):
+        for batch in sliced(batches, plain):
+            keep = np.ones(len(batch), bool)
+            for path in paths:
+                keep[[r[0] for r in _found(_index(path), batch.column(plain), k, least)]] = False
+            yield batch.drop_columns([plain]).filter(pa.array(keep))
 
-    for index in _indexes(benchmark, k):
-        out = out.withColumn(plain, plain_words(F.col("text"))).mapInArrow(scan(index), docs.schema)
-    return out
+    return docs.withColumn(plain, plain_words(F.col("text"))).mapInArrow(run, docs.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Everything that one stage leaves for another goes below ``spark.checkpoint.dir``,
 the folder that the driver and all executors share, so that a lost executor
-loses nothing. Where the session names none (tests, a laptop), a temporary folder is
-made and set once.
+loses nothing. Where a session on one machine names none (tests, a laptop), a temporary folder is
+made and set once; on a cluster that is an error. Tables that are superseded within a job are deleted (``drop``);
+what results may still read stays until the user clears the folder.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The URI of the shared folder; one is made only where the session names none."""
     folder = spark.conf.get(KEY, None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{KEY} must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="batchlens-")
         spark.conf.set(KEY, folder)
     return folder.rstrip("/")
@@ -39,7 +42,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``saved`` wrote and that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mounted(uri: str) -> bool:
+    """Whether the file can be memory-mapped."""
+    return _local(uri) is not None
 
 
 def _local(uri: str) -> str | None:
