@@ -22,9 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
-        labels = scratch.saved(step.join(jump, "mid").select("id", F.least("mid", "far").alias("component")), "labels")
+        old, labels = labels, scratch.saved(step.join(jump, "mid").select("id", F.least("mid", "far").alias("component")), "labels")
+        scratch.drop(old)
         now = labels.agg(total).first()[0]
         if now == before:
             break
         before = now
+    scratch.drop(both)
     return labels

@@ -40,40 +40,50 @@ class SlotCounts:
         return {"path": self.path, "bits": self.bits, "shards": self.shards, "open": {}}
 
     def _shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        if s not in self.open:
-            raw = scratch.mapped(f"{self.path}/{s}")
-            n = int(raw[:8].view("<i8")[0])
-            self.open[s] = raw[8 : 8 + 8 * n].view("<u8"), raw[8 + 8 * n : 8 + 10 * n].view("<u2")
-        return self.open[s]
+        """A shard's slots and counts: mapped once, or, where the folder isn't mounted, read into memory for this call only."""
+        if s in self.open:
+            return self.open[s]
+        raw = scratch.mapped(f"{self.path}/{s}")
+        n = int(raw[:8].view("<i8")[0])
+        got = raw[8 : 8 + 8 * n].view("<u8"), raw[8 + 8 * n : 8 + 10 * n].view("<u2")
+        if scratch.mounted(self.path) and len(self.open) < 4096:
+            self.open[s] = got
+        return got
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         slot = keys >> np.uint64(64 - self.bits)
-        shard = (slot * np.uint64(self.shards) >> np.uint64(self.bits)).astype(np.uint16)
+        shard = _shard_of(slot, self.bits, self.shards)
         order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        first = np.flatnonzero(np.diff(shard[order], prepend=-1))
         out = np.ones(len(keys), np.uint16)
-        for s in range(self.shards):
-            own = order[bounds[s] : bounds[s + 1]]
-            slots, counts = self._shard(s)
-            if len(own) and len(slots):
+        for a, b in zip(first, [*first[1:], len(order)]):
+            own = order[a:b]
+            slots, counts = self._shard(int(shard[own[0]]))
+            if len(slots):
                 at = np.searchsorted(slots, slot[own])
                 at[at == len(slots)] = 0
                 out[own] = np.where(slots[at] == slot[own], counts[at], 1)
         return out
 
 
+def _shard_of(slot: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """The shard of each slot; ascending in the slots."""
+    high = slot >> np.uint64(bits - 32) if bits > 32 else slot << np.uint64(32 - bits)
+    return (high * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
 def slot_counts(keys: DataFrame, keys_of, characters: int) -> SlotCounts:
     """Count the keys that ``keys_of(batch)`` (an array of 64-bit hashes) gives for all batches of ``keys``."""
     spark = keys.sparkSession
     bits = int(np.clip(np.ceil(np.log2(max(2, 4 * characters))), 20, 44))
-    shards = int(np.clip(characters // (16 << 20), 12, 4096))
+    shards = max(12, characters // (16 << 20))
     path = scratch.new_path(spark, "slots")
 
     def emit(held):
         slot = np.sort(np.concatenate(held) >> np.uint64(64 - bits))
-        bounds = np.searchsorted(slot, (np.arange(shards + 1).astype(np.uint64) << np.uint64(bits)) // np.uint64(shards))
-        some = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
-        parts = [slot[bounds[s] : bounds[s + 1]] for s in some]
+        shard = _shard_of(slot, bits, shards)
+        first = np.flatnonzero(np.diff(shard, prepend=-1))
+        some, parts = shard[first], np.split(slot, first[1:])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(some, pa.int32()), pa.array([int(x[0]) for x in parts], pa.int64()), pa.array([len(x) for x in parts], pa.int64()),
@@ -97,20 +107,23 @@ def slot_counts(keys: DataFrame, keys_of, characters: int) -> SlotCounts:
         parts = defaultdict(list)
         for batch in batches:
             for s, first, n, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "n", "steps"))):
-                parts[s].append((first, n, raw))
+                parts[s] += [(first, n, raw)] * (n > 0)
         for s, got in parts.items():
+            if not got:
+                scratch.put_bytes(f"{path}/{s}", [np.zeros(1, "<i8").tobytes()])
+                continue
             slot = np.concatenate([np.cumsum(_unpacked(raw, n, "<u4" if bits < 33 else "<u8"), dtype=np.uint64) + np.uint64(first) for first, n, raw in got])
             slot.sort()
             new = np.flatnonzero(np.diff(slot, prepend=slot[:1] + np.uint64(1)))
             times = np.diff(new, append=len(slot))
             keep = times > 1
             scratch.put_bytes(f"{path}/{s}", [np.array([keep.sum()], "<i8").tobytes(), slot[new[keep]].astype("<u8").tobytes(), np.minimum(times[keep], 65535).astype("<u2").tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(slot)], pa.int64())], ["shard", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int64())], ["n"])
 
-    blobs = keys.mapInArrow(count, "shard int, first long, n long, steps binary")
-    done = blobs.repartition(shards, "shard").mapInArrow(write, "shard int, n long").select("shard").collect()
-    for s in set(range(shards)) - {r["shard"] for r in done}:
-        scratch.put_bytes(f"{path}/{s}", [np.zeros(1, "<i8").tobytes()])
+    schema = "shard int, first long, n long, steps binary"
+    every = spark.range(shards).selectExpr("cast(id as int) as shard", "0L as first", "0L as n", "cast(null as binary) as steps")  # a file for each shard
+    blobs = keys.mapInArrow(count, schema).union(every)
+    blobs.repartition(shards, "shard").mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return SlotCounts(path, bits, shards)
 
 

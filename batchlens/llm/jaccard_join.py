@@ -14,6 +14,8 @@ only pairs whose ends aren't connected yet are looked at, which loses no compone
 Defined cases: no words, an empty or a null text: the empty set, linked with nothing (its own
 component). Fewer words than a shingle: one shingle of all. Rows that repeat, or share a doc_id, are
 separate rows; a component's id is the smallest doc_id in it, null if it has none. An empty table gives no rows.
+A very long text's set is held whole in its task. Columns other than doc_id and text are not looked at (``one_of_each``
+keeps them, whatever their names but ``__row``).
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from batchlens.llm.words import shingle_hashes, sliced, word_hashes
 
 LONGEST = 6
 _CHECK = 8.0
+#: A list with more members is compared in as many tasks, each with this many of one side and all of the other.
+SPLIT = 2048
 _MASK = 1024
 _SETS = "doc_id long, n long, sig1 long, sig2 long, first int, matches int, tokens array<long>, levels array<int>, mask array<long>, items binary"
 
@@ -147,13 +151,13 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, key: str |
 
     member = F.coalesce(F.col("component"), F.col("key")).alias("part")
     lists = scratch.saved(lists.join(known.withColumnRenamed("id", "key"), "key", "left").select("key", "n", "first", "at", "matches", "mask", "token", "level", member), "lists")
-    open_ = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    open_ = scratch.saved(lists.join(open_, "token", "left_semi"), "open-lists")
+    open_ = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    open_ = scratch.saved(lists.join(open_.select("token", F.ceil(F.col("m") / SPLIT).cast("int").alias("splits")), "token"), "open-lists")
     names = ("key", "n", "first", "at", "part", "matches", "level", "mask")
     x, y = ({c: F.col(f"{side}_{c}") for c in names} for side in "ab")
-    one, two = (open_.select("token", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "ab")
+    one, two = (open_.select("token", split, *(F.col(c).alias(f"{side}_{c}") for c in names)) for side, split in (("a", F.pmod(F.xxhash64("key"), "splits").cast("int").alias("split")), ("b", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))))
     matched = (x["key"] > y["key"]) & (x["part"] != y["part"]) & (x["level"] <= x["matches"]) & (y["level"] <= x["matches"])
-    met = one.join(two, "token").where(matched & _possible(x, y, percent)).select(x["key"].alias("a"), y["key"].alias("b"), x["matches"].alias("l"))
+    met = one.join(two, ["token", "split"]).where(matched & _possible(x, y, percent)).select(x["key"].alias("a"), y["key"].alias("b"), x["matches"].alias("l"))
     pairs = met.groupBy("a", "b", "l").count().where("count >= l").select("a", "b")
     far = _verified(pairs, heads, percent)
     final = components(near.union(far))
@@ -162,6 +166,7 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, key: str |
     rows = rows.join(final.withColumnRenamed("id", "class"), "class", "left")
     rows = rows.withColumn("part", F.coalesce("component", "class", "key"))
     least = classes.join(final.withColumnRenamed("id", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("part")).agg(F.min("low").alias("low"))
+    least = scratch.saved(least, "least")  # a table of its own, so that a large component's rows can be split in the join
     rows = rows.join(least.select("part", F.col("low").alias("least")), "part", "left")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return rows.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("class", "key").alias("class_id"), "part", own.alias("component_id"))
