@@ -17,6 +17,7 @@ import numpy as np
 
 _UNSURE = re.compile("[^\x00-ɏ]|[²³¹¼-¾\x1c-\x1f]")
 _PIECE = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Pieces that a worker remembers (about 130 bytes each).
 _MOST = 1_000_000
 _JOIN = 2048
 
@@ -50,8 +51,8 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, split: list[list[str]]) -> None:
-        if len(self.known) > _MOST:
-            self.known.clear()
+        if len(self.known) > _MOST:  # what these texts need stays: it holds the frequent pieces
+            self.known = {p: self.known[p] for p in set(chain.from_iterable(split)) if p in self.known}
         new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         words = [p for p in new if p[0] == " " and p[1:2].isalpha()]
         for i in range(0, len(words), _JOIN):

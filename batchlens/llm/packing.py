@@ -4,11 +4,12 @@ Each partition packs its own pieces best-fit decreasing. Nearly full bins are fi
 once. Underfull bins go on as items: groups of partitions merge, and each
 merged task packs those bins best-fit again, level by level, until one task has seen the
 rest or a level joins no more bins. A task holds at most ``PER_TASK`` bins after the first level,
-so no level gathers an unbounded number.
+so no level gathers an unbounded number, and a task packs at most ``HELD`` rows (and a batch) together.
 
 Nulls: a null text is its end id alone. Rows with the same or a null ``doc_id`` stay
 separate documents, so that (doc_id, piece) is as unique as doc_id is. An empty table
-gives no rows. Documents longer than a sequence are cut; the first piece takes the remainder.
+gives no rows. Documents longer than a sequence are cut, however long; the first piece takes the remainder.
+Other columns of the table, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from batchlens.llm.words import sliced
 
 PER_TASK = 16_384
 FAN_IN = 4
+#: Rows that a task holds before it packs them.
+HELD = 65_536
 _ITEM = np.dtype([("key", "<i8"), ("length", "<i4")])
 
 
@@ -82,15 +85,9 @@ def token_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, end_i
 
 
 def _packed(rows: DataFrame, size: int, slack: int) -> DataFrame:
-    """The bins of each partition of ``rows`` (fill, items)."""
+    """The bins of each partition of ``rows`` (fill, items), packed ``HELD`` rows at a time."""
 
-    def run(batches):
-        fill, items = [], []
-        for batch in batches:
-            fill.append(batch.column("fill").to_numpy())
-            items += batch.column("items").to_pylist()
-        if not items:
-            return
+    def packed(fill, items):
         fill = np.concatenate(fill)
         bins = best_fit(fill, size)
         for i in range(0, len(bins), 4096):
@@ -101,6 +98,17 @@ def _packed(rows: DataFrame, size: int, slack: int) -> DataFrame:
                 ["fill", "items", "done"],
             )
 
+    def run(batches):
+        fill, items = [], []
+        for batch in batches:
+            fill.append(batch.column("fill").to_numpy())
+            items += batch.column("items").to_pylist()
+            if len(items) >= HELD:
+                yield from packed(fill, items)
+                fill, items = [], []
+        if items:
+            yield from packed(fill, items)
+
     return rows.select("fill", "items").mapInArrow(run, "fill int, items binary, done boolean")
 
 
