@@ -1,4 +1,7 @@
-"""Command line: ``check`` an export, ``inspect`` a layout, ``validate`` a template against an export."""
+"""Command line: ``check`` an export, ``inspect`` a layout, ``validate`` a template against an export, ``accept`` it.
+
+There is no prefilled link for reporting a problem: nothing of an export leaves the machine.
+"""
 
 from __future__ import annotations
 
@@ -25,10 +28,15 @@ def main(args: list[str] | None = None) -> int:
     valid = commands.add_parser("validate")
     valid.add_argument("template")
     valid.add_argument("export")
+    accept = commands.add_parser("accept")
+    accept.add_argument("template")
+    accept.add_argument("export")
+    accept.add_argument("--id", required=True)
+    accept.add_argument("--folder", default="configs")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("batchlens").config("spark.ui.enabled", "false").getOrCreate()
     try:
-        return {"check": _check, "inspect": _inspect, "validate": _validate}[a.command](spark, a)
+        return {"check": _check, "inspect": _inspect, "validate": _validate, "accept": _accept}[a.command](spark, a)
     except (OSError, ValueError, RuntimeError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
@@ -40,7 +48,7 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
     from batchlens.sources.detect import read_batch
 
     b = read_batch(spark, a.export, a.template, a.counts).frames.cached()
-    results, details = run(b, a.rules)
+    results, details = run(b, a.rules, settle=True)
     report = batch_report(b, results, details, b.batches.first()["batch_id"])
     for c in report["checks"]:
         print(f"{c['outcome']:14} {c['check_id']:24} {c['reason']}")
@@ -50,19 +58,32 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def _inspect(spark: SparkSession, a: argparse.Namespace) -> int:
     from batchlens.sources.cells import read_cells
+    from batchlens.sources.detect import delimiter_of
     from batchlens.sources.profile import fingerprint
 
-    print(json.dumps(fingerprint(read_cells(spark, a.export), a.include_names), indent=2, ensure_ascii=False))
+    print(json.dumps(fingerprint(read_cells(spark, a.export, delimiter=delimiter_of(a.export)), a.include_names), indent=2, ensure_ascii=False))
     return 0
 
 
 def _validate(spark: SparkSession, a: argparse.Namespace) -> int:
-    from batchlens.sources.detect import score
-    from batchlens.sources.wide import read_wide
+    from batchlens.sinks.review import review, validation
+
+    found = validation(spark, a.template, a.export)
+    print(review(found))
+    return 1 if found["error"] else 0
+
 
-    b = read_wide(spark, a.export, a.template)
-    n, unmapped, other = score(b)
-    print(json.dumps({"analytes": n, "unmapped_columns": -unmapped, "samples_of_unknown_type": -other, "types": {r["type"]: r["count"] for r in b.samples.groupBy("type").count().collect()}, "warnings": b.batches.first()["warnings"]}, indent=2))
+def _accept(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Write a template that reads the export to a folder where ``check`` finds it by its id."""
+    from pathlib import Path
+
+    from batchlens.sinks.review import accepted, review, validation
+
+    found = validation(spark, a.template, a.export)
+    print(review(found))
+    if found["error"]:
+        return 1
+    print("written:", accepted(Path(a.template).read_text(encoding="utf-8"), a.id, a.folder))
     return 0
 
 

@@ -48,12 +48,6 @@ def normal_unit(unit: Column) -> Column:
 
 def converted(value: Column, source: Column, target: Column) -> Column:
     """``value`` in another unit: unchanged where the units are equal, null where either is unknown."""
+    table = F.create_map(*[F.lit(x) for pair in UNIT_FACTORS.items() for x in pair])
     a, b = normal_unit(source), normal_unit(target)
-
-    def factor(u: Column) -> Column:
-        out = F.lit(None).cast("double")
-        for name, x in UNIT_FACTORS.items():
-            out = F.when(u == name, F.lit(x)).otherwise(out)
-        return out
-
-    return F.when(a == b, value).otherwise(F.try_divide(value * factor(a), factor(b)))
+    return F.when(source == target, value).when(a == b, value).otherwise(F.try_divide(value * F.try_element_at(table, a), F.try_element_at(table, b)))

@@ -142,7 +142,7 @@ def oes_line_agreement(b: BatchFrames, params: dict) -> Check:
     rx, ry = (b.results.select(*KEY, F.col("label").alias(f"label_{s}"), F.col("conc").alias(s)) for s in "xy")
     rows = pair.join(rx, ["batch_id", "label_x"]).join(ry, [*KEY, "label_y"]).where("x is not null and y is not null")
     rows = rows.withColumn("high", F.greatest(F.abs("x"), F.abs("y"))).where(F.col("high") > loq(params, F.col("label_x")) * mult)
-    rows = rows.withColumn("diff", F.abs(F.col("x") - F.col("y")) / F.col("high"))
+    rows = rows.withColumn("diff", F.try_divide(F.abs(F.col("x") - F.col("y")), F.col("high")))
     out = rows.groupBy("batch_id", "element", "label_x", "label_y").agg(F.count("*").alias("n"), F.max("diff").alias("worst"), count_if(F.col("x") > F.col("y")).alias("higher")).where("n >= 2")
     share = F.greatest(F.col("higher"), F.col("n") - F.col("higher")) / F.col("n")
     named = F.when(F.col("higher") * 2 >= F.col("n"), F.col("label_x")).otherwise(F.col("label_y"))
@@ -173,18 +173,18 @@ def quant_crosscheck(b: BatchFrames, params: dict) -> Check:
     fits = (F.col("r") >= min_r) & F.col("slope").isNotNull() & (F.col("slope") != 0)
     used = rows.where("type not in ('CAL_STD', 'CAL_BLANK') and conc is not null and response is not null").join(cal.where(fits), ["batch_id", "label"])
     used = used.where(F.col("conc").between(F.col("lo_cal"), F.col("hi_cal")) & (F.col("conc") > loq(params, F.col("label")) * mult))
-    used = used.withColumn("predicted", (F.col("response") - F.col("intercept")) / F.col("slope")).where("predicted > 0")
-    ratio = F.col("predicted") / F.col("conc")
+    used = used.withColumn("predicted", F.try_divide(F.col("response") - F.col("intercept"), F.col("slope"))).where("predicted > 0")
+    ratio = F.try_divide(F.col("predicted"), F.col("conc"))
     g = used.groupBy("batch_id", "label").agg(
         F.count("*").alias("n"), F.median(ratio).alias("median_ratio"), F.avg(ratio).alias("mean_ratio"), F.stddev_samp(ratio).alias("sd_ratio"),
-        F.max(F.abs(F.col("predicted") - F.col("conc")) / F.col("conc") * 100).alias("worst_pct"),
+        F.max(F.try_divide(F.abs(F.col("predicted") - F.col("conc")), F.col("conc")) * 100).alias("worst_pct"),
     ).where("n >= 2")
     cv = F.when(F.col("mean_ratio") == 0, F.lit(999.0)).otherwise(F.col("sd_ratio") / F.abs("mean_ratio") * 100)
     scaled = (cv <= uniform) & (F.abs(F.col("median_ratio") - 1) * 100 > tol)
     g = g.withColumns({"cv_pct": cv, "scale_factor": F.when(scaled, F.round("median_ratio", 4))})
     sf = g.where("scale_factor is not null").groupBy("batch_id").agg(F.sort_array(F.collect_list("scale_factor")).alias("f"))
     middle = sf.select("batch_id", F.element_at("f", (F.floor(F.size("f") / 2) + 1).cast("int")).alias("mid"), "f")
-    close = lambda v: F.abs(v - F.col("mid")) / F.col("mid") * 100 <= uniform
+    close = lambda v: F.try_divide(F.abs(v - F.col("mid")), F.col("mid")) * 100 <= uniform
     middle = middle.select("batch_id", "mid", F.size("f").alias("n_scaled"), F.size(F.filter("f", close)).alias("agree"))
     whole = (F.col("n_scaled") >= shared) & (F.col("agree") >= shared) & (F.abs(F.col("mid") - 1) * 100 > tol)
     middle = middle.withColumn("consensus", whole)

@@ -84,7 +84,7 @@ def cal_heteroscedasticity(b: BatchFrames, params: dict) -> Check:
     std = standards(b).withColumns({"i": F.row_number().over(by.orderBy("level", "row_pos")), "n": F.count("*").over(by)})
     half = F.floor(F.col("n") / 2)
     side = F.when(F.col("i") <= half, "low").when(F.col("i") > F.col("n") - half, "high")
-    rows = every_result(b, std.withColumn("side", side).where("side is not null")).withColumn("err", F.abs(F.col("conc") - F.col("level")) / F.col("level") * 100)
+    rows = every_result(b, std.withColumn("side", side).where("side is not null")).withColumn("err", F.try_divide(F.abs(F.col("conc") - F.col("level")), F.col("level")) * 100)
     low, high = (F.when((F.col("side") == s) & F.col("err").isNotNull(), F.col("err")) for s in ("low", "high"))
     g = rows.groupBy("batch_id", "label").agg(F.count(low).alias("n_low"), F.count(high).alias("n_high"), F.median(low).alias("low_err_pct"), F.median(high).alias("high_err_pct"))
     decided = (F.col("n_low") >= 2) & (F.col("n_high") >= 2)
@@ -163,11 +163,11 @@ def crm_recovery(b: BatchFrames, params: dict, values: DataFrame, patterns: Data
     """Recovery of certified elements in samples whose name matches a reference material (the first in the library).
 
     ``values``: lib_pos, crm_id, unit, element, value, uncertainty, value_type; ``patterns``: lib_pos, crm_id, pattern (Java syntax).
-    The library is a handful of files, so it is broadcast.
+    The library is a handful of files, so it is broadcast. Each distinct name is matched once.
     """
     lo, hi = window(params, default=(80, 120))
-    hits = b.samples.join(F.broadcast(patterns), F.expr("name rlike pattern")).groupBy("batch_id", "row_pos", "name").agg(F.min(F.struct("lib_pos", "crm_id")).alias("m"))
-    hits = hits.select("batch_id", "row_pos", "name", "m.lib_pos", "m.crm_id")
+    named = b.samples.select("name").distinct().join(F.broadcast(patterns), F.expr("name rlike pattern")).groupBy("name").agg(F.min(F.struct("lib_pos", "crm_id")).alias("m"))
+    hits = b.samples.join(named, "name").select("batch_id", "row_pos", "name", "m.lib_pos", "m.crm_id")
     rows = every_result(b, hits).join(F.broadcast(values.drop("crm_id").withColumnRenamed("unit", "certified_unit")), ["lib_pos", "element"])
     expected = converted(F.col("value"), F.col("certified_unit"), F.coalesce("unit", F.lit("ppb")))
     rows = recovery(rows.withColumn("expected", expected), F.col("expected"), F.lit(lo), F.lit(hi))

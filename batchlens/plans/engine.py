@@ -58,11 +58,13 @@ def outcomes(b: BatchFrames, check: Check) -> DataFrame:
     return out.select("batch_id", outcome.alias("outcome"), reason.alias("reason"))
 
 
-def run(b: BatchFrames, rules: str | dict = "epa6020b") -> tuple[DataFrame, DataFrame]:
+def run(b: BatchFrames, rules: str | dict = "epa6020b", settle: bool = False) -> tuple[DataFrame, DataFrame]:
     """All enabled checks of a rule pack: (results, details).
 
     results: batch_id, check_id, catalog_pos, outcome, reason, verify. details: batch_id, check_id, ok, payload (the
     check's own columns as JSON). A check that can't be planned is NOT_EVALUATED with its error; ids that the catalog doesn't have are ignored.
+    With ``settle`` every check is also run, one after the other, and kept; an error of its rows then makes that check alone
+    NOT_EVALUATED. Without it the plans stay lazy, and such an error ends the job that runs them.
     """
     pack = rules if isinstance(rules, dict) else load_pack(rules)
     results, details = [], []
@@ -73,7 +75,11 @@ def run(b: BatchFrames, rules: str | dict = "epa6020b") -> tuple[DataFrame, Data
         try:
             got = check(b, {**pack.get("shared", {}), **entry.get("params", {})})
             rows = outcomes(b, got)
-            details.append(got.details.select("batch_id", F.lit(check_id).alias("check_id"), "ok", F.to_json(F.struct(*[c for c in got.details.columns if c not in ("batch_id", "ok")])).alias("payload")))
+            own = got.details.select("batch_id", F.lit(check_id).alias("check_id"), "ok", F.to_json(F.struct(*[c for c in got.details.columns if c not in ("batch_id", "ok")])).alias("payload"))
+            if settle:
+                rows, own = rows.persist(), own.persist()
+                rows.count(), own.count()
+            details.append(own)
         except Exception as error:  # noqa: BLE001  a check's error is that check's result, never the run's
             rows = b.batches.select("batch_id", F.lit("NOT_EVALUATED").alias("outcome"), F.lit(f"check error: {error!r}"[:500]).alias("reason"))
         results.append(rows.select("batch_id", F.lit(check_id).alias("check_id"), F.lit(pos).alias("catalog_pos"), "outcome", "reason", F.lit(entry.get("verify", "")).alias("verify")))

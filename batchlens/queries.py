@@ -5,18 +5,21 @@ Every check runs over the batch view of ``testbed``; both sides return the check
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from batchlens.functions.labels import isotope_label, line_label, mass_label
+from batchlens.functions.labels import ELEMENTS, isotope_label, line_label, mass_label
 from batchlens.functions.units import UNIT_FACTORS, converted, parsed_concentration
 from batchlens.operators import pairs, recoveries
 from batchlens.plans.engine import CATALOG, outcomes, verdict
 from batchlens.sources.crm import PATTERNS, VALUES
-from batchlens.sources.profile import column_profile, redacted_column
-from batchlens.sources.tables import HEADER_CASES, collapsed_headers, merged_counts, split_flags
+from batchlens.sources.profile import LONGEST, MASK, MEASURED, NUMBERED, ORNAMENT, PROSE, SEPARATORS, SYMBOLS, UNITS, WORDS, column_profile, redacted_column
+from batchlens.sources.tables import collapsed_headers, instrument_objections, merged_counts
 from batchlens.testbed import VIEW, batch_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +121,22 @@ g as (select batch_id, label, count(conc) as n, case when count(conc) >= 3 then
 select batch_id, label, n, round(sd, 6) as sd, round(sd * 3, 6) as derived_lod, round(sd * 10, 6) as derived_loq, coalesce(sd * 10 > 0.1, false) as over,
   case when sd is null then null when sd * 10 > 0.1 then false else true end as ok from g where batch_id in (select batch_id from k)
 """, ["batch_id", "label", "n", *_round("sd", "derived_lod", "derived_loq"), "over", "ok"], {"after_calibration": False, "on_exceed": "fail"})
+
+
+def _calibrated_first(b, params):
+    """The blanks of batches whose standards come first: later ones count as samples."""
+    kind = F.when((F.col("type") == "CAL_STD") & (F.col("row_pos") > 40), "SAMPLE").otherwise(F.col("type"))
+    return recoveries.blank_derived_lod(replace(b, samples=b.samples.withColumn("type", kind)), params)
+
+
+_add("blank_derived_lod_default", """
+, c as (select batch_id, max(seq) as last_cal from sm where sample_type = 'CAL_STD' and seq <= 40 group by batch_id),
+bl as (select e.* from er e left join c on c.batch_id = e.batch_id where sample_type in ('ICB', 'CCB') and (last_cal is null or seq > last_cal)),
+k as (select batch_id from bl group by batch_id having count(distinct seq) >= 3),
+g as (select batch_id, label, count(conc) as n, case when count(conc) >= 3 then stddev_samp(conc) end as sd from bl group by batch_id, label)
+select batch_id, label, n, round(sd, 6) as sd, round(sd * 3, 6) as derived_lod, round(sd * 10, 6) as derived_loq, coalesce(sd * 10 > 0.1, false) as over,
+  case when sd is null or sd * 10 > 0.1 then null else true end as ok from g where batch_id in (select batch_id from k)
+""", ["batch_id", "label", "n", *_round("sd", "derived_lod", "derived_loq"), "over", "ok"], check=_calibrated_first)
 _add("precision_rsd", """
 , a as (select *, rsd_pct is not null and (case when intensity is not null then intensity >= 20000 when conc is not null then conc > 1.0 else false end) as assessed from er)
 select batch_id, label, count(*) filter (where assessed) as n_assessed, count(*) filter (where assessed and rsd_pct > 7) as n_over, max(rsd_pct) filter (where assessed) as max_rsd_pct,
@@ -244,12 +263,8 @@ ORACLE_SQL["sample_type_counts"] = VIEW + "select batch_id, sample_type as type,
 def event_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verification cadence over the events of each user: a purchase closes a segment, views and clicks count."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     b = batch_frames(spark, sf_dir)
-    from dataclasses import replace
-
     samples = e.select(
         F.col("user_id").cast("string").alias("batch_id"), F.row_number().over(order).alias("row_pos"),
         F.when(F.col("event_type") == "purchase", "CCV").otherwise("SAMPLE").alias("type"),
@@ -264,48 +279,113 @@ ORACLE_SQL["event_cadence"] = "with e as (select cast(user_id as varchar) as bat
 )
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _table(name: str, *columns: str):
+    """A query's table: these SQL expressions, which both engines read alike, over a whole table."""
 
+    def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(*columns)
 
-def _sql_rows(rows: list[tuple], names: str) -> str:
-    quoted = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return "(values " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") v({names})"
+    return rows, f"(select {', '.join(columns)} from {name})"
 
 
-_CONCS = [(i, c) for i, c in enumerate(["0.05", "<0.05", "< 0.05", "ND", "n.d.", "<LOQ", "<x", "", "-", "N/A", "1,234.5", " 7 ", "abc", "1e3", None, "1d", "+.5"])]
-QUERIES["parse_conc"] = lambda spark, sf_dir: _values(spark, _CONCS, "id int, cell string").select("id", parsed_concentration(F.col("cell")).alias("p")).select("id", "p.*")
+def _pick(of: str, *values: str) -> str:
+    """SQL that picks one of several expressions by a number."""
+    return f"case {of} % {len(values)} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
+
+
+_Q = "cast(cast(l_quantity as int) as varchar(8))"
+_CELL = _pick("(l_partkey + l_linenumber)", _Q, f"concat('<', {_Q})", f"concat('< 0.', {_Q})", "'ND'", "'n.d.'", "'<LOQ'", "'<x'", "''", "'-'", "'N/A'", f"concat('1,', {_Q}, '4.5')", f"concat(' ', {_Q}, ' ')", "'abc'", f"concat({_Q}, 'e3')", "null", f"concat({_Q}, 'd')", f"concat('+.', {_Q})")
+_cells, _cells_sql = _table("lineitem", "l_orderkey", "l_linenumber", "l_partkey", f"{_CELL} as cell")
+QUERIES["parse_conc"] = lambda spark, sf_dir: _cells(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", parsed_concentration(F.col("cell")).alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", "p.*")
 ORACLE_SQL["parse_conc"] = f"""
-with c as (select id, trim(coalesce(cell, '')) as t from {_sql_rows(_CONCS, 'id, cell')}),
+with c as (select l_orderkey, l_linenumber, l_partkey, trim(coalesce(cell, '')) as t from {_cells_sql}),
 f as (select *, lower(t) in ('nd', 'n.d.', 'n.d', '<dl', '<mdl', '<loq', '<lod') as listed from c)
-select id, case when not (listed or t like '<%') and regexp_matches(replace(t, ',', ''), '^[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?)$') then try_cast(replace(t, ',', '') as double) end as conc,
+select l_orderkey, l_linenumber, l_partkey,
+  case when not (listed or t like '<%') and regexp_matches(replace(t, ',', ''), '^[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?)$') then try_cast(replace(t, ',', '') as double) end as conc,
   listed or t like '<%' as below_dl, case when not listed and t like '<%' then try_cast(trim(substr(t, 2)) as double) end as dl from f
 """
-_UNITS = [(i, v, a, b) for i, (v, a, b) in enumerate([(1.0, "ppb", "ug/L"), (2.0, "mg/L", "ppb"), (5.0, "[ug/L]", "ppm"), (3.0, "µg/L", "ng/L"), (1.0, "cps", "ppb"), (4.0, "cps", "cps"), (1.0, "%", "ppm"), (7.0, " mg / kg ", "ug/kg")])]
-QUERIES["unit_convert"] = lambda spark, sf_dir: _values(spark, _UNITS, "id int, v double, a string, b string").select("id", converted(F.col("v"), F.col("a"), F.col("b")).alias("value"))
+_UNITS = ("'ppb'", "'mg/L'", "'[ug/L]'", "'µg/L'", "'cps'", "'%'", "' mg / kg '", "'ng/L'", "'(ppm)'")
+_amounts, _amounts_sql = _table("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity as v", f"{_pick('l_partkey', *_UNITS)} as a", f"{_pick('l_suppkey', *_UNITS)} as b")
+QUERIES["unit_convert"] = lambda spark, sf_dir: _amounts(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", F.round(converted(F.col("v"), F.col("a"), F.col("b")), 9).alias("value"))
 _NORMAL = "replace(replace(lower(trim({}, '[]() ')), 'µ', 'u'), ' ', '')"
 ORACLE_SQL["unit_convert"] = f"""
 with f(u, x) as (values {', '.join(f"('{u}', cast({x} as double))" for u, x in UNIT_FACTORS.items())}),
-n as (select id, cast(v as double) as v, {_NORMAL.format('a')} as a, {_NORMAL.format('b')} as b from {_sql_rows(_UNITS, 'id, v, a, b')})
-select n.id, case when n.a = n.b then v else v * fa.x / fb.x end as value from n left join f fa on fa.u = n.a left join f fb on fb.u = n.b
+n as (select l_orderkey, l_linenumber, l_partkey, v, {_NORMAL.format('a')} as a, {_NORMAL.format('b')} as b from {_amounts_sql})
+select l_orderkey, l_linenumber, l_partkey, round(case when n.a = n.b then v else v * fa.x / fb.x end, 9) as value from n left join f fa on fa.u = n.a left join f fb on fb.u = n.b
+"""
+# Labels made of a table's numbers and names: some symbols are elements, some aren't.
+_SYMBOL = "concat(upper(substr(p_name, 1, 1)), " + _pick("p_partkey", "''", "lower(substr(p_name, 2, 1))", "lower(substr(p_name, 2, 2))") + ")"
+_NO = "cast(p_size as varchar(8))"
+_LABEL = _pick(
+    "cast(floor(p_partkey / 3) as int)", f"concat({_NO}, ' ', {_SYMBOL})", f"concat({_NO}, '  ', {_SYMBOL}, ' [ No  Gas ]')", f"concat({_NO}, ' -> ', cast(p_size + 16 as varchar(8)), ' ', {_SYMBOL}, ' [O2]')",
+    f"concat({_SYMBOL}, {_NO}, '(LR)')", f"concat({_SYMBOL}, {_NO}, ' ( MR )')", f"concat({_SYMBOL}, ' ', cast(200 + p_size as varchar(8)), '.', cast(p_partkey as varchar(8)), ' (mg/L)')",
+    f"concat({_SYMBOL}, ' ', cast(200 + p_size as varchar(8)), '.5 (cps)')", f"concat({_SYMBOL}, ' ', cast(200 + p_size as varchar(8)), '.25')", _SYMBOL,
+)
+_labels, _labels_sql = _table("part", "p_partkey", f"{_LABEL} as label")
+QUERIES["label_parse"] = lambda spark, sf_dir: _labels(spark, sf_dir).select(
+    "p_partkey", mass_label(F.col("label")).alias("m"), isotope_label(F.col("label")).alias("i"), line_label(F.col("label")).alias("l")
+).select("p_partkey", "m.mass", "m.mass_shift", "m.element", "m.mode", F.col("i.mass").alias("iso_mass"), F.col("i.element").alias("iso_element"), F.col("i.mode").alias("iso_mode"), "l.wavelength_nm", F.col("l.unit").alias("line_unit"))
+ORACLE_SQL["label_parse"] = f"""
+with t as (select p_partkey, regexp_replace(label, ' +', ' ', 'g') as label from {_labels_sql}),
+g as (select p_partkey, label, regexp_extract(label, '^([0-9]+) (?:-> ([0-9]+) )?([A-Z][a-z]*)(?: ?[[] ?(.*?) ?[]])?$', ['mass', 'shift', 'symbol', 'mode']) as m,
+  regexp_extract(label, '^([A-Z][a-z]?)([0-9]+) ?[(] ?([LMH]R) ?[)]$', ['symbol', 'mass', 'mode']) as i,
+  regexp_extract(label, '^([A-Z][a-z]?) ([0-9]{{2,3}}[.][0-9]{{1,4}})([0-9]*)(?: ?[(](.*)[)])?$', ['symbol', 'nm', 'more', 'unit']) as l from t),
+e as (select *, m.symbol in ({', '.join(f"'{x}'" for x in ELEMENTS)}) as real from g)
+select p_partkey, case when real then try_cast(m.mass as int) end as mass, case when real then try_cast(m.shift as int) end as mass_shift, case when real then m.symbol end as element,
+  case when real then nullif(m.mode, '') end as mode, try_cast(i.mass as int) as iso_mass, nullif(i.symbol, '') as iso_element, nullif(i.mode, '') as iso_mode,
+  try_cast(l.nm as double) as wavelength_nm, case when l.more = '' and lower(l.unit) <> 'cps' then nullif(l.unit, '') end as line_unit from e
 """
-_LABELS = [(i, x) for i, x in enumerate(["9 Be", "75 As [He]", "56  Fe  [ No Gas ]", "31 -> 47 P [O2]", "78 -> 78 Se [He]", "12 Xy", "Cu", "45 Sca", "208 Pb", "Na23(LR)", "S32 (MR)", "U 385.958 (mg/L)", "Fe 259.940 (cps)", "U 385.958"])]
-QUERIES["label_parse"] = lambda spark, sf_dir: _values(spark, _LABELS, "id int, label string").select(
-    "id", mass_label(F.col("label")).alias("m"), isotope_label(F.col("label")).alias("i"), line_label(F.col("label")).alias("l")
-).select("id", "m.mass", "m.mass_shift", "m.element", "m.mode", F.col("i.mass").alias("iso_mass"), F.col("i.element").alias("iso_element"), F.col("i.mode").alias("iso_mode"), "l.wavelength_nm", F.col("l.unit").alias("line_unit"))
-QUERIES["header_collapse"] = lambda spark, sf_dir: collapsed_headers(_values(spark, HEADER_CASES, "file string, col int, top string, sub string"), ["Sample"])
+# A header for each nation, a column for each of its customers.
+_heads, _heads_sql = _table(
+    "customer", "c_nationkey as file", "c_custkey as col", "case when c_custkey % 11 = 3 then 'Unnamed: 7' when c_custkey % 4 = 0 then c_mktsegment when c_custkey % 4 = 1 then null else '' end as top",
+    "case when c_custkey % 5 = 0 then ' ' when c_custkey % 5 = 1 then null else c_name end as sub",
+)
+QUERIES["header_collapse"] = lambda spark, sf_dir: collapsed_headers(_heads(spark, sf_dir), ["BUILDING"])
 ORACLE_SQL["header_collapse"] = f"""
-with h as (select file, col, case when regexp_matches(trim(top), '^Unnamed: *[0-9]+$') then '' else trim(coalesce(top, '')) end as top, trim(coalesce(sub, '')) as sub from {_sql_rows(HEADER_CASES, 'file, col, top, sub')}),
+with h as (select file, col, case when regexp_matches(trim(top), '^Unnamed: *[0-9]+$') then '' else trim(coalesce(top, '')) end as top, trim(coalesce(sub, '')) as sub from {_heads_sql}),
 g as (select *, last_value(nullif(top, '') ignore nulls) over (partition by file order by col rows between unbounded preceding and current row) as cur from h)
-select file, cast(col as int) as col, case when sub = '' and cur = 'Sample' then cur when sub = '' and top = '' then concat('(unnamed column ', cast(col as varchar), ')') when sub = '' then cur
-  when cur is null or cur = 'Sample' then sub else concat(cur, ' :: ', sub) end as name from g
+select file, col, case when sub = '' and cur = 'BUILDING' then cur when sub = '' and top = '' then concat('(unnamed column ', cast(col as varchar), ')') when sub = '' then cur
+  when cur is null or cur = 'BUILDING' then sub else concat(cur, ' :: ', sub) end as name from g
 """
 QUERIES["companion_merge"] = lambda spark, sf_dir: merged_counts(batch_frames(spark, sf_dir))
 ORACLE_SQL["companion_merge"] = VIEW + """
 , c as (select batch_id, name, count(*) as k from sm group by batch_id, name)
 select r.batch_id, r.seq as row_pos, r.label, r.conc, r.intensity from rs r join sm s on s.batch_id = r.batch_id and s.seq = r.seq join c on c.batch_id = s.batch_id and c.name = s.name and k = 1
 """
-QUERIES["flag_split"] = split_flags
+# An order's lines as one cell of objections, in the vendor's wordings; a line of another wording has neither value nor direction.
+_SAID = ("CPS RSD", "Concentration", "Calibration Curve Fit R", "something else")
+_WORDS = [" value = {v} is over the allowed maximum = {m}", " value = -{v} is below the allowed minimum = {m}", " value = {v} is  over the calibration range", " value = {v} is below the calibration range", " value = {v} is odd"]
+
+
+def objection_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, blob: for each order, what its lines would be objected for."""
+    kind, said = F.pmod(F.col("l_partkey"), F.lit(5)).cast("int"), F.pmod(F.col("l_suppkey"), F.lit(4)).cast("int")
+    line = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("v"), kind.alias("kind"), said.alias("said"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+
+    def text(x):
+        v, m = x["v"].cast("string"), (x["v"] + x["l_linenumber"]).cast("string")
+        words = [F.concat(*[v if p == "{v}" else m if p == "{m}" else F.lit(p) for p in re.split(r"(\{[vm]\})", w) if p]) for w in _WORDS]
+        return F.concat(x["l_linenumber"].cast("string"), F.lit("  Al  [ No Gas ]: "), F.element_at(F.array(*map(F.lit, _SAID)), x["said"] + 1), F.element_at(F.array(*words), x["kind"] + 1))
+
+    return lines.select("l_orderkey", F.array_join(F.transform("x", text), "").alias("blob"))
+
+
+def flag_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objections of every order's cell, taken apart again."""
+    labels = [f"{i}  Al  [ No Gas ]" for i in range(1, 8)]
+    return instrument_objections(objection_cells(spark, sf_dir), "blob", labels).select("l_orderkey", "flag_pos", "analyte", "metric", "value", "limit", "direction")
+
+
+QUERIES["flag_split"] = flag_split
+ORACLE_SQL["flag_split"] = f"""
+with l as (select l_orderkey, l_linenumber as k, cast(l_quantity as int) as v, l_partkey % 5 as kind, l_suppkey % 4 as said from lineitem)
+select l_orderkey, cast(row_number() over (partition by l_orderkey order by k, v, kind, said) - 1 as int) as flag_pos, concat(cast(k as varchar), '  Al  [ No Gas ]') as analyte,
+  case when kind = 4 then concat(': ', w, ' value = ', cast(v as varchar), ' is odd') else w end as metric,
+  case when kind = 4 then null when kind = 1 then -cast(v as double) else cast(v as double) end as value,
+  case when kind < 2 then cast(v + k as double) end as "limit", {_pick('kind', "'high'", "'low'", "'high'", "'low'", 'null')} as direction
+from (select *, {_pick('said', *(f"'{x}'" for x in _SAID))} as w from l)
+"""
 QUERIES["column_profile"] = lambda spark, sf_dir: column_profile(spark.read.parquet(f"{sf_dir}/customer.parquet"))
 ORACLE_SQL["column_profile"] = """
 with u as (unpivot (select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment from customer)
@@ -314,3 +394,22 @@ g as (select col, count(*) filter (where trim(v) <> '') as n, count(*) filter (w
 select col as "column", n as nonempty, round(cast(m as double) / n, 6) as numeric_share, d as distinct_values, case when n = 0 then 'empty' when m > 0.5 * n then 'numeric' when d <= 15 then 'categorical' else 'text' end as kind from g
 """
 QUERIES["redact_text"] = lambda spark, sf_dir: redacted_column(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+def _redact_sql() -> str:
+    quoted = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + "]"
+    cls = "".join("\\" + c if c in "-[]\\" else c for c in SEPARATORS)
+    number = "regexp_matches(t, '^[+-]?[0-9.,]+(e[+-]?[0-9]+)?$')"
+    pairs = quoted(a + b for a in WORDS for b in WORDS if min(len(a), len(b)) > 1)
+    code = f"(regexp_matches(t, '^({'|'.join(NUMBERED)})[0-9]+$') or regexp_matches(t, '^[0-9]+({'|'.join(MEASURED)})$'))"
+    shown = f"(t = '' or case when {number} then short else t in (select unnest({quoted(WORDS | UNITS)})) or (near and t in (select unnest({quoted(SYMBOLS)}))) or {code} or t in (select unnest({pairs})) end)"
+    return f"""
+with d as (select doc_id, text, length(text) <= {PROSE} as short, regexp_matches(text, '[0-9]') as near, regexp_extract_all(text, '[{cls}]+|[^{cls}]+') as ps from documents),
+p as (select doc_id, short, near, unnest(ps) as p, generate_subscripts(ps, 1) as i from d),
+s as (select *, trim(lower(p), '{ORNAMENT.replace("'", "''")}') as t from p where i <= {LONGEST} + 2),
+m as (select doc_id, string_agg(case when regexp_matches(p, '^[{cls}]') or {shown} then p else repeat('{MASK}', least(length(p), 6)) end, '' order by i) as out from s group by doc_id, short, near)
+select d.doc_id, case when text is null then null when length(out) > {LONGEST} then concat(left(out, {LONGEST}), ' …') else coalesce(out, '') end as redacted from d left join m on m.doc_id = d.doc_id
+"""
+
+
+ORACLE_SQL["redact_text"] = _redact_sql()

@@ -13,11 +13,12 @@ from batchlens.sources import transposed, wide
 from batchlens.sources.cells import read_cells
 from batchlens.sources.tables import attach_intensities
 from batchlens.sources.templates import load_template
+from batchlens.sources.transposed import has_metadata
 
 CANDIDATES = ("masshunter_2row", "masshunter_quant_wide")
-# What the names of a pair of files call the two measures, as suffixes, then anywhere.
-SUFFIXES = (("_conc", "_count"), ("-conc", "-count"), (" conc", " count"), ("_concentration", "_counts"), ("_conc", "_cps"))
-PAIRS = (("Conc", "Count"), ("conc", "count"), ("CONC", "COUNT"), ("Conc", "CPS"), ("conc", "cps"), ("CONC", "CPS"))
+# The word that a concentrations file adds to the name of its counts file, and the words that pairs of files swap.
+ADDED = ("conc", "concentration")
+SWAPPED = (("count", "conc"), ("Count", "Conc"), ("COUNT", "CONC"))
 
 
 @dataclass(frozen=True)
@@ -38,18 +39,20 @@ def score(b: BatchFrames) -> tuple[int, int, int]:
 
 
 def companion(path: str) -> str | None:
-    """The counts file that belongs to a concentrations file, by name."""
+    """The other file of a pair, by name: the same name without an added word, else with the other word of a pair."""
     p = Path(path)
-    for a, b in SUFFIXES:
-        if p.stem.lower().endswith(a):
-            for name in {b, b.upper(), b.title()}:
-                other = p.with_name(p.stem[: -len(a)] + name + p.suffix)
-                if other.is_file():
-                    return str(other)
-    for a, b in PAIRS:
-        if a in p.name and (other := p.with_name(p.name.replace(a, b))).is_file() and other != p:
-            return str(other)
-    return None
+    words = [f"{sep}{w}" for w in ADDED for sep in "_- "]
+    names = [p.stem[: -len(w)] + p.suffix for w in words if p.stem.lower().endswith(w)]
+    for pair in SWAPPED:
+        names += [p.name.replace(a, b, 1) for a, b in (pair, pair[::-1]) if a in p.stem]
+    return next((str(other) for n in names if n != p.name and (other := p.with_name(n)).is_file()), None)
+
+
+def delimiter_of(path: str) -> str:
+    """A tab where the first line of a file with any has more of them than commas."""
+    with open(path, "rb") as f:
+        line = next((x for x in f if x.strip()), b"")
+    return "\t" if line.count(b"\t") > line.count(b",") else ","
 
 
 def read_batch(spark: SparkSession, path: str, template: str | None = None, counts: str | None = None) -> Detection:
@@ -72,21 +75,21 @@ def _read(spark: SparkSession, p: Path, template: str | None) -> Detection:
         return Detection(transposed.read_isotope_folder(spark, str(p), template or "element_ascii"), "isotope folder", template or "element_ascii")
     if p.suffix.lower() in (".xlsx", ".xlsm"):
         return Detection(transposed.read_emission_workbook(spark, str(p), template or "agilent_oes"), "emission workbook", template or "agilent_oes")
-    if p.suffix.lower() == ".asc" or template and load_template(template).layout == "transposed":
-        return Detection(transposed.read_isotope_summary(spark, str(p), template or "element_ascii"), "isotope summary", template or "element_ascii")
+    tabs = p.suffix.lower() == ".asc" or delimiter_of(str(p)) == "\t"
+    if load_template(template).layout == "transposed" if template else tabs:
+        name = template or "element_ascii"
+        if has_metadata(read_cells(spark, str(p), "utf-8-sig", "\t")):
+            return Detection(transposed.read_isotope_folder(spark, str(p), name), "isotope file", name)
+        return Detection(transposed.read_isotope_summary(spark, str(p), name), "isotope summary", name)
     if template:
         return Detection(wide.read_wide(spark, str(p), template), "wide", template)
-    best, errors = None, []
+    best = None
     for name in CANDIDATES:
         t = load_template(name)
-        try:
-            frames = wide.wide_frames(spark, read_cells(spark, str(p), t.encoding), t)
-            got = score(frames)
-        except ValueError as error:
-            errors.append(str(error))
-            continue
+        cells = read_cells(spark, str(p), t.encoding).persist()
+        got = wide.fit(cells, t)
         if got[0] and (best is None or got > best[0]):
-            best = (got, Detection(frames, "wide", name))
+            best = (got, name, cells)
     if best is None:
-        raise ValueError(f"no layout fits {p}: {'; '.join(errors)}")
-    return best[1]
+        raise ValueError(f"no layout fits {p}: no analyte columns matched any of {', '.join(CANDIDATES)}")
+    return Detection(wide.wide_frames(best[2], load_template(best[1])), "wide", best[1])

@@ -1,4 +1,10 @@
-"""Layout templates: YAML files that say which columns of an export hold what."""
+"""Layout templates: YAML files that say which columns of an export hold what.
+
+Headers and names are described by patterns (Python regular expressions with named groups) or, as in the templates that
+come with the package, in words: ``headers`` has for each kind of column the header as it is written, with
+``{label}`` and ``{unit}`` in it; ``names`` has words, and units after a number, that give a sample's type; ``level_units``
+has the units after which a name's number is its level. These are turned into patterns once, when a template is read.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,9 @@ from batchlens.model import SAMPLE_TYPES
 from batchlens.plans.packs import resolve
 
 
+PATTERN_OF = {"conc": "analyte_conc_pattern", "cps": "analyte_cps_pattern", "rsd": "analyte_rsd_pattern", "istd": "istd_cps_pattern"}
+
+
 @dataclass(frozen=True)
 class Template:
     """One layout. Patterns are Python regular expressions with named groups."""
@@ -54,8 +63,45 @@ def load_template(name: str) -> Template:
             raise ValueError(f"templates alias each other: {', '.join(seen)}")
 
 
+def header_pattern(written: str) -> str:
+    """The pattern of a header as it is written; spaces in it may be any white space or none."""
+    parts = re.split(r"(\{label\}|\{unit\}| +)", written)
+    known = {"{label}": "(?P<label>.+?)", "{unit}": "(?P<unit>[^]]+)"}
+    return "^" + "".join(known.get(p) or (r"\s*" if p.isspace() else re.escape(p)) for p in parts if p) + "$"
+
+
+def _either(words: list[str]) -> str:
+    return "(?:" + "|".join(r"\s*".join(map(re.escape, w.split())) for w in words) + ")"
+
+
+def name_pattern(rule: dict) -> str:
+    """The pattern of names that have one of a rule's words (anywhere, at the start, or alone) or units after a number."""
+    if rule.get("units"):
+        return rf"(?i)\b[0-9]+(?:[.][0-9]+)?\s*{_either(rule['units'])}\b"
+    where = {"start": r"(?i)^\s*{}\b", "alone": r"(?i)^\s*{}\s*$"}.get(rule.get("at"), r"(?i)\b{}\b")
+    return where.replace("{}", _either(rule["words"]))
+
+
+def _in_patterns(data: dict) -> dict:
+    """``headers``, ``names`` and ``level_units`` as the patterns they stand for."""
+    out = dict(data)
+    for kind, written in (data.get("headers") or {}).items():
+        written = [written] if isinstance(written, str) else written
+        patterns = [header_pattern(w) for w in written]
+        if kind == "ignored":
+            out["ignore_patterns"] = [*out.get("ignore_patterns", []), *patterns]
+        else:
+            out[PATTERN_OF[kind]] = patterns[0] if len(patterns) == 1 else tuple(patterns)
+    if data.get("names"):
+        out["sample_type_patterns"] = [{"pattern": name_pattern(r), "type": r["type"]} for r in data["names"]]
+    if data.get("level_units"):
+        out["expected_conc_from_name"] = rf"(?i)(?P<value>[0-9]+(?:[.][0-9]+)?)\s*{_either(data['level_units'])}"
+    return out
+
+
 def template_of(data: dict) -> Template:
     """A template from its parsed YAML, checked."""
+    data = _in_patterns(data)
     names = {f.name for f in fields(Template)}
     t = Template(**{k: tuple(v) if isinstance(v, list) else v for k, v in data.items() if k in names})
     if t.layout == "columns" and not (t.analyte_conc_pattern or t.analyte_cps_pattern):
@@ -72,7 +118,7 @@ def classify(t: Template, names: list[str]) -> list[tuple[str, str, str | None,
     The first kind that fits wins: a fixed column, precision, ignored, an internal standard, a concentration, counts.
     """
     fixed = {v: k for k, v in t.columns.items()}
-    match = lambda p, n: re.match(p, n) if p else None
+    match = lambda p, n: next((m for x in ((p,) if isinstance(p, str) else p or ()) if (m := re.match(x, n))), None)
     out = []
     for n in names:
         kind, label, unit = "unmapped", None, None

@@ -53,7 +53,9 @@ def read_isotope_summary(spark: SparkSession, paths: str | list[str], template:
     Row 0 names the samples where their blocks start; the row that begins with Isotope names each column's measure.
     """
     t = load_template(template) if isinstance(template, str) else template
-    cells = read_cells(spark, paths, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value")))
+    cells = read_cells(spark, paths, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value"))).persist()
+    if not looks_like_isotope_table(cells):
+        raise ValueError(f"{paths}: no row begins with Isotope: not an isotope table")
     span = W.partitionBy("path").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
     named = (F.col("value") != "") & (F.col("col") > 0)
     blocks = cells.where("row = 0").withColumn("start", F.last(F.when(named, F.col("col")), True).over(span)).withColumn("name", F.last(F.when(named, F.col("value")), True).over(span))
@@ -81,12 +83,23 @@ def _isotopes(rows: DataFrame, order) -> DataFrame:
     return rows.select("batch_id", F.row_number().over(order).alias("pos"), F.lit("analyte").alias("role"), "label", i["mass"].alias("mass"), i["element"].alias("element"), F.lit(None).cast("int").alias("mass_shift"), i["mode"].alias("mode"), F.lit(None).cast("double").alias("wavelength_nm"))
 
 
+def looks_like_isotope_table(cells: DataFrame) -> bool:
+    """Whether a table of isotopes begins in the first rows of some file."""
+    return not cells.where("col = 0 and row < 12").where(F.lower(stripped(F.col("value"))) == "isotope").isEmpty()
+
+
+def has_metadata(cells: DataFrame) -> bool:
+    """Whether lines such as ``Data File : x`` stand at the head: then a file has one sample, else a block of columns for each."""
+    return not cells.where("col = 0 and row < 12 and value like '%:%'").isEmpty()
+
+
 def read_isotope_folder(spark: SparkSession, folder: str, template: str | Template = "element_ascii") -> BatchFrames:
-    """A folder of files with one sample each is one batch, in order of acquisition (undated last, then by path)."""
+    """A folder of files with one sample each, or one such file, is one batch, in order of acquisition (undated last, then by path)."""
     t = load_template(template) if isinstance(template, str) else template
-    cells = read_cells(spark, f"{folder.rstrip('/')}/*", "utf-8-sig", "\t").withColumn("value", stripped(F.col("value")))
+    files = folder if folder.lower().endswith((".asc", ".txt")) else f"{folder.rstrip('/')}/*"
+    cells = read_cells(spark, files, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value"))).persist()
     head = cells.where("value = 'Isotope'").groupBy("path").agg(F.max("row").alias("head"))
-    meta = cells.join(head, "path").where("row < head").groupBy("path", "row").agg(F.max(F.when(F.col("col") == 0, F.col("value"))).alias("k"), F.max(F.when(F.col("col") == 1, F.col("value"))).alias("v"))
+    meta = cells.join(head, "path").where("row < head").groupBy("path", "row").agg(F.max(F.when(F.col("col") == 0, F.col("value"))).alias("k"), F.min_by(F.when((F.col("col") > 0) & (F.col("value") != ""), F.col("value")), F.when((F.col("col") > 0) & (F.col("value") != ""), F.col("col"))).alias("v"))
     word = F.lower(stripped(F.substring_index("k", ":", 1)))
     of = lambda name: F.max(F.when(word == name, F.nullif("v", F.lit("")))).alias(name.replace(" ", "_"))
     m = head.join(meta, "path").groupBy("path").agg(*(of(x) for x in ("sample name", "data file", "analysis date", "analysis type", "dilution factor")))
@@ -108,9 +121,15 @@ def read_isotope_folder(spark: SparkSession, folder: str, template: str | Templa
     return _frames(t, s, r.withColumn("unit", F.lit("ppb")), _isotopes(seen, W.partitionBy("batch_id").orderBy("row", "label")), skipped, errors)
 
 
+# The names of the sheets.
 SHEETS = {"conc": "conc. in sample units", "intensity": "corrected intensities", "rsd_pct": "corrected intensities rsds"}
 
 
+def looks_like_emission_workbook(cells: DataFrame) -> bool:
+    """Whether some sheet has a name of the layout."""
+    return not cells.where(F.lower(F.trim(F.col("sheet"))).isin(*SHEETS.values())).isEmpty()
+
+
 def emission_frames(cells: DataFrame, t: Template) -> BatchFrames:
     """The canonical tables of emission workbooks from their cells (path, sheet, row, col, value): a sheet a measure, a sample a row."""
     sheet = F.lower(F.trim(F.col("sheet")))
@@ -134,4 +153,7 @@ def emission_frames(cells: DataFrame, t: Template) -> BatchFrames:
 def read_emission_workbook(spark: SparkSession, paths: str | list[str], template: str | Template = "agilent_oes") -> BatchFrames:
     """Emission workbooks, one batch each. Needs openpyxl."""
     t = load_template(template) if isinstance(template, str) else template
-    return emission_frames(read_workbook_cells(spark, paths), t)
+    cells = read_workbook_cells(spark, paths).persist()
+    if not looks_like_emission_workbook(cells):
+        raise ValueError(f"{paths}: no sheet of concentrations or intensities: not an emission workbook")
+    return emission_frames(cells, t)

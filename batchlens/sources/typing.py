@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from batchlens.sources.tables import python_group_index
 from batchlens.sources.templates import Template
 
 
@@ -32,7 +33,7 @@ def level_in_name(t: Template, name: Column) -> Column:
     """The concentration that a name states; its unit isn't looked at."""
     if not t.expected_conc_from_name:
         return F.lit(None).cast("double")
-    return F.regexp_extract(name, java(t.expected_conc_from_name), python_group_index(t.expected_conc_from_name, "value")).try_cast("double")
+    return F.regexp_extract(name, java(t.expected_conc_from_name), re.compile(t.expected_conc_from_name).groupindex["value"]).try_cast("double")
 
 
 def parent_of(t: Template, kind: Column, name: Column) -> Column:

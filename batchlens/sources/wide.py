@@ -25,11 +25,15 @@ def headers(cells: DataFrame, t: Template) -> DataFrame:
     return collapsed_headers(two, list(t.header_group_labels)).withColumnRenamed("file", "path")
 
 
-def columns(spark: SparkSession, cells: DataFrame, t: Template) -> DataFrame:
+def kinds_of(cells: DataFrame, t: Template) -> list[tuple[str, str, str | None, str | None]]:
+    """(name, kind, label, unit) of the distinct header names of all files."""
+    return classify(t, [r["name"] for r in headers(cells, t).select("name").distinct().collect()])
+
+
+def columns(cells: DataFrame, t: Template, kinds: list) -> DataFrame:
     """path, col, name, kind, label, unit of each column; of columns with one name or one label and kind the last counts."""
     heads = headers(cells, t)
-    names = [r["name"] for r in heads.select("name").distinct().collect()]
-    kinds = spark.createDataFrame(classify(t, names), "name string, kind string, label string, unit string")
+    kinds = cells.sparkSession.createDataFrame(kinds, "name string, kind string, label string, unit string")
     last = W.partitionBy("path", "kind", F.coalesce("label", "name")).orderBy(F.desc("col"))
     return heads.join(F.broadcast(kinds), "name").withColumn("i", F.row_number().over(last)).where("i = 1 or kind = 'unmapped'").drop("i")
 
@@ -37,12 +41,23 @@ def columns(spark: SparkSession, cells: DataFrame, t: Template) -> DataFrame:
 def read_wide(spark: SparkSession, paths: str | list[str], template: str | Template = "masshunter_quant_wide") -> BatchFrames:
     """One batch a file. Raises ValueError where a file has no column of concentrations or counts."""
     t = load_template(template) if isinstance(template, str) else template
-    return wide_frames(spark, read_cells(spark, paths, t.encoding), t)
+    return wide_frames(read_cells(spark, paths, t.encoding).persist(), t)
+
+
+def fit(cells: DataFrame, t: Template) -> tuple[int, int, int]:
+    """How well a template fits a file: analytes, then fewer unmapped columns, then fewer rows of no known type; more is better."""
+    kinds = kinds_of(cells, t)
+    labels = {k: {label for _, kind, label, _ in kinds if kind == k} for k in ("conc", "cps")}
+    types = headers(cells, t).where(F.col("name") == t.columns.get("sample_type", "")).select("path", "col")
+    own = by_vocabulary(t, stripped(F.col("value")))
+    strange = cells.where(F.col("row") >= t.header_rows).join(types, ["path", "col"]).where(own.isNull() | (own == "OTHER")).count()
+    return len(labels["conc"] or labels["cps"]), -sum(kind == "unmapped" for _, kind, _, _ in kinds), -strange
 
 
-def wide_frames(spark: SparkSession, cells: DataFrame, t: Template) -> BatchFrames:
+def wide_frames(cells: DataFrame, t: Template) -> BatchFrames:
     """The canonical tables of the cells of wide exports."""
-    cols = columns(spark, cells, t)
+    kinds = kinds_of(cells, t)
+    cols = columns(cells, t, kinds).persist()
     measured = cols.groupBy("path").agg(F.bool_or(F.col("kind").isin("conc", "cps")).alias("ok"))
     bad = [r["path"] for r in measured.where("not ok").collect()]
     if bad:
@@ -75,7 +90,8 @@ def wide_frames(spark: SparkSession, cells: DataFrame, t: Template) -> BatchFram
     analytes = positions(labels, "analyte").unionByName(positions(istds, "istd")).select(
         F.col("path").alias("batch_id"), "pos", "role", "label", m["mass"].alias("mass"), m["element"].alias("element"), m["mass_shift"].alias("mass_shift"), m["mode"].alias("mode"), F.lit(None).cast("double").alias("wavelength_nm")
     )
-    names = [x["label"] for x in labels.select("label").distinct().collect()]
+    reported = {label for _, kind, label, _ in kinds if kind == "conc"}
+    names = sorted(reported or {label for _, kind, label, _ in kinds if kind == "cps"})
     blobs = s.where("coalesce(flags, '') <> ''").select(F.col("path").alias("batch_id"), "row_pos", F.col("flags").alias("blob"))
     flags = instrument_objections(blobs, "blob", names)
     flags = flags.select("batch_id", "row_pos", "flag_pos", "analyte", "metric", "value", "limit", "direction", (F.col("objection") if "objection" in flags.columns else F.lit(None).cast("string")).alias("text"))

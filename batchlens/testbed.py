@@ -1,4 +1,7 @@
-"""The driver's tables as instrument batches: a batch is an order month, a sample an order, an analyte a line number."""
+"""The driver's tables as instrument batches: a sample is an order, an analyte a line number.
+
+A batch is the orders of a month by 1,500 neighbouring customers, so there are more batches, not larger ones, in larger tables.
+"""
 
 from __future__ import annotations
 
@@ -10,19 +13,18 @@ from batchlens.model import BatchFrames
 #: The view that both engines read. Names: ``sample`` S and the sequence number, CRM for some controls.
 VIEW = """
 with s0 as (
-  select cast(year(o_orderdate)*100+month(o_orderdate) as int) as batch, o_orderkey as sample_id,
-    cast(row_number() over (partition by year(o_orderdate)*100+month(o_orderdate) order by o_orderdate, o_orderkey) as int) as seq,
+  select o.*, o_orderkey as sample_id, cast(row_number() over (partition by batch order by o_orderdate, o_orderkey) as int) as seq,
     case o_orderkey % 20 when 0 then 'CAL_STD' when 1 then 'CAL_STD' when 2 then 'CAL_BLANK' when 3 then 'ICV'
       when 4 then 'CCV' when 5 then 'CCV' when 6 then 'CCB' when 7 then 'MB' when 8 then 'LCS' when 9 then 'DUP'
       when 10 then 'MS' when 11 then 'MSD' when 12 then 'SERIAL_DIL' else 'SAMPLE' end as sample_type,
     cast(5 + (o_orderkey % 7)*15 as double) as lev,
     cast(300000 + (o_orderkey % 41)*10000 as double) as istd
-  from orders),
+  from (select *, concat(cast(year(o_orderdate)*100+month(o_orderdate) as varchar(8)), '-', cast(cast(floor((o_custkey - 1) / 1500) as int) as varchar(8))) as batch from orders) o),
 s1 as (
   select *, case when sample_type in ('DUP','MS','MSD','SERIAL_DIL') then
     max(case when sample_type='SAMPLE' then seq end) over (partition by batch order by seq rows between unbounded preceding and 1 preceding) end as parent_seq from s0),
 sm as (
-  select cast(batch as varchar(8)) as batch_id, sample_id, seq, sample_type,
+  select batch as batch_id, sample_id, seq, sample_type,
     case when sample_type in ('CAL_STD','ICV','CCV','LCS') then lev when sample_type in ('MS','MSD') then cast(20 as double) end as level,
     concat('S', cast(seq as varchar(8))) as name,
     case when parent_seq is not null then concat('S', cast(parent_seq as varchar(8))) end as parent_name, parent_seq, istd
@@ -43,7 +45,7 @@ rs as (
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Samples and results of the view."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     sql = VIEW.replace("from orders)", "from {orders})").replace("from lineitem ", "from {lineitem} ")
     samples = spark.sql(sql + "select batch_id, seq, name, sample_type, level, parent_name, istd from sm", orders=orders, lineitem=lines)

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from exports import ANALYTES, wide_export
+from pyspark.sql import functions as F
 
 from batchlens.plans.engine import run
 from batchlens.sinks.report import as_html, batch_report, write_report
@@ -124,6 +125,13 @@ def test_report_and_profile(spark, tmp_path):
     assert kinds["Seq"] == "numeric" and kinds["Type"] == "categorical" and not print_["sub_header"]
 
 
-@pytest.mark.parametrize(("text", "shown"), [("9 Be Conc. [ppb]", True), ("Northside Well 3", False), ("methodblank", True), ("CalStd 5", True), ("In-Situ Inc", False), ("QC1", True)])
-def test_redaction(text, shown):
-    assert (profile.redact(text) == text) is shown
+def test_redaction(spark):
+    cells = {"9 Be Conc. [ppb]": True, "Northside Well 3": False, "methodblank": True, "CalStd 5": True, "In-Situ Inc": False, "QC1": True, "Am 5": False, "Md 21201": False, "1.5e-3": True, "": True, "10ppb STD": True}
+    rows = spark.createDataFrame([(t,) for t in cells], "t string")
+    got = {r["t"]: r["r"] for r in rows.select("t", profile.redacted(F.col("t"), F.lit(True)).alias("r")).collect()}
+    assert {t: got[t] == t for t in cells} == cells and got["In-Situ Inc"] == "██-████ ███" and got["Northside Well 3"].endswith(" 3")
+    hidden = rows.where("t = 'CalStd 5'").select(profile.redacted(F.col("t"), F.lit(False))).first()[0]
+    assert hidden == "CalStd █" and spark.createDataFrame([(None,)], "t string").select(profile.redacted(F.col("t"))).first()[0] is None
+    long = spark.createDataFrame([(1, "x" * 50_000 + " blank" * 9000)], "doc_id long, text string")
+    shown = profile.redacted_column(long, "doc_id", "text").first()["redacted"]
+    assert shown.startswith("██████ blank blank") and len(shown) == 162
