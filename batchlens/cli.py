@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +36,8 @@ def main(args: list[str] | None = None) -> int:
     accept.add_argument("--folder", default="configs")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("batchlens").config("spark.ui.enabled", "false").getOrCreate()
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="batchlens-"))
     try:
         return {"check": _check, "inspect": _inspect, "validate": _validate, "accept": _accept}[a.command](spark, a)
     except (OSError, ValueError, RuntimeError) as error:

@@ -23,6 +23,14 @@ ISTD = "batch_id string, row_pos int, istd_label string, cps double"
 FLAGS = "batch_id string, row_pos int, flag_pos int, analyte string, metric string, value double, limit double, direction string, text string"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with a short plan: in the folder that the session names for checkpoints; without one they are kept by Spark.
+
+    Readers make long plans, and each check would plan and compute them again.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 @dataclass(frozen=True)
 class BatchFrames:
     """The tables of one or more batches."""
@@ -39,8 +47,8 @@ class BatchFrames:
         return self.samples.where(self.samples["type"].isin(*types))
 
     def cached(self) -> BatchFrames:
-        """The same tables, kept in memory or on disk for a run of several checks."""
-        return replace(self, **{f.name: getattr(self, f.name).persist() for f in fields(self)})
+        """The same tables, computed once for a run of several checks."""
+        return replace(self, **{f.name: cut(getattr(self, f.name)) for f in fields(self)})
 
     def union(self, other: BatchFrames) -> BatchFrames:
         """Both sets of batches."""

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.model import BatchFrames
+from batchlens.model import BatchFrames, cut
 from batchlens.operators import pairs, recoveries
 from batchlens.operators.base import Check
 from batchlens.plans.packs import load_pack
@@ -77,7 +77,7 @@ def run(b: BatchFrames, rules: str | dict = "epa6020b", settle: bool = False) ->
             rows = outcomes(b, got)
             own = got.details.select("batch_id", F.lit(check_id).alias("check_id"), "ok", F.to_json(F.struct(*[c for c in got.details.columns if c not in ("batch_id", "ok")])).alias("payload"))
             if settle:
-                rows, own = rows.persist(), own.persist()
+                rows, own = cut(rows), cut(own)
                 rows.count(), own.count()
             details.append(own)
         except Exception as error:  # noqa: BLE001  a check's error is that check's result, never the run's

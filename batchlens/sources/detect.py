@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from batchlens.model import BatchFrames
+from batchlens.model import BatchFrames, cut
 from batchlens.sources import transposed, wide
 from batchlens.sources.cells import read_cells
 from batchlens.sources.tables import attach_intensities
@@ -86,7 +86,7 @@ def _read(spark: SparkSession, p: Path, template: str | None) -> Detection:
     best = None
     for name in CANDIDATES:
         t = load_template(name)
-        cells = read_cells(spark, str(p), t.encoding).persist()
+        cells = cut(read_cells(spark, str(p), t.encoding))
         got = wide.fit(cells, t)
         if got[0] and (best is None or got > best[0]):
             best = (got, name, cells)

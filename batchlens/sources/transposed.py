@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from batchlens.functions.labels import isotope_label, line_label
 from batchlens.functions.units import number, stripped
-from batchlens.model import BatchFrames
+from batchlens.model import BatchFrames, cut
 from batchlens.sources.cells import read_cells, read_workbook_cells
 from batchlens.sources.templates import Template, load_template
 from batchlens.sources.typing import by_name, by_vocabulary, level_in_name
@@ -53,7 +53,7 @@ def read_isotope_summary(spark: SparkSession, paths: str | list[str], template:
     Row 0 names the samples where their blocks start; the row that begins with Isotope names each column's measure.
     """
     t = load_template(template) if isinstance(template, str) else template
-    cells = read_cells(spark, paths, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value"))).persist()
+    cells = cut(read_cells(spark, paths, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value"))))
     if not looks_like_isotope_table(cells):
         raise ValueError(f"{paths}: no row begins with Isotope: not an isotope table")
     span = W.partitionBy("path").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
@@ -97,7 +97,7 @@ def read_isotope_folder(spark: SparkSession, folder: str, template: str | Templa
     """A folder of files with one sample each, or one such file, is one batch, in order of acquisition (undated last, then by path)."""
     t = load_template(template) if isinstance(template, str) else template
     files = folder if folder.lower().endswith((".asc", ".txt")) else f"{folder.rstrip('/')}/*"
-    cells = read_cells(spark, files, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value"))).persist()
+    cells = cut(read_cells(spark, files, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value"))))
     head = cells.where("value = 'Isotope'").groupBy("path").agg(F.max("row").alias("head"))
     meta = cells.join(head, "path").where("row < head").groupBy("path", "row").agg(F.max(F.when(F.col("col") == 0, F.col("value"))).alias("k"), F.min_by(F.when((F.col("col") > 0) & (F.col("value") != ""), F.col("value")), F.when((F.col("col") > 0) & (F.col("value") != ""), F.col("col"))).alias("v"))
     word = F.lower(stripped(F.substring_index("k", ":", 1)))
@@ -153,7 +153,7 @@ def emission_frames(cells: DataFrame, t: Template) -> BatchFrames:
 def read_emission_workbook(spark: SparkSession, paths: str | list[str], template: str | Template = "agilent_oes") -> BatchFrames:
     """Emission workbooks, one batch each. Needs openpyxl."""
     t = load_template(template) if isinstance(template, str) else template
-    cells = read_workbook_cells(spark, paths).persist()
+    cells = cut(read_workbook_cells(spark, paths))
     if not looks_like_emission_workbook(cells):
         raise ValueError(f"{paths}: no sheet of concentrations or intensities: not an emission workbook")
     return emission_frames(cells, t)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from batchlens.functions.labels import mass_label
 from batchlens.functions.units import number, parsed_concentration, stripped
-from batchlens.model import BatchFrames
+from batchlens.model import BatchFrames, cut
 from batchlens.sources.cells import read_cells
 from batchlens.sources.tables import collapsed_headers, instrument_objections
 from batchlens.sources.templates import Template, classify, load_template
@@ -41,7 +41,7 @@ def columns(cells: DataFrame, t: Template, kinds: list) -> DataFrame:
 def read_wide(spark: SparkSession, paths: str | list[str], template: str | Template = "masshunter_quant_wide") -> BatchFrames:
     """One batch a file. Raises ValueError where a file has no column of concentrations or counts."""
     t = load_template(template) if isinstance(template, str) else template
-    return wide_frames(read_cells(spark, paths, t.encoding).persist(), t)
+    return wide_frames(cut(read_cells(spark, paths, t.encoding)), t)
 
 
 def fit(cells: DataFrame, t: Template) -> tuple[int, int, int]:
@@ -57,7 +57,7 @@ def fit(cells: DataFrame, t: Template) -> tuple[int, int, int]:
 def wide_frames(cells: DataFrame, t: Template) -> BatchFrames:
     """The canonical tables of the cells of wide exports."""
     kinds = kinds_of(cells, t)
-    cols = columns(cells, t, kinds).persist()
+    cols = cut(columns(cells, t, kinds))
     measured = cols.groupBy("path").agg(F.bool_or(F.col("kind").isin("conc", "cps")).alias("ok"))
     bad = [r["path"] for r in measured.where("not ok").collect()]
     if bad:
@@ -82,7 +82,7 @@ def wide_frames(cells: DataFrame, t: Template) -> BatchFrames:
     s = s.join(has, ["path", "row"], "left")
     padding = (F.col("type") == "OTHER") & (F.coalesce("sample_type", F.lit("")) == "") & F.lower("name").startswith("row") & ~F.coalesce("has", F.lit(False))
     dropped = s.where(padding).groupBy("path").agg(F.count("*").alias("n_padding"))
-    s = s.where(~padding).withColumn("row_pos", F.row_number().over(W.partitionBy("path").orderBy("seq_index", "row")))
+    s = cut(s.where(~padding).withColumn("row_pos", F.row_number().over(W.partitionBy("path").orderBy("seq_index", "row"))))
     place = s.select("path", "row", "row_pos")
     positions = lambda d, k: d.select("path", "label", F.row_number().over(W.partitionBy("path").orderBy("first")).alias("pos"), F.lit(k).alias("role"))
     istds = cols.where("kind = 'istd'").groupBy("path", "label").agg(F.min("col").alias("first"))

@@ -120,7 +120,7 @@ def test_golden_batches_together_and_alone(spark, exports):
 
 
 def test_scaled_quantities(spark, exports):
-    b = read_wide(spark, [str(exports / "double.csv"), str(exports / "one.csv")])
+    b = read_wide(spark, [str(exports / "double.csv"), str(exports / "one.csv")]).cached()
     # the batches have three internal standards, so intensities are used as they are
     rows = outcomes(b, pairs.quant_crosscheck(b, {**LOQ}))
     assert {r["batch_id"].rsplit("/", 1)[1]: r["outcome"] for r in rows.collect()} == {"double.csv": "FAIL", "one.csv": "WARN"}

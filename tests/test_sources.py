@@ -126,7 +126,7 @@ def test_report_and_profile(spark, tmp_path):
 
 
 def test_redaction(spark):
-    cells = {"9 Be Conc. [ppb]": True, "Northside Well 3": False, "methodblank": True, "CalStd 5": True, "In-Situ Inc": False, "QC1": True, "Am 5": False, "Md 21201": False, "1.5e-3": True, "": True, "10ppb STD": True}
+    cells = {"9 Be Conc. [ppb]": True, "Northside Well 3": False, "methodblank": True, "CalStd 5": True, "In-Situ Inc": False, "QC1": True, "Am 5": False, "Md 21201": False, "1.5e3": True, "": True, "10ppb STD": True}
     rows = spark.createDataFrame([(t,) for t in cells], "t string")
     got = {r["t"]: r["r"] for r in rows.select("t", profile.redacted(F.col("t"), F.lit(True)).alias("r")).collect()}
     assert {t: got[t] == t for t in cells} == cells and got["In-Situ Inc"] == "██-████ ███" and got["Northside Well 3"].endswith(" 3")
