@@ -7,13 +7,15 @@ from exports import ANALYTES, wide_export
 from pyspark.sql import functions as F
 
 from batchlens.plans.engine import run
+from batchlens.plans.packs import resolve
 from batchlens.sinks.report import as_html, batch_report, write_report
+from batchlens.sinks.review import accepted, review, validation
 from batchlens.sources import profile
 from batchlens.sources.cells import decoded, read_cells
 from batchlens.sources.crm import load_library
 from batchlens.sources.detect import companion, read_batch
-from batchlens.sources.templates import load_template, template_of
-from batchlens.sources.transposed import emission_frames, read_isotope_folder, read_isotope_summary
+from batchlens.sources.templates import classify, load_template, template_of
+from batchlens.sources.transposed import emission_frames, looks_like_emission_workbook, read_isotope_folder, read_isotope_summary
 from batchlens.sources.wide import read_wide
 
 
@@ -135,3 +137,40 @@ def test_redaction(spark):
     long = spark.createDataFrame([(1, "x" * 50_000 + " blank" * 9000)], "doc_id long, text string")
     shown = profile.redacted_column(long, "doc_id", "text").first()["redacted"]
     assert shown.startswith("██████ blank blank") and len(shown) == 162
+
+
+def test_companion_of_either_kind(tmp_path):
+    for name in ("a_conc.csv", "a.csv", "Count_7.csv", "Conc_7.csv", "alone.csv"):
+        (tmp_path / name).write_text("x")
+    pairs = {"a_conc.csv": "a.csv", "Count_7.csv": "Conc_7.csv", "Conc_7.csv": "Count_7.csv"}
+    assert {n: companion(str(tmp_path / n)) for n in pairs} == {n: str(tmp_path / o) for n, o in pairs.items()} and companion(str(tmp_path / "alone.csv")) is None
+
+
+def test_isotope_files_are_told_apart_and_others_refused(spark, tmp_path):
+    (tmp_path / "one.asc").write_text("Data File :\t\tC:\\d\\one.dat\nSample Name :\t\t10 ppb\nIsotope\tIntensity AVG\nNa23(LR)\t100\n")
+    d = read_batch(spark, str(tmp_path / "one.asc"))
+    assert d.reader == "isotope file" and [(r["name"], r["type"]) for r in d.frames.samples.collect()] == [("10 ppb", "CAL_STD")]
+    (tmp_path / "other.asc").write_text("a\tb\n1\t2\n")
+    with pytest.raises(ValueError, match="not an isotope table"):
+        read_batch(spark, str(tmp_path / "other.asc"))
+    assert not looks_like_emission_workbook(spark.createDataFrame([("w", "Sheet1", 0, 0, "x")], "path string, sheet string, row int, col int, value string"))
+
+
+def test_templates_in_words():
+    t = load_template("masshunter_2row")
+    kinds = {n: (k, label, unit) for n, k, label, unit in classify(t, ["56  Fe  [ He ]  :: Conc. [ ppb ]", "9 Be :: Conc. RSD", "9 Be :: CPS", "Rjct", "115  In ( ISTD ) :: CPS", "Odd", "x RSD"])}
+    assert list(kinds.values()) == [("conc", "56  Fe  [ He ]", "ppb"), ("rsd", "9 Be", None), ("cps", "9 Be", None), ("ignored", None, None), ("istd", "115  In ( ISTD )", None), ("unmapped", None, None), ("ignored", None, None)]
+    own = template_of({"id": "x", "analyte_cps_pattern": "^(?P<label>.+) counts$"})
+    assert classify(own, ["Be counts"]) == [("Be counts", "cps", "Be", None)]
+
+
+def test_review_and_accept(spark, tmp_path):
+    path, template = tmp_path / "x.csv", tmp_path / "t.yaml"
+    wide_export(str(path), edits={("S004", "Type"): "PrepBlank"}, rename={"9 Be CPS": "9 Be Intensity"})
+    template.write_text(resolve("masshunter_quant_wide", "template").read_text())
+    found = validation(spark, str(template), str(path))
+    text = review(found)
+    assert found["analytes"] == ANALYTES and "! unmapped column ignored: 9 Be Intensity" in text and "PrepBlank" in text and "no known type" in text
+    assert "FileNotFoundError" in review(validation(spark, "nothing", str(path)))
+    saved = accepted(template.read_text(), "mine", str(tmp_path))
+    assert saved.name == "mine.template.yaml" and load_template(str(saved)).id == "mine"
