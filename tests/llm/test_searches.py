@@ -213,3 +213,61 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     few = ann.nearest_neighbours(df.where("vec_id < 3"), F.col("vec_id") == 0)
     assert few.count() == 2
+
+
+def test_words_beyond_the_packed_bits():
+    rng = np.random.default_rng(8)
+    a, b, c = (rng.integers(0, 30, 4000) for _ in range(3))
+    packed = ngram_lm._distinct(a, b, c)
+    before, ngram_lm._PACKED = ngram_lm._PACKED, 3
+    wide = ngram_lm._distinct(a, b, c)
+    ngram_lm._PACKED = before
+    assert Counter(zip(a.tolist(), b.tolist(), c.tolist())) == dict(zip(zip(*(x.tolist() for x in wide[:3])), wide[3].tolist()))
+    assert all((x == y).all() for x, y in zip(packed, wide))
+
+
+def test_quality_votes():
+    """Features and votes against plain Python."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "x1", "gamma!", "12", "a  b"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["", None]
+    before, quality.BYTES = quality.BYTES, 97  # blocks end inside of texts
+    x = quality.features(pa.array(texts, pa.string()))
+    quality.BYTES = before
+    assert np.allclose(x, quality.features(pa.array(texts, pa.string()))) and not x[-2:].any()
+    assert np.allclose((x[:60, : quality.WORDS] ** 2).sum(axis=1), 1, atol=1e-3)
+    some = [np.flatnonzero(r) for r in x[:40]]
+    rows = quality.Sparse([(i.astype("<u2").tobytes(), r[i].astype("<f2").tobytes()) for i, r in zip(some, x)])
+    voters = quality.Voters(rows, np.array([float(i % 3 > 0) for i in range(40)]))
+    got = voters.scores(x)
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    for i in range(len(texts)):
+        v = unit((x[i].astype(float) * voters.weight) @ voters.axes)
+        cosine = sorted(((float(v @ unit(w.astype(float))), float(label)) for w, label in zip(voters.vectors, voters.labels)), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(c, 0) ** 8 for c, _ in cosine]
+        assert abs(got[i] - (sum(w * label for w, (_, label) in zip(weight, cosine)) / sum(weight) if v.any() else voters.prior)) < 1e-3
+
+
+def test_decontamination_of_long_texts_and_empty_tables(spark):
+    """An item at the start, at the end and across the edges of spans of a long text; several index files; a clashing column."""
+    rng = random.Random(7)
+    items = [(i, " ".join(f"b{i}x{rng.randrange(500)}" for _ in range(30))) for i in range(6)]
+    words = [f"d{rng.randrange(9000)}" for _ in range(60_000)]
+    for i, at in enumerate((0, decontam.SPAN - 12, 2 * decontam.SPAN - 1, 3 * decontam.SPAN + 5, 59_970)):
+        words[at : at + 30] = items[i][1].split()
+    docs = spark.createDataFrame([(1, " ".join(words), "a"), (2, "short text", "b"), (None, None, None)], DOCS + ", similarity string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    before, decontam.MOST_ITEM_BYTES = decontam.MOST_ITEM_BYTES, 400
+    got = {(r["doc_id"], r["item_id"]): r["first_word"] for r in decontam.contaminated(docs, benchmark).collect()}
+    kept = decontam.uncontaminated(docs, benchmark)
+    decontam.MOST_ITEM_BYTES = before
+    assert got == {(1, 0): 0, (1, 1): decontam.SPAN - 12, (1, 2): 2 * decontam.SPAN - 1, (1, 3): 3 * decontam.SPAN + 5, (1, 4): 59_970}
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2] and kept.columns == docs.columns
+    assert decontam.contaminated(docs.limit(0), benchmark).count() == 0 and decontam.contaminated(docs, benchmark.limit(0)).count() == 0 and decontam.uncontaminated(docs, benchmark.limit(0)).count() == 3
+
+
+def test_long_lists_are_split(spark):
+    before, jaccard_join.SPLIT = jaccard_join.SPLIT, 3
+    test_jaccard_join(spark, 3, 90, 11)
+    jaccard_join.SPLIT = before

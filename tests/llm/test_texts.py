@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from batchlens.llm import chat, licenses, secrets
+from batchlens.llm import chat, licenses, scratch, secrets
 
 DOCS = "doc_id long, text string"
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -132,7 +132,7 @@ def test_chat_digests(spark):
 
 def test_pipeline(spark):
     import corpus_pipeline
-    from batchlens.llm import quality, scratch
+    from batchlens.llm import quality
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -148,3 +148,54 @@ def test_pipeline(spark):
         assert name == "packing" or out.columns == docs.columns
         docs, before = out, got
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_secrets_of_long_texts(spark):
+    """Texts of 20,000 and 100,000 words, with many short runs and some long ones; candidates with a long front."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([3, 4, 5, 6, 26]) if rng.random() < 0.02 else rng.randrange(2, 7)))
+    rows = [(n, " ".join(word() for _ in range(n)) + " token=abc secret: abcdefgh") for n in (20_000, 100_000)]
+    key = "aZ3kQ9vR7tLp2XwB8sNd4yK"
+    rows += [(1, "q" * 75 + key), (2, "xyz" + key), (3, ("b" * 75 + key + " ") * 150)]
+    got = {r["doc_id"]: r for r in secrets.secret_digests(secrets.with_spans(spark.createDataFrame(rows, DOCS))).collect()}
+    for i, t in rows:
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(t))
+        assert got[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+    assert got[1]["spans"] == "entropy:0:98" and got[2]["spans"] == "entropy:0:26" and got[3]["spans"].count("entropy") == 150
+
+
+def test_licence_probabilities(spark):
+    """The column functions against the model's own sums; templates that training left out fit the temperature."""
+    model = licenses.Model(["plain words of a text", "mit der Bahn nach Hause", "more plain words here"])
+    texts = ["released under the MIT License", "license of the GPL version 3 or later", "Licensed under CC BY 4.0.", "mit freundlichen Gruessen", "this software is not free"]
+    got = {r["doc_id"]: r for r in licenses.licensed_paragraphs(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()}
+    for i, text in enumerate(texts):
+        words = licenses.plain(text)
+        z = model.intercept.astype(float).copy()
+        for g in licenses._grams(words):
+            if g in model.vocabulary:
+                z += model.weights[model.vocabulary.index(g)]
+        z = z / model.temperature
+        p = [math.exp(v - max(z)) for v in z]
+        best = max(range(len(z)), key=lambda k: z[k])
+        if model.families[best] == licenses.UNKNOWN or p[best] / sum(p) < licenses.LEAST:
+            assert i not in got
+        else:
+            assert got[i]["family"] == model.families[best] and abs(got[i]["probability"] - p[best] / sum(p)) < 2e-4
+    assert 0.3 <= model.temperature <= 6
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls in every column, empty texts, repeated rows and an empty table, through each stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = docs.first()
+    odd = [(None, None, None, None, None), (1, "", "en", None, 0), one, one, (None, "a b c d e f g", None, "x", None)]
+    for rows in (odd, []):
+        held = spark.createDataFrame(rows, docs.schema)
+        for name, stage in corpus_pipeline.STAGES:
+            held = scratch.saved(stage(spark, held, sf), name)
+            assert name == "packing" or held.columns == docs.columns
+        assert (held.count() > 0) is bool(rows)
