@@ -9,7 +9,10 @@ the matched prefixes are enough; these are compared exactly, in double precision
 How many are enough is measured, not guessed: for ``CALIBRATION`` queries all distances are computed, and
 the share of a block that a query gathers is the least that finds ``TARGET`` of their true neighbours.
 
-Equal vectors are indexed once, with their k + 1 smallest ids; more can't be among anyone's k nearest.
+Equal vectors are indexed once, with their 2k smallest ids, k of each at most; more can't be among anyone's k nearest.
+Vectors are kept and compared as they come, in single or double precision. Each query meets each block once: that is
+queries times rows, of which the calibrated share is compared; a share near 1 is what vectors without structure need.
+Other columns of the table are not looked at.
 Vectors that are null, zero, hold a null, NaN or infinity, or have another length than most
 rows, take no part, and neither do rows without vec_id. Rows with the query's own vec_id aren't candidates. Ties
 go to the smaller vec_id; rows that repeat count once for each. Fewer than k candidates: all of them. An empty table gives no rows.
@@ -39,26 +42,40 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(good & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+def _kind(rows: DataFrame) -> str:
+    """How vectors are kept: as they come, in single or double precision."""
+    return "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
 
-def _distinct(rows: DataFrame, width: int, keep: int) -> DataFrame:
-    """vector (binary), ids: the distinct vectors with their ``keep`` smallest ids."""
+def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
+
+
+def _least(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of ascending ids the 2k smallest, of each k at most: without any one id, the k smallest others are left."""
+    other = np.ones(len(ids), bool)
+    other[k:] = ids[k:] != ids[:-k] if len(ids) > k else other[k:]
+    return ids[other][: 2 * k]
+
+
+def _distinct(rows: DataFrame, width: int, k: int) -> DataFrame:
+    """vector (binary), ids: the distinct vectors with those of their ids that can be among k nearest (``_least``)."""
+    kind = _kind(rows)
 
     def run(batches):
         for batch in batches:
-            x, ids = _matrix(batch.column("embedding"), width) + np.float32(0), batch.column("vec_id").to_numpy()
+            x, ids = _matrix(batch.column("embedding"), width, kind) + np.zeros(1, kind), batch.column("vec_id").to_numpy()
             order = np.lexsort((ids, *x.T))
             new = np.flatnonzero(np.concatenate([[True], (x[order][1:] != x[order][:-1]).any(axis=1)])) if len(x) else []
             cuts = [*new, len(order)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[order[a]].tobytes() for a in new], pa.binary()), pa.array([ids[order[a:b]][:keep].tolist() for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))],
+                [pa.array([x[order[a]].tobytes() for a in new], pa.binary()), pa.array([_least(ids[order[a:b]], k).tolist() for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))],
                 ["vector", "ids"],
             )
 
     some = rows.select("vec_id", "embedding").mapInArrow(run, "vector binary, ids array<long>")
-    return some.groupBy("vector").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
+    every = some.groupBy("vector").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return every.select("vector", F.slice(F.filter("ids", lambda x, i: (i < k) | (F.get("ids", i - k) != x)), 1, 2 * k).alias("ids"))
 
 
 def _planes(width: int) -> np.ndarray:
@@ -67,15 +84,17 @@ def _planes(width: int) -> np.ndarray:
 
 def _codes(x: np.ndarray, centre: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """A row of hash strings (integers) for each tree."""
-    bits = ((x - centre) @ planes > 0).reshape(len(x), TREES, BITS)
+    bits = ((x.astype(np.float32) - centre) @ planes > 0).reshape(len(x), TREES, BITS)
     return (bits << np.arange(BITS - 1, -1, -1)).sum(axis=2).astype(np.uint32).T
 
 
 def _centre(rows: DataFrame, width: int) -> np.ndarray:
+    kind = _kind(rows)
+
     def run(batches):
         total, n = np.zeros(width), 0
         for batch in batches:
-            x = _matrix(batch.column("embedding"), width)
+            x = _matrix(batch.column("embedding"), width, kind)
             total, n = total + x.sum(axis=0, dtype=np.float64), n + len(x)
         yield pa.RecordBatch.from_arrays([pa.array(range(width + 1), pa.int32()), pa.array([*total, float(n)])], ["i", "x"])
 
@@ -83,10 +102,10 @@ def _centre(rows: DataFrame, width: int) -> np.ndarray:
     return np.array([got[i] for i in range(width)], np.float32) / np.float32(got[width])
 
 
-def build_forest(rows: DataFrame, width: int, keep: int) -> tuple[DataFrame, np.ndarray, int]:
+def build_forest(rows: DataFrame, width: int, k: int) -> tuple[DataFrame, np.ndarray, int]:
     """The blocks of the index (one row a block), the centre, and the number of blocks."""
-    centre = _centre(rows, width)
-    distinct = scratch.saved(_distinct(rows, width, keep), "vectors")
+    centre, kind = _centre(rows, width), _kind(rows)
+    distinct = scratch.saved(_distinct(rows, width, k), "vectors")
     blocks = max(1, -(-distinct.count() // BLOCK))
 
     def run(batches):
@@ -98,7 +117,7 @@ def build_forest(rows: DataFrame, width: int, keep: int) -> tuple[DataFrame, np.
             ids += batch.column("ids").to_pylist()
         if not ids:
             return
-        x = np.frombuffer(b"".join(vectors), "<f4").reshape(len(ids), width)
+        x = np.frombuffer(b"".join(vectors), kind).reshape(len(ids), width)
         codes = _codes(x, centre, _planes(width))
         places = np.argsort(codes, axis=1, kind="stable")
         row = [TaskContext.get().partitionId(), len(ids), x.tobytes(), ids, np.take_along_axis(codes, places, 1).astype("<u4").tobytes(), places.astype("<u4").tobytes()]
@@ -111,9 +130,9 @@ def build_forest(rows: DataFrame, width: int, keep: int) -> tuple[DataFrame, np.
 class _Block:
     """One block of the index in a task."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int, width: int):
+    def __init__(self, batch: pa.RecordBatch, i: int, width: int, kind: str):
         self.n = batch.column("n")[i].as_py()
-        self.x = np.frombuffer(batch.column("vectors")[i].as_buffer(), "<f4").reshape(self.n, width).astype(np.float64)
+        self.x = np.frombuffer(batch.column("vectors")[i].as_buffer(), kind).reshape(self.n, width).astype(np.float64)
         ids = batch.column("ids")[i].values
         sizes = np.diff(ids.offsets.to_numpy())
         self.owner, self.ids = np.repeat(np.arange(self.n), sizes), ids.flatten().to_numpy()
@@ -164,13 +183,15 @@ def _compared(forest: DataFrame, queries: DataFrame, blocks: int, centre: np.nda
     before the neighbour is.
     """
 
+    kind = _kind(queries)
+
     def packed(batches):
         held = [b for b in batches if len(b)]
         if held:
             ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
-            x = np.concatenate([_matrix(b.column("embedding"), width) for b in held])
+            x = np.concatenate([_matrix(b.column("embedding"), width, kind) for b in held])
             for a in range(0, len(ids), QUERY_BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (ids[a : a + QUERY_BLOCK].astype("<i8").tobytes(), x[a : a + QUERY_BLOCK].astype("<f4").tobytes())], ["q_ids", "q_vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (ids[a : a + QUERY_BLOCK].astype("<i8").tobytes(), x[a : a + QUERY_BLOCK].astype(kind).tobytes())], ["q_ids", "q_vectors"])
 
     asked = queries.select("vec_id", "embedding").mapInArrow(packed, "q_ids binary, q_vectors binary")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -179,9 +200,9 @@ def _compared(forest: DataFrame, queries: DataFrame, blocks: int, centre: np.nda
         planes = _planes(width)
         for batch in batches:
             for i in range(len(batch)):
-                block = _Block(batch, i, width)
+                block = _Block(batch, i, width, kind)
                 own = np.frombuffer(batch.column("q_ids")[i].as_buffer(), "<i8")
-                q = np.frombuffer(batch.column("q_vectors")[i].as_buffer(), "<f4").reshape(len(own), width)
+                q = np.frombuffer(batch.column("q_vectors")[i].as_buffer(), kind).reshape(len(own), width)
                 lo, hi = block.ranges(_codes(q, centre, planes))
                 gathered = (hi - lo).sum(axis=1)
                 out = []
@@ -219,7 +240,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, k: int = 10) -> DataFr
         return empty
     width = widths["w"]
     rows = rows.where(F.size("embedding") == width)
-    forest, centre, blocks = build_forest(rows, width, k + 1)
+    forest, centre, blocks = build_forest(rows, width, k)
     queries = rows.where(is_query)
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION)
     needs = [r["need"] for r in _ranked(_compared(forest, sample, blocks, centre, width, k, None), k).select("need").collect()]

@@ -271,3 +271,18 @@ def test_long_lists_are_split(spark):
     before, jaccard_join.SPLIT = jaccard_join.SPLIT, 3
     test_jaccard_join(spark, 3, 90, 11)
     jaccard_join.SPLIT = before
+
+
+def test_neighbours_of_doubles_and_of_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8)) * 1e-9 + 1  # equal in single precision
+    x[200:] = 2.0
+    ids = [*range(200), *[200] * 25, *range(201, 276)]
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in zip(ids, x)], "vec_id long, embedding array<double>, rank string")
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in (0, 100):
+        d = np.sqrt(((x[:200] - x[q]) ** 2).sum(axis=1))
+        assert all(abs(d[i] - s) < 1e-18 for i, s in got[q]) and len({i for i, _ in got[q]} & set(np.argsort(d, kind="stable")[:11].tolist())) >= 7
+    assert got[200] == [(i, 0.0) for i in range(201, 211) for _ in range(25)][:10]
