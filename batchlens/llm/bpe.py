@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain, compress, islice
+from operator import not_
 
 import numpy as np
 
@@ -50,10 +51,7 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, split: list[list[str]]) -> None:
-        if len(self.known) > _MOST:  # what these texts need stays: it holds the frequent pieces
-            self.known = {p: self.known[p] for p in set(chain.from_iterable(split)) if p in self.known}
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+    def _learn(self, new: set[str]) -> None:
         words = [p for p in new if p[0] == " " and p[1:2].isalpha()]
         for i in range(0, len(words), _JOIN):
             part = words[i : i + _JOIN]
@@ -64,6 +62,18 @@ class Encoder:
             if p not in self.known:
                 self.known[p] = self._whole(p)
 
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; those not met before are learnt together."""
+        got = list(map(self.known.get, pieces))
+        missing = list(compress(range(len(got)), map(not_, got)))
+        if missing:
+            if len(self.known) > _MOST:  # what these texts need stays: it holds the frequent pieces
+                self.known = {p: x for p, x in zip(pieces, got) if x}
+            self._learn({pieces[i] for i in missing})
+            for i in missing:
+                got[i] = self.known[pieces[i]]
+        return got
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(texts), 256):
@@ -73,9 +83,8 @@ class Encoder:
                 odd = not t.isascii() and _UNSURE.search(t) or any(s in t for s in self.special)
                 odd = odd or t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f")
                 split.append(self._whole(t) if odd else _PIECE.findall(t))
-            self._learn([x for x in split if isinstance(x, list)])
-            get = self.known.__getitem__
-            out += [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
+            got = iter(self._looked_up(list(chain.from_iterable(x for x in split if isinstance(x, list)))))
+            out += [x if isinstance(x, bytes) else b"".join(islice(got, len(x))) for x in split]
         return out
 
 
