@@ -28,8 +28,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the token pieces of all documents into sequences of 2048; ``ids`` has each piece's ids (16 bits each, little-endian)."""
-    return packing.packed_sequences(docs, with_ids=True)
+    """Pack the token pieces of all documents into sequences of 2048 (``packed_sequences(docs, with_ids=True)`` also gives their ids)."""
+    return packing.packed_sequences(docs)
 
 
 STAGES = [
