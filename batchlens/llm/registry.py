@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from batchlens.llm.ann import op8_nearest_neighbours
 from batchlens.llm.chat import op9_chat_formatting
 from batchlens.llm.decontam import op4_decontamination
+from batchlens.llm.fim import ORACLE_SQL as FIM_SQL
+from batchlens.llm.fim import op12_fill_in_middle
 from batchlens.llm.jaccard_join import op6_jaccard_join
 from batchlens.llm.licenses import op7_license_scans
 from batchlens.llm.ngram_lm import op1_ngram_lm
@@ -28,11 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_fill_in_middle": FIM_SQL,
     "op6_jaccard_join": f"""
 with recursive w as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
 s as (select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
