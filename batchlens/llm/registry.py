@@ -13,6 +13,8 @@ from batchlens.llm.fim import ORACLE_SQL as FIM_SQL
 from batchlens.llm.fim import op12_fill_in_middle
 from batchlens.llm.jaccard_join import op6_jaccard_join
 from batchlens.llm.licenses import op7_license_scans
+from batchlens.llm.merkle import ORACLE_SQL as MERKLE_SQL
+from batchlens.llm.merkle import op11_merkle_manifest
 from batchlens.llm.ngram_lm import op1_ngram_lm
 from batchlens.llm.packing import op10_best_fit_packing
 from batchlens.llm.quality import op3_quality_classifier
@@ -30,12 +32,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op11_merkle_manifest": MERKLE_SQL,
     "op12_fill_in_middle": FIM_SQL,
     "op6_jaccard_join": f"""
 with recursive w as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),

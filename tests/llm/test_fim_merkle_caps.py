@@ -3,10 +3,11 @@
 import hashlib
 import random
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
-from batchlens.llm import fim
+from batchlens.llm import fim, merkle
 
 DOCS = "doc_id long, text string"
 
@@ -53,3 +54,107 @@ def test_fim_seed_changes_cuts(spark):
     docs = spark.createDataFrame([(i, "some words to cut, " * 9) for i in range(50)], DOCS)
     one, two = ({r["doc_id"]: r["output"] for r in fim.fill_in_middle(docs, seed=s).collect()} for s in (1, 2))
     assert one != two and one == {r["doc_id"]: r["output"] for r in fim.fill_in_middle(docs.repartition(7)).collect()}
+
+
+TABLE = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def plain_tree(leaves):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+    return levels
+
+
+def plain_path(levels, i):
+    out = []
+    for level in levels[:-1]:
+        first = i - i % 3
+        out.append((i % 3, [level[j] for j in range(first, min(first + 3, len(level))) if j != i]))
+        i //= 3
+    return out
+
+
+def plain_manifest(rows):
+    """doc_id, leaf, subroot, root, path, in the order of the manifest."""
+    digest = lambda r: sha("".join(field(v) for v in (r[0], r[1], r[2], r[3], r[4])))
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    sources = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    ordered = {s: sorted(by[s], key=lambda r: (r[0] is not None, r[0] or 0, digest(r))) for s in sources}
+    trees = {s: plain_tree([digest(r) for r in ordered[s]]) for s in sources}
+    top = plain_tree([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for i, r in enumerate(ordered[s]):
+            out.append((r, trees[s][0][i], trees[s][-1][0], top[-1][0], plain_path(trees[s], i) + plain_path(top, k)))
+    return out
+
+
+def test_traversal_equals_whole_trees():
+    for n in [*range(1, 40), 80, 81, 82, 243, 244, 500, 728, 729]:
+        leaves = [sha(str(i)) for i in range(n)]
+        levels = plain_tree(leaves)
+        encoded = [x.encode() for x in leaves]
+        got = list(merkle.traversal(encoded.__getitem__, n, len(levels) - 1))
+        assert [[(p, [x.decode() for x in o]) for p, o in zip(*step)] for step in got] == [plain_path(levels, i) for i in range(n)]
+        assert merkle.root_of(encoded.__getitem__, n, len(levels) - 1).decode() == levels[-1][0]
+    short = merkle.root_of([b"ab"].__getitem__, 1, 3)  # a lone node of a taller tree is hashed at each level
+    assert short.decode() == sha(sha(sha("ab")))
+
+
+def test_traversal_keeps_few_nodes(monkeypatch):
+    most = 0
+
+    class Counted(merkle._Subtree):
+        def add(self, leaf):
+            nonlocal most
+            super().add(leaf)
+            most = max(most, len(self.kept))
+
+    monkeypatch.setattr(merkle, "_Subtree", Counted)
+    leaves = [sha(str(i)).encode() for i in range(729)]
+    assert sum(1 for _ in merkle.traversal(leaves.__getitem__, 729, 6)) == 729
+    assert most <= 9 + 3 + 1  # of a stage of two levels, not of the 1,093 nodes of the tree
+
+
+def merkle_rows(rng):
+    rows = [(rng.randrange(10**6) - 500, f"s{rng.choice('abé')}", rng.choice(["en", None]), rng.randrange(99), t) for t in random_texts(rng, 400)]
+    rows += [(i, "hot", "en", 3, f"line\n{i}") for i in range(2300)] + [rows[0]] * 3 + [(None, None, None, None, None), (None, "hot", None, 0, ""), (5, None, "x", 1, "a\nb"), (5, None, "x", 1, "a\nc"), (6, "", "x", None, "1:a")]
+    return rows + [(7, "long", "en", 1, "wörd\n" * 400_000)]
+
+
+def test_merkle_manifest(spark):
+    rng = random.Random(3)
+    rows = merkle_rows(rng)
+    docs = spark.createDataFrame(rows, TABLE).withColumns({c: F.lit("clash") for c in ("grp", "leaf", "root", "pos", "item", "digest")}).repartition(6)
+    got = [(r["doc_id"], r["source"], r["leaf"], r["subroot"], r["root"], list(zip(r["places"], r["siblings"]))) for r in merkle.manifest(docs).collect()]
+    expected = [(r[0], r[1], leaf, subroot, root, path) for r, leaf, subroot, root, path in plain_manifest(rows)]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+    assert merkle.manifest(docs.limit(0)).count() == 0
+
+
+def test_merkle_query_shows_what_changed(spark, tmp_path):
+    rng = random.Random(4)
+    rows = merkle_rows(rng)
+    spark.createDataFrame(rows, TABLE).write.parquet(f"{tmp_path}/documents.parquet")
+    got = merkle.op11_merkle_manifest(spark, str(tmp_path)).collect()
+    expected = []
+    for r, leaf, subroot, root, path in plain_manifest(rows):
+        changed = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0
+        node = sha("".join(field(v) for v in (*r[:4], r[4].replace("\n", "") if r[4] is not None else None))) if changed else leaf
+        for place, others in path:
+            node = sha("".join([*others[:place], node, *others[place:]]))
+        expected.append((r[0], leaf, subroot, root, sha("".join(x for _, o in path for x in o)), node, node == root))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    assert {r["verified"] for r in got} == {True, False}
+
+
+def test_merkle_of_one_row(spark):
+    (got,) = merkle.manifest(spark.createDataFrame([(1, "a", "en", 2, "hi")], TABLE)).collect()
+    assert got["leaf"] == got["subroot"] == got["root"] == sha("1:11:a2:en1:22:hi") and got["places"] == [] == got["siblings"]
