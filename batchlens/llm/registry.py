@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from batchlens.llm.ann import op8_nearest_neighbours
+from batchlens.llm.caps import ORACLE_SQL as CAPS_SQL
+from batchlens.llm.caps import op13_spherical_caps
 from batchlens.llm.chat import op9_chat_formatting
 from batchlens.llm.decontam import op4_decontamination
 from batchlens.llm.fim import ORACLE_SQL as FIM_SQL
@@ -34,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spherical_caps": op13_spherical_caps,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,6 +45,7 @@ ORACLE_SQL: dict[str, str] = {
     "op11_merkle_manifest": op11_merkle_manifest,
     "op11_merkle_manifest": MERKLE_SQL,
     "op12_fill_in_middle": FIM_SQL,
+    "op13_spherical_caps": CAPS_SQL,
     "op6_jaccard_join": f"""
 with recursive w as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
 s as (select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))

@@ -5,9 +5,10 @@ import random
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from batchlens.llm import fim, merkle
+from batchlens.llm import caps, fim, merkle
 
 DOCS = "doc_id long, text string"
 
@@ -158,3 +159,86 @@ def test_merkle_query_shows_what_changed(spark, tmp_path):
 def test_merkle_of_one_row(spark):
     (got,) = merkle.manifest(spark.createDataFrame([(1, "a", "en", 2, "hi")], TABLE)).collect()
     assert got["leaf"] == got["subroot"] == got["root"] == sha("1:11:a2:en1:22:hi") and got["places"] == [] == got["siblings"]
+
+
+VECTORS = "vec_id long, label int, embedding array<float>"
+
+
+def near(rng, x, cosine):
+    """A vector with this cosine to ``x``."""
+    w = rng.standard_normal(len(x))
+    w -= (w @ x) / (x @ x) * x
+    return cosine * x / np.linalg.norm(x) + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w)
+
+
+def plain_links(rows, threshold=0.98):
+    """n_links and component of each row, by all cosines of a label."""
+    ok = [i for i, (v, label, x) in enumerate(rows) if v is not None and label is not None and x is not None and None not in x and np.isfinite(x).all() and any(x)]
+    links, root = [0] * len(rows), list(range(len(rows)))
+    for label in {rows[i][1] for i in ok}:
+        own = [i for i in ok if rows[i][1] == label]
+        x = np.array([rows[i][2] for i in own], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        linked = x @ x.T >= threshold
+        np.fill_diagonal(linked, False)
+        for i, line in zip(own, linked):
+            links[i] = int(line.sum())
+        open_ = set(range(len(own)))
+        while open_:
+            todo, seen = [open_.pop()], []
+            while todo:
+                seen.append(todo.pop())
+                todo += (more := open_ & set(np.flatnonzero(linked[seen[-1]]).tolist()))
+                open_ -= more
+            low = min(rows[own[i]][0] for i in seen)
+            for i in seen:
+                root[own[i]] = low
+    return [(v, n, root[i] if i in set(ok) else v) for i, ((v, _, _), n) in enumerate(zip(rows, links))]
+
+
+def test_caps_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for width, vectors in ((64, 500), (64, 50_000), (16, 2000), (384, 5000), (6, 300), (1, 20)):
+        x = rng.standard_normal((1500, width))
+        y = np.array([near(rng, v, 0.98) for v in x]) if width > 1 else x * 3
+        code = caps.ProductCode(width, vectors, 0.98)
+        one, two = (code.decoded(v) for v in (x, y))
+        met = len({r for r, d in set(zip(*map(np.ndarray.tolist, one))) & set(zip(*map(np.ndarray.tolist, two)))})
+        assert met >= 0.995 * len(x), (width, vectors, met)
+        lone = code.decoded(x[7:8])  # a vector's filters don't depend on what stands beside it
+        row, at = code.decoded(x)
+        assert at[row == 7].tolist() == list(lone)[1].tolist()
+
+
+def test_decoding_gives_all_directions_past_the_cap():
+    rng = np.random.default_rng(5)
+    code = caps.ProductCode(32, 100, 0.98)
+    x = rng.standard_normal((40, 32))
+    y = code._rotated(x).reshape(40, code.blocks, -1)
+    sums = np.zeros((40, 1))
+    for b in range(code.blocks):
+        sums = (sums[:, :, None] + (y[:, b] @ code.code[b].T)[:, None, :]).reshape(40, -1)
+    limit = np.minimum(code.height, sums.max(axis=1) - code.slack)
+    expected = [(i, d) for i in range(40) for d in np.flatnonzero(sums[i] >= limit[i]).tolist()]
+    assert list(zip(*map(np.ndarray.tolist, code.decoded(x)))) == expected
+
+
+def test_spherical_caps(spark, monkeypatch):
+    monkeypatch.setattr(caps, "SPLIT", 40)  # so that groups are split over tasks
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(3)), rng.standard_normal(24).tolist()) for i in range(600)]
+    for i in range(150):  # pairs about the threshold, in chains and across labels
+        v, label, x = rows[int(rng.integers(len(rows)))]
+        rows.append((1000 + i, label if i % 5 else 7, near(rng, np.array(x), rng.choice([0.97, 0.979, 0.981, 0.985, 0.995])).tolist()))
+    centre = rng.standard_normal(24)
+    rows += [(3000 + i, 1, near(rng, centre, rng.uniform(0.985, 0.999)).tolist()) for i in range(200)]
+    rows += [(4000 + i, 2, [0.5] * 23 + [-0.0]) for i in range(60)] + [(4100 + i, 2, [1.0] * 23 + [0.0]) for i in range(30)] + [rows[0]] * 4
+    odd = [(5000, 1, None), (5001, 1, [0.0] * 24), (5002, 1, [1.0] * 23 + [None]), (5003, 1, [float("nan")] * 24), (5004, None, [0.5] * 24), (None, 2, [0.5] * 24), (5005, 2, [1.0, 2.0]), (5006, 2, []), (5007, 1, [float("inf")] * 24)]
+    short = [r for r in odd if r[0] != 5005]
+    table = spark.createDataFrame(rows + odd, VECTORS).withColumns({c: F.lit("clash") for c in ("key", "x", "cap", "copies", "links")}).repartition(5)
+    got = [tuple(r) for r in caps.near_duplicates(table).collect()]
+    expected = plain_links(rows + short) + [(5005, 0, 5005)]
+    assert sorted(map(repr, ((v, n, c, None if v is None else v == c) for v, n, c in expected))) == sorted(map(repr, got))
+    assert caps.near_duplicates(table.limit(0)).count() == 0
+    double = table.where("vec_id < 1300").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert sorted(tuple(r)[:3] for r in caps.near_duplicates(double).collect()) == sorted(plain_links([r for r in rows if r[0] < 1300]))
