@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from batchlens.sources.xlsx import workbook_rows
+
 CELLS = "path string, row int, col int, value string, note string"
 
 
@@ -45,20 +47,26 @@ def read_cells(spark: SparkSession, paths: str | list[str], encoding: str = "utf
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, CELLS)
 
 
-def read_workbook_cells(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All cells of workbooks, with their sheets: path, sheet, row, col, value. Needs openpyxl on the executors."""
+WORKBOOK_CELLS = "path string, sheet string, row int, col int, value string, note string"
+
+
+def read_workbook_cells(spark: SparkSession, paths: str | list[str], spread: bool = False, most: int = 1 << 14) -> DataFrame:
+    """All cells of workbooks, with their sheets; of a file that isn't a workbook one row with a note. ``most`` cells a batch, or one row's."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            from openpyxl import load_workbook
-        except ImportError as error:
-            raise RuntimeError("reading workbooks needs the package openpyxl") from error
+        names = ["path", "sheet", "row", "col", "value", "note"]
         for files in frames:
             for path, raw in zip(files["path"], files["content"]):
-                book = load_workbook(io.BytesIO(bytes(raw)), read_only=True, data_only=True)
-                for sheet in book.worksheets:
-                    rows = [(path, sheet.title, r, c, None if v is None or isinstance(v, bool) else str(v)) for r, line in enumerate(sheet.iter_rows(values_only=True)) for c, v in enumerate(line)]
-                    yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value"])
+                held: list[tuple] = []
+                try:
+                    for sheet, row, cells in workbook_rows(io.BytesIO(raw), spread):
+                        held += [(path, sheet, row, c, v, None) for c, v in cells]
+                        if len(held) >= most:
+                            yield pd.DataFrame(held, columns=names)
+                            held = []
+                except ValueError as error:
+                    held.append((path, None, None, None, None, str(error)))
+                yield pd.DataFrame(held, columns=names)
 
     paths = [paths] if isinstance(paths, str) else paths
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, sheet string, row int, col int, value string")
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, WORKBOOK_CELLS)

@@ -121,37 +121,81 @@ def read_isotope_folder(spark: SparkSession, folder: str, template: str | Templa
     return _frames(t, s, r.withColumn("unit", F.lit("ppb")), _isotopes(seen, W.partitionBy("batch_id").orderBy("row", "label")), skipped, errors)
 
 
-# The names of the sheets.
-SHEETS = {"conc": "conc. in sample units", "intensity": "corrected intensities", "rsd_pct": "corrected intensities rsds"}
+# The names of the sheets, those of concentrations in the order in which they are looked for.
+SHEETS = {"conc": "conc. in sample units", "conc2": "conc. in calib units", "intensity": "corrected intensities", "rsd_pct": "corrected intensities rsds"}
+
+
+def _kind_of_sheet() -> Column:
+    sheet = F.lower(F.trim(F.col("sheet")))
+    return F.coalesce(*[F.when(sheet == v, k) for k, v in SHEETS.items()])
 
 
 def looks_like_emission_workbook(cells: DataFrame) -> bool:
     """Whether some sheet has a name of the layout."""
-    return not cells.where(F.lower(F.trim(F.col("sheet"))).isin(*SHEETS.values())).isEmpty()
+    return not cells.where(_kind_of_sheet().isNotNull()).isEmpty()
+
+
+def sheet_lines(cells: DataFrame) -> DataFrame:
+    """path, kind, sheet, col, label, element, wavelength_nm, unit: the emission lines that the sheets' heads name."""
+    heads = cells.where("row = 0").withColumn("kind", _kind_of_sheet()).where("kind is not null")
+    heads = heads.select("path", "kind", "sheet", "col", line_label(stripped(F.regexp_replace("value", r"\s+", " "))).alias("l"))
+    return heads.where("l.label is not null").select("path", "kind", "sheet", "col", "l.*")
+
+
+def sheet_agreement(cells: DataFrame) -> DataFrame:
+    """path, primary, kind, sheet, agrees: whether a sheet has the lines of its workbook's primary sheet, at the same columns.
+
+    The primary sheet is that of concentrations, else of intensities. The lists are aligned column by column, so a
+    line that only one of the two has counts as a difference, and so does another line at its place.
+    """
+    sheets = cells.withColumn("kind", _kind_of_sheet()).where("kind is not null").groupBy("path", "kind").agg(F.min("sheet").alias("sheet"))
+    rank = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(SHEETS)])
+    primary = sheets.groupBy("path").agg(F.min_by("kind", rank).alias("primary"))
+    others = sheets.join(primary, "path").where("kind <> primary")
+    lines = sheet_lines(cells)
+    own = lines.join(others.select("path", "kind"), ["path", "kind"]).select("path", "kind", "col", F.col("label").alias("own"))
+    first = lines.join(others.select("path", F.col("primary").alias("kind"), F.col("kind").alias("other")), ["path", "kind"]).select("path", F.col("other").alias("kind"), "col", F.col("label").alias("first"))
+    differ = own.join(first, ["path", "kind", "col"], "full").groupBy("path", "kind").agg(F.bool_and(F.col("own").eqNullSafe(F.col("first"))).alias("agrees"))
+    return others.join(differ, ["path", "kind"], "left").select("path", "primary", "kind", "sheet", F.coalesce("agrees", F.lit(True)).alias("agrees"))
 
 
 def emission_frames(cells: DataFrame, t: Template) -> BatchFrames:
-    """The canonical tables of emission workbooks from their cells (path, sheet, row, col, value): a sheet a measure, a sample a row."""
-    sheet = F.lower(F.trim(F.col("sheet")))
-    kind = F.coalesce(*[F.when(sheet == v, k) for k, v in SHEETS.items()])
-    cells = cells.withColumn("kind", kind).where("kind is not null").withColumn("value", stripped(F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", " ")))
-    heads = cells.where("row = 0").select("path", "kind", "col", "value", line_label(F.col("value")).alias("l"))
-    lines = heads.where("l.label is not null").select("path", "kind", "col", "l.*")
-    names = cells.join(heads.where("value = 'Sample Id'").select("path", "kind", "col"), ["path", "kind", "col"]).where("row > 0 and value <> ''").groupBy("path", "row").agg(F.max("value").alias("name"))
-    s = names.withColumn("batch_id", F.col("path")).withColumn("row_pos", F.row_number().over(W.partitionBy("path").orderBy("row"))).withColumn("dilution_factor", F.lit(None).cast("double"))
-    body = cells.where("row > 0").join(lines.select("path", "kind", "col", "label", "unit"), ["path", "kind", "col"]).join(s.select("path", "row", "row_pos"), ["path", "row"])
-    got = lambda k: _num(F.max(F.when(F.col("kind") == k, F.col("value")))).alias(k)
-    unit = F.coalesce(F.max(F.when(F.col("kind") == "conc", F.col("unit"))), F.lit(t.columns.get("unit", "ppb")))
-    r = body.groupBy(F.col("path").alias("batch_id"), "row_pos", "label").agg(*(got(k) for k in SHEETS), unit.alias("unit"))
+    """The canonical tables of emission workbooks from their cells (path, sheet, row, col, value): a sheet a measure, a sample a row.
+
+    Names, lines and units are those of the primary sheet; sheets that list other lines are left out, with a warning.
+    """
+    clean = stripped(F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", " "))
+    cells = cells.withColumn("kind", _kind_of_sheet()).where("kind is not null").withColumn("value", clean)
+    agreement = sheet_agreement(cells)
+    rank = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(SHEETS)])
+    primary = cells.groupBy("path").agg(F.min_by("kind", rank).alias("kind"))
+    lines = sheet_lines(cells).join(primary, ["path", "kind"])
+    columns = F.col("value") == "Sample Id"
+    at = cells.where("row = 0").where(columns).join(primary, ["path", "kind"]).groupBy("path", "kind").agg(F.min("col").alias("col"))
+    first = cells.where("row > 0").join(primary, ["path", "kind"])
+    named = first.join(at, ["path", "kind", "col"]).where("value <> ''").select("path", "row", F.col("value").alias("stated"))
+    filled = first.join(lines.select("path", "kind", "col"), ["path", "kind", "col"]).where(_num(F.col("value")).isNotNull()).select("path", "row").distinct()
+    rows = filled.join(named, ["path", "row"], "full").join(at.select("path"), "path", "left_semi")  # a row without a name or a number is padding
+    s = rows.select("path", "row", F.coalesce("stated", F.concat(F.lit("row"), F.col("row").cast("string"))).alias("name"))
+    s = s.withColumn("batch_id", F.col("path")).withColumn("row_pos", F.row_number().over(W.partitionBy("path").orderBy("row"))).withColumn("dilution_factor", F.lit(None).cast("double"))
+    used = primary.unionByName(agreement.where("agrees and kind <> 'conc2'").select("path", "kind"))
+    body = cells.where("row > 0").join(used, ["path", "kind"]).join(lines.select("path", "col", "label", "unit"), ["path", "col"]).join(s.select("path", "row", "row_pos"), ["path", "row"])
+    got = lambda *kinds: _num(F.max(F.when(F.col("kind").isin(*kinds), F.col("value"))))
+    unit = F.coalesce(F.max(F.when(F.lower("unit") != "cps", F.col("unit"))), F.lit(t.columns.get("unit", "ppb")))
+    r = body.groupBy(F.col("path").alias("batch_id"), "row_pos", "label").agg(got("conc", "conc2").alias("conc"), got("intensity").alias("intensity"), got("rsd_pct").alias("rsd_pct"), unit.alias("unit"))
     order = W.partitionBy("batch_id").orderBy("col")
     a = lines.groupBy(F.col("path").alias("batch_id"), "label", "element", "wavelength_nm").agg(F.min("col").alias("col"))
     a = a.select("batch_id", F.row_number().over(order).alias("pos"), F.lit("analyte").alias("role"), "label", F.lit(None).cast("int").alias("mass"), "element", F.lit(None).cast("int").alias("mass_shift"), F.lit(None).cast("string").alias("mode"), "wavelength_nm")
     s = _typed(s, t)
-    return _frames(t, s, r, a, _other_warnings(s))
+    skipped = agreement.where("not agrees").select(F.col("path").alias("batch_id"), F.concat(F.lit("sheet '"), "sheet", F.lit("' lists different emission lines and was skipped")).alias("w"))
+    none = F.array().cast("array<string>")
+    skipped = skipped.groupBy("batch_id").agg(F.array_sort(F.collect_set("w")).alias("w"))
+    warnings = skipped.join(_other_warnings(s), "batch_id", "full").select("batch_id", F.concat(F.coalesce("w", none), F.coalesce("warnings", none)).alias("warnings"))
+    return _frames(t, s, r, a, warnings)
 
 
 def read_emission_workbook(spark: SparkSession, paths: str | list[str], template: str | Template = "agilent_oes") -> BatchFrames:
-    """Emission workbooks, one batch each. Needs openpyxl."""
+    """Emission workbooks, one batch each."""
     t = load_template(template) if isinstance(template, str) else template
     cells = cut(read_workbook_cells(spark, paths))
     if not looks_like_emission_workbook(cells):
