@@ -37,7 +37,7 @@ from batchlens.llm.components import components
 DIRECTIONS = 16
 LIST = 2.0
 WIDEN = 1.25
-SPLIT = 2048
+SPLIT = 256
 _SCALE, _GRAIN = 1 << 20, 1 << 12
 _FEW = 32
 
