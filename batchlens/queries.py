@@ -372,19 +372,27 @@ def objection_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flag_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The objections of every order's cell, taken apart again."""
-    labels = [f"{i}  Al  [ No Gas ]" for i in range(1, 8)]
-    return instrument_objections(objection_cells(spark, sf_dir), "blob", labels).select("l_orderkey", "flag_pos", "analyte", "metric", "value", "limit", "direction")
+    """The objections of every order's cell, taken apart again by the labels of that order's batch; one of seven labels isn't among them."""
+    cells = objection_cells(spark, sf_dir)
+    number = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k")
+    labels = cells.select("l_orderkey", number).where("k <> l_orderkey % 7 + 1").select("l_orderkey", F.concat(F.col("k").cast("string"), F.lit("  Al  [ No Gas ]")).alias("label"))
+    return instrument_objections(cells, "blob", labels, "l_orderkey").select("l_orderkey", "flag_pos", "analyte", "metric", "value", "limit", "direction")
 
 
 QUERIES["flag_split"] = flag_split
+_LINE_SAYS = " || ".join(f"case when kind = {i} then " + " || ".join({"{v}": "cast(v as varchar)", "{m}": "cast(v + k as varchar)"}.get(p, "'" + p + "'") for p in re.split(r"(\{[vm]\})", w) if p) + " else '' end" for i, w in enumerate(_WORDS))
+# A line whose label the batch doesn't have goes on the text before it, so that the last line's wording counts and all before it is the metric.
 ORACLE_SQL["flag_split"] = f"""
-with l as (select l_orderkey, l_linenumber as k, cast(l_quantity as int) as v, l_partkey % 5 as kind, l_suppkey % 4 as said from lineitem)
-select l_orderkey, cast(row_number() over (partition by l_orderkey order by k, v, kind, said) - 1 as int) as flag_pos, concat(cast(k as varchar), '  Al  [ No Gas ]') as analyte,
-  case when kind = 4 then concat(': ', w, ' value = ', cast(v as varchar), ' is odd') else w end as metric,
+with l as (select l_orderkey, l_linenumber as k, cast(l_quantity as int) as v, l_partkey % 5 as kind, l_suppkey % 4 as said from lineitem),
+w as (select *, {_pick('said', *(f"'{x}'" for x in _SAID))} as w, row_number() over (partition by l_orderkey order by k, v, kind, said) as i, k <> l_orderkey % 7 + 1 as own from l),
+g as (select *, concat(cast(k as varchar), '  Al  [ No Gas ]') as label, {_LINE_SAYS} as says, count(*) filter (where own) over (partition by l_orderkey order by i) as piece from w),
+h as (select *, (case when own then '' else label end) || ': ' || w as front, lead(piece, 1, -1) over (partition by l_orderkey order by i) <> piece as final from g),
+p as (select l_orderkey, piece, min_by(label, i) as analyte, max_by(kind, i) as kind, max_by(v, i) as v, max_by(k, i) as k,
+  string_agg(front || case when final then '' else says end, '' order by i) as metric, string_agg(front || says, '' order by i) as body from h where piece > 0 group by l_orderkey, piece)
+select l_orderkey, cast(piece - 1 as int) as flag_pos, analyte, case when kind = 4 then trim(body) else ltrim(regexp_replace(metric, '\\s+', ' ', 'g'), ': ') end as metric,
   case when kind = 4 then null when kind = 1 then -cast(v as double) else cast(v as double) end as value,
   case when kind < 2 then cast(v + k as double) end as "limit", {_pick('kind', "'high'", "'low'", "'high'", "'low'", 'null')} as direction
-from (select *, {_pick('said', *(f"'{x}'" for x in _SAID))} as w from l)
+from p
 """
 QUERIES["column_profile"] = lambda spark, sf_dir: column_profile(spark.read.parquet(f"{sf_dir}/customer.parquet"))
 ORACLE_SQL["column_profile"] = """

@@ -47,11 +47,52 @@ def read_cells(spark: SparkSession, paths: str | list[str], encoding: str = "utf
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, CELLS)
 
 
+EXPORT_CELLS = "path string, delimiter string, encodings array<string>, row int, col int, value string, note string"
+
+
+def delimiter_in(raw: bytes) -> str:
+    """A tab where the first line of a file with any text has more of them than commas."""
+    line = next((x for x in io.BytesIO(raw) if x.strip()), b"")
+    return "\t" if line.count(b"\t") > line.count(b",") else ","
+
+
+def read_export_cells(spark: SparkSession, paths: str | list[str], encodings: list[str], files: str, most: int = 1 << 16) -> DataFrame:
+    """All cells of delimited files of unknown layout, whose names match the glob ``files``, folders within folders included.
+
+    A file is decoded in each of ``encodings``; where several give the same text its cells are there once, with
+    all of these. At most ``most`` cells are in a batch.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "delimiter", "encodings", "row", "col", "value", "note"]
+        for files in frames:
+            for path, raw in zip(files["path"], files["content"]):
+                delimiter = delimiter_in(raw)
+                texts: dict[tuple, list[str]] = {}
+                for encoding in encodings:
+                    texts.setdefault(decoded(bytes(raw), encoding), []).append(encoding)
+                for (text, note), own in texts.items():
+                    rows = []
+                    for r, line in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)):
+                        rows += [(path, delimiter, own, r, c, v, note if r == c == 0 else None) for c, v in enumerate(line)]
+                        if len(rows) >= most:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                    yield pd.DataFrame(rows, columns=names)
+
+    paths = [paths] if isinstance(paths, str) else paths
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", True).load(paths)
+    return found.select("path", "content").mapInPandas(run, EXPORT_CELLS)
+
+
 WORKBOOK_CELLS = "path string, sheet string, row int, col int, value string, note string"
 
 
-def read_workbook_cells(spark: SparkSession, paths: str | list[str], spread: bool = False, most: int = 1 << 14) -> DataFrame:
-    """All cells of workbooks, with their sheets; of a file that isn't a workbook one row with a note. ``most`` cells a batch, or one row's."""
+def read_workbook_cells(spark: SparkSession, paths: str | list[str], spread: bool = False, most: int = 1 << 14, files: str | None = None) -> DataFrame:
+    """All cells of workbooks, with their sheets; of a file that isn't a workbook one row with a note. ``most`` cells a batch, or one row's.
+
+    With ``files``, a glob of names, folders within folders are looked through.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "sheet", "row", "col", "value", "note"]
@@ -69,4 +110,7 @@ def read_workbook_cells(spark: SparkSession, paths: str | list[str], spread: boo
                 yield pd.DataFrame(held, columns=names)
 
     paths = [paths] if isinstance(paths, str) else paths
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, WORKBOOK_CELLS)
+    reader = spark.read.format("binaryFile")
+    if files:
+        reader = reader.option("pathGlobFilter", files).option("recursiveFileLookup", True)
+    return reader.load(paths).select("path", "content").mapInPandas(run, WORKBOOK_CELLS)

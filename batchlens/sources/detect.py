@@ -38,14 +38,20 @@ def score(b: BatchFrames) -> tuple[int, int, int]:
     return n, -int(unmapped), -b.of_type("OTHER").count()
 
 
-def companion(path: str) -> str | None:
-    """The other file of a pair, by name: the same name without an added word, else with the other word of a pair."""
-    p = Path(path)
+def companion_names(name: str) -> list[str]:
+    """Names that the other file of a pair may have, the likeliest first: without an added word, else with the other word of a pair."""
+    p = Path(name)
     words = [f"{sep}{w}" for w in ADDED for sep in "_- "]
     names = [p.stem[: -len(w)] + p.suffix for w in words if p.stem.lower().endswith(w)]
     for pair in SWAPPED:
         names += [p.name.replace(a, b, 1) for a, b in (pair, pair[::-1]) if a in p.stem]
-    return next((str(other) for n in names if n != p.name and (other := p.with_name(n)).is_file()), None)
+    return [n for n in names if n != p.name]
+
+
+def companion(path: str) -> str | None:
+    """The other file of a pair, by name."""
+    p = Path(path)
+    return next((str(other) for n in companion_names(p.name) if (other := p.with_name(n)).is_file()), None)
 
 
 def delimiter_of(path: str) -> str:
@@ -87,7 +93,8 @@ def _read(spark: SparkSession, p: Path, template: str | None) -> Detection:
     for name in CANDIDATES:
         t = load_template(name)
         cells = cut(read_cells(spark, str(p), t.encoding))
-        got = wide.fit(cells, t)
+        got = wide.fit(cells, t).first()
+        got = (got["analytes"], -got["unmapped"], -got["strange"]) if got else (0, 0, 0)
         if got[0] and (best is None or got > best[0]):
             best = (got, name, cells)
     if best is None:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import OrderedDict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchlens.functions.units import stripped
 from batchlens.model import BatchFrames
@@ -52,19 +57,48 @@ def _objection(body: Column) -> Column:
     )
 
 
-def instrument_objections(rows: DataFrame, text: str, labels: list[str]) -> DataFrame:
-    """The objections of a text column, cut at the labels that it names: flag_pos, analyte, metric, value, limit, direction, text.
-
-    Longer labels come first in the alternation, so the longest label at a place wins.
+def _finder(labels: tuple[str, ...]):
+    """text -> (start, end) of the labels in it, left to right, the longest at a place: one walk through an automaton of all of them."""
+    try:
+        import ahocorasick
+    except ImportError:
+        either = re.compile("|".join(map(re.escape, sorted(labels, key=lambda x: (-len(x), x)))))
+        return lambda text: [m.span() for m in either.finditer(text)]
+    automaton = ahocorasick.Automaton()
+    for label in labels:
+        automaton.add_word(label, len(label))
+    automaton.make_automaton()
+    return lambda text: [(end + 1 - n, end + 1) for end, n in automaton.iter_long(text)]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("analyte", T.StringType()).add("body", T.StringType())))
+def _pieces(texts: pd.Series, labels: pd.Series) -> pd.Series:
+    """What follows each label, up to the next one; texts of one batch come together mostly, so its automaton is kept."""
+    finders: OrderedDict = OrderedDict()
+    out = []
+    for text, own in zip(texts, labels):
+        key = tuple(x for x in own if x) if own is not None else ()
+        if not text or not key:
+            out.append([])
+            continue
+        if key not in finders:
+            finders[key] = _finder(key)
+            if len(finders) > 64:
+                finders.popitem(last=False)
+        found = finders[key](text)
+        ends = [start for start, _ in found[1:]] + [len(text)]
+        out.append([{"analyte": text[a:b], "body": text[b:end]} for (a, b), end in zip(found, ends)])
+    return pd.Series(out)
+
+
+def instrument_objections(rows: DataFrame, text: str, labels: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """The objections of a text column, cut at the labels of the row's own batch: flag_pos, analyte, metric, value, limit, direction, objection.
+
+    ``labels`` has ``batch`` and label; a batch's labels are the columns of one export. Labels that only another batch has are text.
+    The longest label at a place wins. Batches without labels give no rows.
     """
-    if not labels:
-        return rows.select(*rows.columns, F.lit(None).cast("int").alias("flag_pos"), *(F.lit(None).cast("string").alias(c) for c in ("analyte", "metric")), *(F.lit(None).cast("double").alias(c) for c in ("value", "limit")), *(F.lit(None).cast("string").alias(c) for c in ("direction",))).limit(0)
-    either = "|".join(rf"\Q{label}\E" for label in sorted(set(labels), key=lambda x: (-len(x), x)))
-    mark = ""
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"({either})", f"{mark}$1{mark}"), mark)
-    pieces = F.transform(F.sequence(F.lit(1), F.floor(F.size(cut) / 2).cast("int")), lambda i: F.struct(F.get(cut, 2 * i - 1).alias("analyte"), F.get(cut, 2 * i).alias("body")))
-    pieces = F.when(F.size(cut) > 2, pieces)
-    each = rows.select(*rows.columns, F.posexplode(pieces).alias("flag_pos", "piece"))
+    own = labels.groupBy(batch).agg(F.array_sort(F.collect_set("label")).alias("_own"))
+    each = rows.join(own, batch).select(*rows.columns, F.posexplode(_pieces(F.col(text), F.col("_own"))).alias("flag_pos", "piece"))
     return each.select(*rows.columns, "flag_pos", "piece.analyte", _objection(F.col("piece.body")).alias("o"), stripped(F.concat("piece.analyte", "piece.body")).alias("objection")).select(*rows.columns, "flag_pos", "analyte", "o.*", "objection")
 
 

@@ -48,14 +48,20 @@ def _other_warnings(s: DataFrame) -> DataFrame:
 
 
 def read_isotope_summary(spark: SparkSession, paths: str | list[str], template: str | Template = "element_ascii") -> BatchFrames:
-    """Summaries with a block of columns for each sample and a row for each isotope; one batch a file.
-
-    Row 0 names the samples where their blocks start; the row that begins with Isotope names each column's measure.
-    """
+    """Summaries with a block of columns for each sample and a row for each isotope; one batch a file."""
     t = load_template(template) if isinstance(template, str) else template
-    cells = cut(read_cells(spark, paths, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value"))))
+    cells = cut(read_cells(spark, paths, "utf-8-sig", "\t"))
     if not looks_like_isotope_table(cells):
         raise ValueError(f"{paths}: no row begins with Isotope: not an isotope table")
+    return isotope_summary_frames(cells, t)
+
+
+def isotope_summary_frames(cells: DataFrame, t: Template) -> BatchFrames:
+    """The canonical tables of the cells of summaries.
+
+    Row 0 names the samples where their blocks start; the row that begins with Isotope names each column's measure.
+    """
+    cells = cells.withColumn("value", stripped(F.col("value")))
     span = W.partitionBy("path").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
     named = (F.col("value") != "") & (F.col("col") > 0)
     blocks = cells.where("row = 0").withColumn("start", F.last(F.when(named, F.col("col")), True).over(span)).withColumn("name", F.last(F.when(named, F.col("value")), True).over(span))
@@ -97,7 +103,12 @@ def read_isotope_folder(spark: SparkSession, folder: str, template: str | Templa
     """A folder of files with one sample each, or one such file, is one batch, in order of acquisition (undated last, then by path)."""
     t = load_template(template) if isinstance(template, str) else template
     files = folder if folder.lower().endswith((".asc", ".txt")) else f"{folder.rstrip('/')}/*"
-    cells = cut(read_cells(spark, files, "utf-8-sig", "\t").withColumn("value", stripped(F.col("value"))))
+    return isotope_file_frames(cut(read_cells(spark, files, "utf-8-sig", "\t")), t, F.lit(folder))
+
+
+def isotope_file_frames(cells: DataFrame, t: Template, batch: Column) -> BatchFrames:
+    """The canonical tables of the cells of files with one sample each; ``batch`` gives a file's batch by its path."""
+    cells = cells.withColumn("value", stripped(F.col("value")))
     head = cells.where("value = 'Isotope'").groupBy("path").agg(F.max("row").alias("head"))
     meta = cells.join(head, "path").where("row < head").groupBy("path", "row").agg(F.max(F.when(F.col("col") == 0, F.col("value"))).alias("k"), F.min_by(F.when((F.col("col") > 0) & (F.col("value") != ""), F.col("value")), F.when((F.col("col") > 0) & (F.col("value") != ""), F.col("col"))).alias("v"))
     word = F.lower(stripped(F.substring_index("k", ":", 1)))
@@ -106,7 +117,7 @@ def read_isotope_folder(spark: SparkSession, folder: str, template: str | Templa
     stem = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^\\/]+)$", 1), r"\.[^.]*$", "")
     when = F.try_to_timestamp(F.regexp_replace("analysis_date", r"^[A-Za-z]{3},\s*", ""), F.lit("dd-MMM-yyyy HH:mm:ss"))
     order = W.orderBy(F.col("at").asc_nulls_last(), "path").partitionBy("batch_id")
-    s = m.withColumns({"batch_id": F.lit(folder), "at": when, "name": F.coalesce("sample_name", stem(F.col("data_file")), stem(F.col("path")))}).withColumn("row_pos", F.row_number().over(order))
+    s = m.withColumns({"batch_id": batch, "at": when, "name": F.coalesce("sample_name", stem(F.col("data_file")), stem(F.col("path")))}).withColumn("row_pos", F.row_number().over(order))
     s = _typed(s.withColumn("dilution_factor", number(F.col("dilution_factor"))), t, F.coalesce("analysis_type", F.lit("")))
     measures = cells.join(head, "path").where("row = head").select("path", "col", F.lower("value").alias("measure"))
     isotopes = cells.join(head, "path").where("row > head and col = 0 and value rlike '^[A-Z][a-z]?[0-9]+ *[(]'").select("path", "row", F.col("value").alias("label"))
@@ -116,8 +127,9 @@ def read_isotope_folder(spark: SparkSession, folder: str, template: str | Templa
     errors = body.where("measure = 'error' and value not in ('', '-')").select(
         "batch_id", "row_pos", F.lit(0).alias("flag_pos"), F.col("label").alias("analyte"), F.col("value").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("limit"), F.lit(None).cast("string").alias("direction"), F.col("value").alias("text")
     )
-    seen = isotopes.withColumn("path", F.lit(folder))
-    skipped = cells.select("path").distinct().join(head, "path", "left_anti").agg(F.array_sort(F.collect_set(F.concat(F.lit("file skipped, no isotope table: "), "path"))).alias("warnings")).withColumn("batch_id", F.lit(folder))
+    seen = isotopes.withColumn("path", batch)
+    skipped = cells.select("path").distinct().join(head, "path", "left_anti").withColumn("batch_id", batch)
+    skipped = skipped.groupBy("batch_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("file skipped, no isotope table: "), "path"))).alias("warnings"))
     return _frames(t, s, r.withColumn("unit", F.lit("ppb")), _isotopes(seen, W.partitionBy("batch_id").orderBy("row", "label")), skipped, errors)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,17 +26,21 @@ def headers(cells: DataFrame, t: Template) -> DataFrame:
     return collapsed_headers(two, list(t.header_group_labels)).withColumnRenamed("file", "path")
 
 
-def kinds_of(cells: DataFrame, t: Template) -> list[tuple[str, str, str | None, str | None]]:
-    """(name, kind, label, unit) of the distinct header names of all files."""
-    return classify(t, [r["name"] for r in headers(cells, t).select("name").distinct().collect()])
+def classified(names: DataFrame, t: Template) -> DataFrame:
+    """name, kind, label, unit of the distinct header names of all files, by the template's patterns."""
 
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame(classify(t, f["name"].tolist()), columns=["name", "kind", "label", "unit"])
 
-def columns(cells: DataFrame, t: Template, kinds: list) -> DataFrame:
+    return names.select("name").distinct().mapInPandas(run, "name string, kind string, label string, unit string")
+
+
+def columns(cells: DataFrame, t: Template) -> DataFrame:
     """path, col, name, kind, label, unit of each column; of columns with one name or one label and kind the last counts."""
     heads = headers(cells, t)
-    kinds = cells.sparkSession.createDataFrame(kinds, "name string, kind string, label string, unit string")
     last = W.partitionBy("path", "kind", F.coalesce("label", "name")).orderBy(F.desc("col"))
-    return heads.join(F.broadcast(kinds), "name").withColumn("i", F.row_number().over(last)).where("i = 1 or kind = 'unmapped'").drop("i")
+    return heads.join(classified(heads, t), "name").withColumn("i", F.row_number().over(last)).where("i = 1 or kind = 'unmapped'").drop("i")
 
 
 def read_wide(spark: SparkSession, paths: str | list[str], template: str | Template = "masshunter_quant_wide") -> BatchFrames:
@@ -44,24 +49,25 @@ def read_wide(spark: SparkSession, paths: str | list[str], template: str | Templ
     return wide_frames(cut(read_cells(spark, paths, t.encoding)), t)
 
 
-def fit(cells: DataFrame, t: Template) -> tuple[int, int, int]:
-    """How well a template fits a file: analytes, then fewer unmapped columns, then fewer rows of no known type; more is better."""
-    kinds = kinds_of(cells, t)
-    labels = {k: {label for _, kind, label, _ in kinds if kind == k} for k in ("conc", "cps")}
-    types = headers(cells, t).where(F.col("name") == t.columns.get("sample_type", "")).select("path", "col")
+def fit(cells: DataFrame, t: Template) -> DataFrame:
+    """path, analytes, unmapped, strange: how well a template fits each file, by its columns and its rows of no known type."""
+    cols = columns(cells, t)
+    kinds = {k: F.count_distinct(F.when(F.col("kind") == k, F.col("label"))) for k in ("conc", "cps")}
+    unmapped = F.count_distinct(F.when(F.col("kind") == "unmapped", F.col("name")))
+    heads = cols.groupBy("path").agg(F.when(kinds["conc"] > 0, kinds["conc"]).otherwise(kinds["cps"]).alias("analytes"), unmapped.alias("unmapped"))
     own = by_vocabulary(t, stripped(F.col("value")))
-    strange = cells.where(F.col("row") >= t.header_rows).join(types, ["path", "col"]).where(own.isNull() | (own == "OTHER")).count()
-    return len(labels["conc"] or labels["cps"]), -sum(kind == "unmapped" for _, kind, _, _ in kinds), -strange
+    types = cols.where("kind = 'sample_type'").select("path", "col")
+    strange = cells.where(F.col("row") >= t.header_rows).join(types, ["path", "col"]).groupBy("path").agg(F.count_if(own.isNull() | (own == "OTHER")).alias("strange"))
+    return heads.join(strange, "path", "left").select("path", "analytes", "unmapped", F.coalesce("strange", F.lit(0)).alias("strange"))
 
 
-def wide_frames(cells: DataFrame, t: Template) -> BatchFrames:
-    """The canonical tables of the cells of wide exports."""
-    kinds = kinds_of(cells, t)
-    cols = cut(columns(cells, t, kinds))
+def wide_frames(cells: DataFrame, t: Template, fits: bool = False) -> BatchFrames:
+    """The canonical tables of the cells of wide exports. Unless they are known to fit, a file without analytes is a ValueError."""
+    cols = cut(columns(cells, t))
     measured = cols.groupBy("path").agg(F.bool_or(F.col("kind").isin("conc", "cps")).alias("ok"))
-    bad = [r["path"] for r in measured.where("not ok").collect()]
+    bad = [] if fits else [r["path"] for r in measured.where("not ok").limit(5).collect()]
     if bad:
-        raise ValueError(f"no analyte columns matched template {t.id!r}: {', '.join(bad[:5])}")
+        raise ValueError(f"no analyte columns matched template {t.id!r}: {', '.join(bad)}")
     body = cells.where(F.col("row") >= t.header_rows).join(cols.where("kind not in ('unmapped', 'ignored')"), ["path", "col"])
     text = lambda kind: stripped(F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("value"))), F.lit("")))
     every = cells.where(F.col("row") >= t.header_rows).where("trim(value) <> ''").groupBy("path", "row").agg(F.lit(1).alias("some")).drop("some")
@@ -90,11 +96,9 @@ def wide_frames(cells: DataFrame, t: Template) -> BatchFrames:
     analytes = positions(labels, "analyte").unionByName(positions(istds, "istd")).select(
         F.col("path").alias("batch_id"), "pos", "role", "label", m["mass"].alias("mass"), m["element"].alias("element"), m["mass_shift"].alias("mass_shift"), m["mode"].alias("mode"), F.lit(None).cast("double").alias("wavelength_nm")
     )
-    reported = {label for _, kind, label, _ in kinds if kind == "conc"}
-    names = sorted(reported or {label for _, kind, label, _ in kinds if kind == "cps"})
     blobs = s.where("coalesce(flags, '') <> ''").select(F.col("path").alias("batch_id"), "row_pos", F.col("flags").alias("blob"))
-    flags = instrument_objections(blobs, "blob", names)
-    flags = flags.select("batch_id", "row_pos", "flag_pos", "analyte", "metric", "value", "limit", "direction", (F.col("objection") if "objection" in flags.columns else F.lit(None).cast("string")).alias("text"))
+    flags = instrument_objections(blobs, "blob", labels.select(F.col("path").alias("batch_id"), "label"))
+    flags = flags.select("batch_id", "row_pos", "flag_pos", "analyte", "metric", "value", "limit", "direction", F.col("objection").alias("text"))
     unmapped = cols.where("kind = 'unmapped'").groupBy("path").agg(F.array_sort(F.collect_set(F.concat(F.lit("unmapped column ignored: "), "name"))).alias("w1"))
     strange = s.where(by_vocabulary(t, F.col("sample_type")).isNull()).groupBy("path").agg(F.array_sort(F.collect_set(F.concat(F.lit("unrecognised sample type: "), "sample_type"))).alias("w2"))
     notes = cells.where("note is not null").groupBy("path").agg(F.array_sort(F.collect_set("note")).alias("w3"))
