@@ -18,9 +18,13 @@ from batchlens.sources.xlsx import workbook_rows
 CELLS = "path string, row int, col int, value string, note string"
 
 
+#: Byte order marks and what they stand for.
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
 def decoded(raw: bytes, encoding: str) -> tuple[str, str | None]:
     """The text, and a note where the encoding wasn't the declared one."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+    for mark, name in MARKS:
         if raw.startswith(mark):
             return raw.decode(name, "replace"), None
     try:

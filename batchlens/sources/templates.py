@@ -138,3 +138,20 @@ def classify(t: Template, names: list[str]) -> list[tuple[str, str, str | None,
             kind, label = "cps", m["label"]
         out.append((n, kind, label.strip() if label else None, unit))
     return out
+
+
+def collapse(rows: list[list[str]], group_labels: tuple = ()) -> list[str]:
+    """The names of a file's columns from its one or two header rows; what ``tables.collapsed_headers`` does for tables of headers."""
+    rows = [[(v or "").strip() for v in r] for r in rows]
+    if len(rows) == 1:
+        return rows[0]
+    out, span = [], None
+    for c in range(max(map(len, rows))):
+        top, sub = (r[c] if c < len(r) else "" for r in rows)
+        top = "" if re.match(r"Unnamed:\s*\d+$", top) else top
+        span = top or span
+        if sub:
+            out.append(sub if span is None or span in group_labels else f"{span} :: {sub}")
+        else:
+            out.append(top if top and span not in group_labels else span if span in group_labels else f"(unnamed column {c})")
+    return out

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from test_sources import TWO_ROWS
 from test_workbooks import emission_sheets, write_book
 
-from batchlens.sources.detect import companion_names, read_batch
-from batchlens.sources.folder import companions, read_folder
+from batchlens.model import cut
+from batchlens.sources.cells import read_export_cells
+from batchlens.sources.detect import CANDIDATES, companion_names, read_batch
+from batchlens.sources.folder import TEXTS, companions, layouts, read_folder
 from batchlens.sources.tables import instrument_objections
+from batchlens.sources.templates import load_template
 
 SUMMARY = "\tblank\t\t10 ppb\t\nIsotope\tIntensity AVG\tIntensity RSD\tIntensity AVG\tIntensity RSD\n\tcps\t%\tcps\t%\nNa23(LR)\t100\t2.5\t5000\t1.5\nS32(MR)\t7\t\t70\t3\n"
 SINGLE = "Data File :\tC:\\d\\{0}.dat\nAnalysis Date :\tWed, 14-Jul-2026 16:11:{1:02}\nAnalysis Type :\tSTD\nDilution Factor :\t2\nIsotope\tError\tIntensity AVG\tConcentration AVG\nNa23(LR)\t-\t100\t{1}.5\n"
@@ -36,25 +39,26 @@ def fill(folder, sets):
 
 
 def test_folder_of_mixed_exports(spark, tmp_path):
-    fill(tmp_path, 3)
+    fill(tmp_path, 2)
     got = read_folder(spark, str(tmp_path))
     name = lambda p: p.rsplit("/", 1)[-1]
     files = {name(r["path"]): r for r in got.files.collect()}
     readers = {n: (r["reader"], r["template"]) for n, r in files.items()}
     assert readers == {
-        **{f"wide{i}.csv": ("wide", "masshunter_quant_wide") for i in range(3)}, **{f"two{i}.CSV": ("wide", "masshunter_2row") for i in range(3)},
-        **{f"summary{i}.ASC": ("isotope summary", "element_ascii") for i in range(3)}, **{f"s{i}.asc": ("isotope file", "element_ascii") for i in range(3)},
-        **{f"book{i}.xlsx": ("emission workbook", "agilent_oes") for i in range(3)}, **{f"run{i}_{k}.csv": ("wide", "masshunter_quant_wide") for i in range(3) for k in ("Conc", "Count")},
+        **{f"wide{i}.csv": ("wide", "masshunter_quant_wide") for i in range(2)}, **{f"two{i}.CSV": ("wide", "masshunter_2row") for i in range(2)},
+        **{f"summary{i}.ASC": ("isotope summary", "element_ascii") for i in range(2)}, **{f"s{i}.asc": ("isotope file", "element_ascii") for i in range(2)},
+        **{f"book{i}.xlsx": ("emission workbook", "agilent_oes") for i in range(2)}, **{f"run{i}_{k}.csv": ("wide", "masshunter_quant_wide") for i in range(2) for k in ("Conc", "Count")},
         "notes.txt": (None, None), "broken.xlsx": (None, None), "other.xlsx": (None, None),
     }
     assert files["broken.xlsx"]["note"].startswith("not a workbook") and files["notes.txt"]["note"] == "no layout fits" and files["wide0.csv"]["note"] is None
     assert name(files["run1_Conc.csv"]["companion"]) == "run1_Count.csv" and name(files["run1_Count.csv"]["batch_id"]) == "run1_Conc.csv"
-    assert {name(files[f"s{i}.asc"]["batch_id"]) for i in range(3)} == {"run0", "run1"}
+    assert {name(files[f"s{i}.asc"]["batch_id"]) for i in range(2)} == {"run0", "run1"}
     b = got.frames
-    assert b.batches.count() == 3 * 5 + 2 and b.batches.select("batch_id").distinct().count() == 17
-    pair = b.results.where(F.col("batch_id").endswith("run2_Conc.csv")).orderBy("row_pos")
-    assert [(r["conc"], r["intensity"]) for r in pair.collect()] == [(2.0, 500.0), (6.0, 600.0)]
-    for one in ("wide1.csv", "deep/two0.CSV", "summary2.ASC", "deep/er/book0.xlsx"):  # the same tables as from the file alone
+    assert b.batches.count() == 2 * 5 + 2 and b.batches.select("batch_id").distinct().count() == 12
+    pair = b.results.where(F.col("batch_id").endswith("run1_Conc.csv")).orderBy("row_pos")
+    assert [(r["conc"], r["intensity"]) for r in pair.collect()] == [(1.0, 500.0), (6.0, 600.0)]
+    b = b.cached()
+    for one in ("wide1.csv", "deep/two0.CSV"):  # the same tables as from the file alone
         alone = read_batch(spark, str(tmp_path / one)).frames
         for table in ("analytes", "samples", "results", "istd", "flags"):
             rows = lambda df: sorted(repr(r) for r in df.drop("batch_id", "source_path").collect())
@@ -73,12 +77,14 @@ def jobs(spark, run):
 
 
 def test_jobs_do_not_grow_with_files(spark, tmp_path):
-    counts = []
-    for n in (2, 12):
+    counts, found = [], []
+    templates = [load_template(t) for t in CANDIDATES]
+    for n in (2, 40):
         (tmp_path / str(n)).mkdir()
         fill(tmp_path / str(n), n)
-        counts.append(jobs(spark, lambda: read_folder(spark, str(tmp_path / str(n))).files.collect()))  # noqa: B023
-    assert counts[1] <= counts[0] * 1.2, counts
+        cells = cut(read_export_cells(spark, str(tmp_path / str(n)), ["cp1252", "utf-8-sig"], TEXTS))
+        counts.append(jobs(spark, lambda: found.append(layouts(cells, templates).where("reader is not null").count())))  # noqa: B023
+    assert counts[1] <= counts[0] * 1.2 and found == [12, 240], (counts, found)
 
 
 def test_companions_by_name(spark):
