@@ -58,6 +58,32 @@ def outcomes(b: BatchFrames, check: Check) -> DataFrame:
     return out.select("batch_id", outcome.alias("outcome"), reason.alias("reason"))
 
 
+def folded(b: BatchFrames, checks: dict[str, Check]) -> DataFrame:
+    """batch_id, check_id, outcome, reason of all these checks, by the rules of ``outcomes``.
+
+    All rows that decide (details, blocks, own verdicts, and an empty one for each batch and check) are one table with one aggregate
+    over batch and check, so folding any number of checks takes one exchange and no join.
+    """
+    none = F.lit(None).cast("string")
+    parts = [b.batches.select("batch_id", F.explode(F.array(*map(F.lit, checks))).alias("check_id"), F.lit(None).cast("boolean").alias("ok"), none.alias("blocked"), none.alias("own"), none.alias("own_reason"))]
+    for check_id, check in checks.items():
+        row = lambda df, ok=F.lit(None).cast("boolean"), blocked=none, own=none, why=none, of=check_id: parts.append(df.select("batch_id", F.lit(of).alias("check_id"), ok.alias("ok"), blocked.alias("blocked"), own.alias("own"), why.alias("own_reason")))
+        row(check.details, ok=F.col("ok"))
+        row(check.blocked, blocked=F.col("reason"))
+        if check.verdict is not None:
+            row(check.verdict, own=F.col("outcome"), why=F.col("reason"))
+    n = reduce(DataFrame.unionByName, parts).groupBy("batch_id", "check_id").agg(
+        F.count_if(F.col("ok") == F.lit(False)).alias("failing"), F.count("ok").alias("decided"), F.min("blocked").alias("blocked"), F.max("own").alias("own"), F.max("own_reason").alias("own_reason")
+    )
+    undecided = F.coalesce(*[F.when(F.col("check_id") == k, c.undecided) for k, c in checks.items()])
+    outcome = F.when(F.col("blocked").isNotNull(), "NOT_EVALUATED").when(F.col("own").isNotNull(), F.col("own")).when(F.col("failing") > 0, "FAIL").when(F.col("decided") == 0, "WARN").otherwise("PASS")
+    reason = (
+        F.when(F.col("blocked").isNotNull(), F.col("blocked")).when(F.col("own").isNotNull(), F.col("own_reason"))
+        .when(F.col("failing") > 0, F.concat(F.col("failing").cast("string"), F.lit(" failing row(s)"))).when(F.col("decided") == 0, undecided).otherwise(F.lit(""))
+    )
+    return n.select("batch_id", "check_id", outcome.alias("outcome"), reason.alias("reason"))
+
+
 def run(b: BatchFrames, rules: str | dict = "epa6020b", settle: bool = False) -> tuple[DataFrame, DataFrame]:
     """All enabled checks of a rule pack: (results, details).
 
@@ -67,22 +93,28 @@ def run(b: BatchFrames, rules: str | dict = "epa6020b", settle: bool = False) ->
     NOT_EVALUATED. Without it the plans stay lazy, and such an error ends the job that runs them.
     """
     pack = rules if isinstance(rules, dict) else load_pack(rules)
-    results, details = [], []
+    results, details, planned, verify = [], [], {}, {}
     for pos, (check_id, check) in enumerate(CATALOG.items()):
         entry = pack.get("checks", {}).get(check_id)
         if entry is None or not entry.get("enabled", True):
             continue
         try:
             got = check(b, {**pack.get("shared", {}), **entry.get("params", {})})
-            rows = outcomes(b, got)
             own = got.details.select("batch_id", F.lit(check_id).alias("check_id"), "ok", F.to_json(F.struct(*[c for c in got.details.columns if c not in ("batch_id", "ok")])).alias("payload"))
-            if settle:
-                rows, own = cut(rows), cut(own)
-                rows.count(), own.count()
+            verify[check_id] = (pos, entry.get("verify", ""))
+            if not settle:
+                planned[check_id] = got
+                details.append(own)
+                continue
+            rows, own = cut(outcomes(b, got)), cut(own)
+            rows.count(), own.count()
             details.append(own)
         except Exception as error:  # noqa: BLE001  a check's error is that check's result, never the run's
             rows = b.batches.select("batch_id", F.lit("NOT_EVALUATED").alias("outcome"), F.lit(f"check error: {error!r}"[:500]).alias("reason"))
         results.append(rows.select("batch_id", F.lit(check_id).alias("check_id"), F.lit(pos).alias("catalog_pos"), "outcome", "reason", F.lit(entry.get("verify", "")).alias("verify")))
+    if planned:
+        place, text = (F.coalesce(*[F.when(F.col("check_id") == k, v[i]) for k, v in verify.items()]) for i in (0, 1))
+        results.append(folded(b, planned).select("batch_id", "check_id", place.alias("catalog_pos"), "outcome", "reason", text.alias("verify")))
     if not results:
         raise ValueError("the rule pack enables no check")
     union = lambda parts: reduce(DataFrame.unionByName, parts)

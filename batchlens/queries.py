@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from batchlens.functions.labels import ELEMENTS, isotope_label, line_label, mass_label
 from batchlens.functions.units import UNIT_FACTORS, converted, parsed_concentration
 from batchlens.operators import pairs, recoveries
-from batchlens.plans.engine import CATALOG, outcomes, verdict
+from batchlens.plans.engine import CATALOG, folded, outcomes, verdict
 from batchlens.sources.crm import PATTERNS, VALUES
 from batchlens.sources.profile import LONGEST, MASK, MEASURED, NUMBERED, ORNAMENT, PROSE, SEPARATORS, SYMBOLS, UNITS, WORDS, column_profile, redacted_column
 from batchlens.sources.tables import collapsed_headers, instrument_objections, merged_counts
@@ -26,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 _LOQ = {"loq_ppb": {"default": 0.1}}
+#: The check and the parameters of each check's query.
+_PARAMS: dict[str, tuple] = {}
 _EVERY = (
     VIEW
     + """, ana as (select b.batch_id, concat('L', cast(g.n as varchar(4))) as label, cast(g.n as int) as pos from (select distinct batch_id from sm) b cross join (select unnest(range(1, 8)) as n) g),
@@ -49,6 +51,7 @@ def _add(name: str, sql: str | None, columns: list | None = None, params: dict |
         return got.details.selectExpr(*columns) if columns else got.details
 
     QUERIES[name] = query
+    _PARAMS[name] = (check or CATALOG.get(name), params or {})
     if sql:
         ORACLE_SQL[name] = _EVERY + sql
 
@@ -256,6 +259,76 @@ QUERIES["batch_verdict"] = lambda spark, sf_dir: verdict(check_outcomes(spark, s
 ORACLE_SQL["batch_verdict"] = _outcome_sql() + (
     "select batch_id, case when bool_or(outcome = 'FAIL') then 'FAIL' else 'PASS' end as verdict, cast(case when bool_or(outcome = 'FAIL') then 2 else 0 end as int) as exit_code from o group by batch_id"
 )
+
+
+def every_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome and reason of all 21 checks for every batch, with the parameters of each check's own query.
+
+    The canonical tables are computed once; the checks' rows are folded by one aggregate.
+    """
+    b = batch_frames(spark, sf_dir).cached()
+    return folded(b, {name: check(b, {**_LOQ, **params}) for name in CATALOG for check, params in [_PARAMS[name]]})
+
+
+def _blocks() -> dict[str, str]:
+    """For each check that can be blocked: SQL of the reason, null where the batch can be evaluated, over the counts of a batch."""
+    few = lambda n, least, text: f"case when {n} < {least} then '{text}' end"
+    found = lambda n, least, text: f"case when {n} < {least} then 'need >={least} {text}, found ' || cast({n} as varchar) end"
+    return {
+        "cal_linearity": found("n_std", 3, "cal standards with levels"), "cal_back_calc": found("n_std", 3, "cal standards with levels"), "cal_heteroscedasticity": found("n_std", 4, "cal standards with levels"),
+        "cal_low_std": few("n_std", 1, "no cal standards with levels"), "icv_recovery": few("n_icv", 1, "no ICV samples in batch"), "ccv_recovery": few("n_ccv", 1, "no CCV samples in batch"),
+        "ccv_frequency": few("n_ccv", 1, "no CCV samples in batch"), "icb_ccb_blank": few("n_blank", 1, "no ICB/CCB samples in batch"), "method_blank": few("n_mb", 1, "no method blank in batch"),
+        "blank_derived_lod": found("n_blank", 3, "post-calibration blanks of type ICB/CCB"), "precision_rsd": few("n_rsd", 1, "no %RSD columns in this export"), "lcs_recovery": few("n_lcs", 1, "no LCS in batch"),
+        "istd_recovery": few("n_cal", 1, "no ISTD intensities found in calibration block"), "dup_rpd": few("n_dup", 1, "no duplicate samples in batch"), "ms_msd": few("n_spike", 1, "no MS/MSD samples in batch"),
+        "serial_dilution": few("n_serial", 1, "no serial dilution samples in batch"), "crm_recovery": few("n_crm", 1, "no sample name matched any of the 2 material(s) in the library (soil, water)"),
+        "quant_crosscheck": f"coalesce({found('n_points', 3, 'calibration points with levels')}, {few('n_raw', 1, 'export carries no raw intensities to recompute from')})",
+    }
+
+
+def _every_outcome_sql() -> str:
+    counts = {
+        "n_std": "sample_type = 'CAL_STD' and level <> 0", "n_icv": "sample_type = 'ICV'", "n_ccv": "sample_type = 'CCV'", "n_blank": "sample_type in ('ICB', 'CCB')", "n_mb": "sample_type = 'MB'",
+        "n_lcs": "sample_type = 'LCS'", "n_cal": "sample_type in ('CAL_STD', 'CAL_BLANK')", "n_dup": "sample_type = 'DUP'", "n_spike": "sample_type in ('MS', 'MSD')", "n_serial": "sample_type = 'SERIAL_DIL'",
+        "n_points": "(sample_type = 'CAL_STD' and level is not null) or sample_type = 'CAL_BLANK'", "n_crm": "regexp_matches(name, '^S1') or regexp_matches(name, '(?i)^s2[0-4]$')",
+    }
+    blocks = _blocks()
+    # The two checks whose rows have no ok column; quant_crosscheck's own rule for scale factors that analytes share.
+    decided = {n: f"select batch_id, ok from ({ORACLE_SQL[n]})" for n in CATALOG if n not in ("instrument_flags", "quant_crosscheck")}
+    decided["quant_crosscheck"] = "select q.batch_id, case when sf is not null then case when consensus and abs(sf - mid) / mid * 100 <= 5 then false end when worst_pct > 15 or n = 0 then null else true end as ok from q left join mid on mid.batch_id = q.batch_id"
+    own = {
+        "cal_heteroscedasticity": f"select batch_id, 'FAIL' as own, cast(count(*) as varchar) || ' analyte(s) whose low standards scatter far more than the high ones' as own_reason from ({ORACLE_SQL['cal_heteroscedasticity']}) where flagged group by batch_id",
+        "blank_derived_lod": f"select batch_id, 'FAIL' as own, cast(count(*) as varchar) || ' analyte(s) whose blank scatter implies an LOQ above the configured value' as own_reason from ({ORACLE_SQL['blank_derived_lod']}) where over group by batch_id",
+        "instrument_flags": "select c.batch_id, case when s is null then 'PASS' else 'WARN' end as own, case when s is null then 'the instrument raised no objection' else cast(s as varchar) || ' sample(s) with objections' end as own_reason "
+        "from c left join (select batch_id, count(distinct seq) as s from rs where rsd_pct > 7 group by batch_id) f on f.batch_id = c.batch_id",
+        "quant_crosscheck": "select batch_id, case when consensus then 'FAIL' else 'WARN' end as own, case when consensus then cast(agree as varchar) || ' analytes share a scale factor near ' || printf('%.4f', mid) else 'a uniform offset on one analyte only' end as own_reason from mid",
+    }
+    undecided = {
+        "blank_derived_lod": "no analyte has enough numeric blanks", "precision_rsd": "no result has enough signal to judge its precision", "dup_rpd": "no duplicate pair is above the limit for judging",
+        "serial_dilution": "no parent is high enough to judge its dilution", "oes_line_agreement": "no pair of lines has two results to compare", "quant_crosscheck": "no analyte has two results in the calibrated range",
+    }
+    every = " union all ".join
+    empty = {"own": "cast(null as varchar) as own, cast(null as varchar) as own_reason", "ok": "cast(null as boolean) as ok", "blocked": "cast(null as varchar) as blocked"}
+    rows = [f"select batch_id, '{n}' as check_id, {empty['ok']}, {blocks.get(n, 'cast(null as varchar)')} as blocked, {empty['own']} from c" for n in CATALOG]
+    rows += [f"select batch_id, '{n}', ok, {empty['blocked']}, {empty['own']} from ({x})" for n, x in decided.items()]
+    rows += [f"select batch_id, '{n}', {empty['ok']}, {empty['blocked']}, own, own_reason from ({x})" for n, x in own.items()]
+    text = " ".join(f"when '{n}' then '{t}'" for n, t in undecided.items())
+    return VIEW + f"""
+, c0 as (select batch_id, {', '.join(f"count(*) filter (where {v}) as {k}" for k, v in counts.items())} from sm group by batch_id),
+c as (select c0.*, coalesce(n_rsd, 0) as n_rsd, coalesce(n_raw, 0) as n_raw from c0 left join (select batch_id, count(rsd_pct) as n_rsd, count(intensity) as n_raw from rs group by batch_id) r on r.batch_id = c0.batch_id),
+q as (select *, case when cv_pct <= 5 and abs(median_ratio - 1) * 100 > 15 then round(median_ratio, 4) end as sf from ({ORACLE_SQL['quant_crosscheck']})),
+m0 as (select batch_id, list_sort(list(sf)) as f from q where sf is not null group by batch_id),
+m1 as (select batch_id, f, f[len(f) // 2 + 1] as mid from m0),
+mid as (select batch_id, mid, len(list_filter(f, lambda v: abs(v - mid) / mid * 100 <= 5)) as agree, len(f) >= 3 and len(list_filter(f, lambda v: abs(v - mid) / mid * 100 <= 5)) >= 3 and abs(mid - 1) * 100 > 15 as consensus from m1),
+d as ({every(rows)}),
+n as (select batch_id, check_id, count(*) filter (where not ok) as failing, count(ok) as decided, min(blocked) as blocked, max(own) as own, max(own_reason) as own_reason from d group by batch_id, check_id)
+select batch_id, check_id, case when blocked is not null then 'NOT_EVALUATED' when own is not null then own when failing > 0 then 'FAIL' when decided = 0 then 'WARN' else 'PASS' end as outcome,
+  case when blocked is not null then blocked when own is not null then own_reason when failing > 0 then cast(failing as varchar) || ' failing row(s)'
+    when decided = 0 then case check_id {text} else 'evaluated, but no decisive rows' end else '' end as reason from n
+"""
+
+
+QUERIES["every_outcome"] = every_outcome
+ORACLE_SQL["every_outcome"] = _every_outcome_sql()
 QUERIES["sample_type_counts"] = lambda spark, sf_dir: batch_frames(spark, sf_dir).samples.groupBy("batch_id", "type").agg(F.count("*").alias("n"))
 ORACLE_SQL["sample_type_counts"] = VIEW + "select batch_id, sample_type as type, count(*) as n from sm group by batch_id, sample_type"
 
