@@ -49,13 +49,31 @@ def is_number(text: Column) -> Column:
     return _of(unsigned(front), _DIGITS + ".,") & (~low.contains("e") | _of(unsigned(power), _DIGITS))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once; an expression that is captured in a lambda would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _two_words(t: Column) -> Column:
+    """Whether a text is two words in one: some cut has a word on both sides."""
+    words = sorted(w for w in WORDS if len(w) > 1)
+    longest = max(map(len, words))
+    cuts = F.sequence(F.lit(2), F.least(F.length(t) - 2, F.lit(longest)))
+    both = F.exists(cuts, lambda i: F.left(t, i).isin(*words) & F.substring(t, i + 1, F.lit(longest + 1)).isin(*words))
+    ends = F.left(t, F.lit(2)).isin(*sorted({w[:2] for w in words})) & F.right(t, F.lit(2)).isin(*sorted({w[-2:] for w in words}))  # most tokens end here
+    return F.when(F.length(t).between(4, 2 * longest) & ends, both).otherwise(F.lit(False))
+
+
 def _shown(token: Column, near_digit: Column, numbers: Column) -> Column:
     """Whether a token is vocabulary: a word, two words in one, a unit, a code, a symbol near a digit, or a number where those are shown."""
-    t = F.btrim(F.lower(token), F.lit(ORNAMENT))
-    stem, tail = F.rtrim(t, F.lit(_DIGITS)), F.ltrim(t, F.lit(_DIGITS))
-    words = "|".join(re.escape(w) for w in sorted(WORDS, key=lambda w: (-len(w), w)) if len(w) > 1)
-    code = ((stem != t) & stem.isin(*NUMBERED)) | ((tail != t) & tail.isin(*MEASURED))
-    return (t == "") | F.when(is_number(t), numbers).otherwise(t.isin(*sorted(WORDS | UNITS)) | (near_digit & t.isin(*sorted(SYMBOLS))) | code | t.rlike(f"^(?:{words})(?:{words})$"))
+
+    def of(t: Column) -> Column:
+        stem, tail = F.rtrim(t, F.lit(_DIGITS)), F.ltrim(t, F.lit(_DIGITS))
+        code = ((stem != t) & stem.isin(*NUMBERED)) | ((tail != t) & tail.isin(*MEASURED))
+        number = F.left(t, F.lit(1)).isin(*_DIGITS, *"+-.,") & is_number(t)
+        return (t == "") | F.when(number, numbers).otherwise(t.isin(*sorted(WORDS | UNITS)) | (near_digit & (t.isin(*sorted(SYMBOLS)) | code)) | _two_words(t))
+
+    return _let(F.btrim(F.lower(token), F.lit(ORNAMENT)), of)
 
 
 def redacted(text: Column, numbers: Column | None = None, most: int | None = None) -> Column:
@@ -66,9 +84,13 @@ def redacted(text: Column, numbers: Column | None = None, most: int | None = Non
     numbers = F.length(text) <= PROSE if numbers is None else numbers
     head = text if most is None else F.regexp_extract(text, f"^(?:[{_CLASS}]*+[^{_CLASS}]*+){{0,{most + 1}}}", 0)
     pieces = F.regexp_extract_all(head, F.lit(f"[{_CLASS}]+|[^{_CLASS}]+"), F.lit(0))
-    near = text.rlike("[0-9]")
-    out = F.transform(pieces, lambda p: F.when((F.instr(F.lit(SEPARATORS), F.left(p, F.lit(1))) > 0) | _shown(p, near, numbers), p).otherwise(F.repeat(F.lit(MASK), F.least(F.length(p), F.lit(6)))))
-    return F.when(text.isNotNull(), F.array_join(out, ""))
+
+    def masked(cell: Column) -> Column:
+        kept = lambda p: (F.instr(F.lit(SEPARATORS), F.left(p, F.lit(1))) > 0) | _shown(p, cell["near"], cell["numbers"])
+        return F.array_join(F.transform(cell["pieces"], lambda p: F.when(kept(p), p).otherwise(F.repeat(F.lit(MASK), F.least(F.length(p), F.lit(6))))), "")
+
+    out = _let(F.struct(text.rlike("[0-9]").alias("near"), numbers.alias("numbers"), pieces.alias("pieces")), masked)
+    return F.when(text.isNotNull(), out)
 
 
 def clipped(text: Column) -> Column:
