@@ -15,7 +15,8 @@ queries times rows, of which the calibrated share is compared; a share near 1 is
 Other columns of the table are not looked at.
 Vectors that are null, zero, hold a null, NaN or infinity, or have another length than most
 rows, take no part, and neither do rows without vec_id. Rows with the query's own vec_id aren't candidates. Ties
-go to the smaller vec_id; rows that repeat count once for each. Fewer than k candidates: all of them. An empty table gives no rows.
+go to the smaller vec_id; candidates that repeat count once for each. Queries that repeat are one query; rows of one vec_id with
+other vectors are queries of their own, each with its own ranks. Fewer than k candidates: all of them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ class _Block:
 
 
 def _compared(forest: DataFrame, queries: DataFrame, blocks: int, centre: np.ndarray, width: int, k: int, share: float | None) -> DataFrame:
-    """query_id, vec_id, score, need: each query's k nearest of what is gathered in each block.
+    """query_id, mark, vec_id, score, need: each query's k nearest of what is gathered in each block.
 
     Without ``share`` all rows are compared, and ``need`` is the share of the block that is gathered
     before the neighbour is.
@@ -190,10 +191,12 @@ def _compared(forest: DataFrame, queries: DataFrame, blocks: int, centre: np.nda
         if held:
             ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
             x = np.concatenate([_matrix(b.column("embedding"), width, kind) for b in held])
+            marks = np.concatenate([b.column("mark").to_numpy() for b in held])
             for a in range(0, len(ids), QUERY_BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (ids[a : a + QUERY_BLOCK].astype("<i8").tobytes(), x[a : a + QUERY_BLOCK].astype(kind).tobytes())], ["q_ids", "q_vectors"])
+                own = slice(a, a + QUERY_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (ids[own].astype("<i8").tobytes(), marks[own].astype("<i8").tobytes(), x[own].astype(kind).tobytes())], ["q_ids", "q_marks", "q_vectors"])
 
-    asked = queries.select("vec_id", "embedding").mapInArrow(packed, "q_ids binary, q_vectors binary")
+    asked = queries.select("vec_id", "mark", "embedding").mapInArrow(packed, "q_ids binary, q_marks binary, q_vectors binary")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(batches):
@@ -201,7 +204,7 @@ def _compared(forest: DataFrame, queries: DataFrame, blocks: int, centre: np.nda
         for batch in batches:
             for i in range(len(batch)):
                 block = _Block(batch, i, width, kind)
-                own = np.frombuffer(batch.column("q_ids")[i].as_buffer(), "<i8")
+                own, marks = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i8") for c in ("q_ids", "q_marks"))
                 q = np.frombuffer(batch.column("q_vectors")[i].as_buffer(), kind).reshape(len(own), width)
                 lo, hi = block.ranges(_codes(q, centre, planes))
                 gathered = (hi - lo).sum(axis=1)
@@ -219,14 +222,14 @@ def _compared(forest: DataFrame, queries: DataFrame, blocks: int, centre: np.nda
                             inside = ((lo[:, :, j] <= place) & (place < hi[:, :, j])).any(axis=1)
                             depth = int(np.flatnonzero(inside).max())
                             need[m] = (gathered[depth + 1, j] if depth < BITS else 0) / block.n
-                    out.append((np.full(len(ids), own[j]), ids, d, need))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score", "need"])
+                    out.append((np.full(len(ids), own[j]), np.full(len(ids), marks[j]), ids, d, need))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "mark", "vec_id", "score", "need"])
 
-    return forest.join(asked, "block").mapInArrow(run, "query_id long, vec_id long, score double, need double")
+    return forest.join(asked, "block").mapInArrow(run, "query_id long, mark long, vec_id long, score double, need double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -241,7 +244,8 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, k: int = 10) -> DataFr
     width = widths["w"]
     rows = rows.where(F.size("embedding") == width)
     forest, centre, blocks = build_forest(rows, width, k)
-    queries = rows.where(is_query)
+    zero = F.lit(0).cast(rows.schema["embedding"].dataType.elementType)  # so that a negative zero has no mark of its own
+    queries = rows.where(is_query).withColumn("mark", F.xxhash64(F.transform("embedding", lambda x: x + zero))).dropDuplicates(["vec_id", "mark"])
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION)
     needs = [r["need"] for r in _ranked(_compared(forest, sample, blocks, centre, width, k, None), k).select("need").collect()]
     if not needs:

@@ -285,4 +285,32 @@ def test_neighbours_of_doubles_and_of_repeated_rows(spark):
     for q in (0, 100):
         d = np.sqrt(((x[:200] - x[q]) ** 2).sum(axis=1))
         assert all(abs(d[i] - s) < 1e-18 for i, s in got[q]) and len({i for i, _ in got[q]} & set(np.argsort(d, kind="stable")[:11].tolist())) >= 7
-    assert got[200] == [(i, 0.0) for i in range(201, 211) for _ in range(25)][:10]
+    assert got[200] == [(i, 0.0) for i in range(201, 211)]  # 25 equal rows are one query
+
+
+def test_neighbours_of_queries_that_repeat_over_several_blocks(spark, monkeypatch):
+    """Against brute force, over more than three blocks: recall, repeated queries, one id with two vectors."""
+    monkeypatch.setattr(ann, "BLOCK", 500)
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 16)) * 3
+    x = (centres[rng.integers(40, size=2000)] + rng.standard_normal((2000, 16)) * 0.4).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[100]] * 2 + [(200, x[777].tolist())] + [(300, (x[300] * np.float32(-1) * np.float32(-1)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank", "score", "vec_id").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    ids, every = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(float)
+
+    def nearest(q, v):
+        d = np.sqrt(((every - v.astype(float)) ** 2).sum(axis=1))
+        return [(int(ids[i]), d[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+
+    hits = total = 0
+    for q in range(0, 2000, 100):
+        expected = [p for v in ([x[200], x[777]] if q == 200 else [x[q]]) for p in nearest(q, v)]
+        assert [r for r, _, _ in got[q]] == sorted([*range(1, 11)] * (2 if q == 200 else 1))
+        true = {i: s for i, s in expected}
+        assert all(abs(true[i] - s) < 1e-9 for _, i, s in got[q] if i in true)
+        hits, total = hits + len({i for _, i, _ in got[q]} & set(true)), total + len(true)
+    assert hits >= 0.9 * total, (hits, total)
