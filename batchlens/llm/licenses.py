@@ -4,7 +4,7 @@ Features are the presence of word unigrams and bigrams that hold a licence word:
 ``TEMPLATES`` that is not in ``STOP``. A sparse
 (L1) multinomial logistic regression, fitted on the driver on the templates' variants, ``OTHER_USES``
 and at most ``SAMPLE`` plain paragraphs of the corpus, gives each paragraph a family or ``unknown``. The
-sample has three lines, from anywhere in the text, of each of ``SAMPLE / 3`` documents, without repeats and
+sample has the first ``LINE`` words of three lines, from anywhere in the text, of each of ``SAMPLE / 3`` documents, without repeats and
 without lines that name a licence or cover a template; its
 probabilities, unknown's among them, are calibrated by a temperature fitted on templates that training left out, with all their variants. A family is confirmed where the
 paragraph's word bigrams cover one of its templates, or are covered by one, to ``CONFIRM``.
@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE = 600
+#: Words at most of a sampled line.
+LINE = 60
 CONFIRM = 0.6
 #: In calibration each template is left out of training once, with its variants.
 FOLDS = 5
@@ -45,6 +47,7 @@ TEMPLATES = {
         "Distributed under the MIT License. See LICENSE for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -73,10 +76,12 @@ TEMPLATES = {
         "Licensed under the 3-clause BSD license.",
         "Released under the BSD License.",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
@@ -97,12 +102,35 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain.",
         "Released under the CC0 1.0 Universal public domain dedication.",
         "This work has been dedicated to the public domain.",
+        "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
     ],
     "Proprietary": [
         "Copyright 2020 Example Corporation. All rights reserved.",
         "Copyright (c) 2019 Jane Doe. All rights reserved.",
         "All rights reserved. Unauthorized copying of this file is strictly prohibited.",
         "Proprietary and confidential.",
+        "All rights reserved.",
+        "Copyright 2020 Example Corporation.",
+        "Copyright (c) 2019 Jane Doe",
+        "Copyright 2021 Acme Inc.",
+        "Copyright 2022 The Authors",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+        "Released under the Eclipse Public License, version 2.0.",
+        "Released under the EPL 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "EUPL": [
+        "Licensed under the European Union Public Licence, version 1.2.",
+        "Licensed under the EUPL, Version 1.2 or later.",
+        "SPDX-License-Identifier: EUPL-1.2",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Released under the Boost Software License.",
+        "SPDX-License-Identifier: BSL-1.0",
     ],
 }
 # Sentences that use such words otherwise.
@@ -125,14 +153,18 @@ OTHER_USES = [
 STOP = set("a an and any are as at by can for free from had has in is it its of on or that the this to under use used was were with work you your not may be all see which without file list following above".split())
 
 
+#: A year, which any notice may have; all are one word.
+YEAR = "(?<![0-9])(?:19|20)[0-9][0-9](?![0-9])"
+
+
 def plain(text: str) -> list[str]:
     """The words of a paragraph, as ``words_of`` has them."""
-    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+    return [w for w in re.split(r"[^a-z0-9]+", re.sub(YEAR, "year", text.lower())) if w]
 
 
 def words_of(text: Column) -> Column:
-    """Runs of ASCII letters and digits of the text in lower case; empty strings may stand at the ends."""
-    return F.split(F.lower(text), "[^a-z0-9]+")
+    """Runs of ASCII letters and digits of the text in lower case, years as one word; empty strings may stand at the ends."""
+    return F.split(F.regexp_replace(F.lower(text), YEAR, "year"), "[^a-z0-9]+")
 
 
 def _grams(words: list[str]) -> set[str]:
@@ -232,7 +264,7 @@ class Model:
 def fitted(docs: DataFrame) -> Model:
     """Fit on the templates and on paragraphs of a bounded number of documents (those with the lowest hashes)."""
     ids = [r["doc_id"] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 3).collect()]
-    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.xxhash64("doc_id", i).alias("order"), F.regexp_extract(line, r"^\s*((?:\S+\s*){0,60})", 1).alias("line")))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.xxhash64("doc_id", i).alias("order"), F.regexp_extract(line, rf"^\s*((?:\S+\s*){{0,{LINE}}})", 1).alias("line")))
     lines = F.slice(F.array_sort(F.filter(lines, lambda x: x["line"] != "")), 1, 3)["line"]
     some = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select(lines.alias("lines")).limit(SAMPLE // 3)
     return Model(without_licences([" ".join(line.split()) for r in some.collect() for line in r["lines"]]))
