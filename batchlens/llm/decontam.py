@@ -14,7 +14,7 @@ of items each (about 30 bytes a word); a scan works off one after the other.
 
 Nulls and empty texts contain nothing and match nothing; items with fewer words than
 a shingle are one shingle of all their words, found where a window of so many words is equal; rows that repeat give rows that repeat; items with equal
-text all match. Empty tables give no rows. Other columns stay as they are, whatever their names but ``__plain``.
+text all match. Empty tables give no rows. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -216,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found."""
-    plain, paths = "__plain", _indexes(benchmark, k)
+    plain, paths = scratch.free_name("__plain", docs.columns), _indexes(benchmark, k)
 
     def run(batches):
         for batch in sliced(batches, plain):

@@ -15,7 +15,7 @@ Defined cases: no words, an empty or a null text: the empty set, linked with not
 component). Fewer words than a shingle: one shingle of all. Rows that repeat, or share a doc_id, are
 separate rows; a component's id is the smallest doc_id in it, null if it has none. An empty table gives no rows.
 A very long text's set is held whole in its task. Columns other than doc_id and text are not looked at (``one_of_each``
-keeps them, whatever their names but ``__row``).
+keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, key: str |
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one row of each component: that with the smallest doc_id (nulls last), then the first."""
-    key = "__row"
+    key = scratch.free_name("__row", docs.columns)
     rows = scratch.saved(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     links = linked_documents(rows, k, percent, key)
     first = links.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.llm import scratch
 from batchlens.llm.words import shingle_hashes, sliced, texts_of, word_hashes
 
 SAMPLE = 6000
@@ -189,8 +190,8 @@ def scored(docs: DataFrame, voters: Voters | None, keep: list[str], name: str =
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` whose score is ``cut`` or more."""
-    out = scored(docs, trained(docs, labels), docs.columns, "__score")
-    return out.where(F.col("__score") >= cut).drop("__score")
+    name = scratch.free_name("__score", docs.columns)
+    return scored(docs, trained(docs, labels), docs.columns, name).where(F.col(name) >= cut).select(*docs.columns)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,14 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or one like it that none of ``columns`` has; Spark doesn't tell capitals apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mounted(uri: str) -> bool:
     """Whether the file can be memory-mapped."""
     return _local(uri) is not None

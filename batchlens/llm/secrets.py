@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.llm import scratch
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}"""
@@ -184,7 +186,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", name: str = "secret_spans"
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with all secrets masked; ``n_chars``, where there is one, is the new length."""
-    name = "__secret_spans"
+    name = scratch.free_name("__secret_spans", docs.columns)
     out = redacted(with_spans(docs, name), name=name)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

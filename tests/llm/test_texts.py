@@ -199,3 +199,37 @@ def test_pipeline_of_odd_rows(spark):
             held = scratch.saved(stage(spark, held, sf), name)
             assert name == "packing" or held.columns == docs.columns
         assert (held.count() > 0) is bool(rows)
+
+
+def test_share_of_notices_found(spark):
+    """Of the lines of a table that name a licence at least 98 in 100 are found, of plain prose none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = licenses.fitted(docs)
+    own = [
+        (1, "All rights reserved.\nSPDX-License-Identifier: MIT\nSPDX-License-Identifier: BSD-3-Clause\nCopyright 2023 Acme Inc."),
+        (2, "Released under the EPL 2.0.\nLicensed under the EUPL.\nDistributed under the Boost Software License, Version 1.0.\nReleased under the Unlicense"),
+        (3, "\n".join(["The year 2020 was long.", "He was rights-minded and reserved.", *licenses.OTHER_USES])), (4, None), (5, ""), (6, "word " * 400_000 + "\nAll rights reserved."),
+    ]
+    found = {(r["doc_id"], r["paragraph"]): r["family"] for r in licenses.licensed_paragraphs(spark.createDataFrame(own, DOCS).withColumns({c: F.lit(1) for c in ("words", "pairs", "family")}), model).collect()}
+    families = ["Proprietary", "MIT", "BSD", "Proprietary", "EPL", "EUPL", "BSL-1.0", "Public-Domain"]
+    assert found == {**{(1 + i // 4, i % 4): f for i, f in enumerate(families)}, (6, 1): "Proprietary"}
+    got = {(r["doc_id"], r["paragraph"]) for r in licenses.licensed_paragraphs(docs, model).collect()}
+    named = {(r["doc_id"], i) for r in docs.collect() for i, line in enumerate((r["text"] or "").split("\n")) if licenses.LICENCE.search(line)}
+    assert len(named) > 40 and len(got & named) >= 0.98 * len(named) and len(got - named) <= 0.02 * len(named)
+
+
+def test_columns_with_clashing_names_in_the_stages(spark):
+    """Every stage but the last keeps a table's columns and their values, whatever their names."""
+    from batchlens.llm import decontam, jaccard_join, quality
+
+    names = ["__score", "__SECRET_SPANS", "__plain", "__row", "__row_", "key", "score", "similarity", "component_id", "part"]
+    rows = [(i, f"text number {i} of several words that differ {i * 7} token = abcdef{i}{i} end") for i in range(20)] + [(20, None), (21, "")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "nothing of the kind is in any of these texts at all")], "item_id long, text string")
+    stages = [lambda d: quality.accepted(d, labels, 0.0), lambda d: jaccard_join.one_of_each(d), lambda d: decontam.uncontaminated(d, benchmark), secrets.cleaned]
+    for stage in stages:
+        out = stage(docs)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert len(kept) >= 20 and all(r[c] == f"{c}{r['doc_id']}" for r in kept for c in names)
