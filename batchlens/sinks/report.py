@@ -1,9 +1,10 @@
-"""A batch's results as JSON and as an HTML page, and many batches' as Parquet."""
+"""A batch's results as JSON and as an HTML page, and many batches' results as Parquet (their reports: ``reports``)."""
 
 from __future__ import annotations
 
 import html
 import json
+from dataclasses import fields
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -14,26 +15,30 @@ from batchlens.model import BatchFrames
 
 
 def batch_report(b: BatchFrames, results: DataFrame, details: DataFrame, batch_id: str) -> dict:
-    """Everything about one batch. One batch is small; for many, use ``write_results``."""
+    """Everything about one batch; for many, use ``reports.write_reports``."""
+    from batchlens.sinks.reports import report_rows
+
     own = lambda d: d.where(F.col("batch_id") == batch_id)
-    head = own(b.batches).first()
-    if head is None:
+    row = report_rows(BatchFrames(*(own(getattr(b, f.name)) for f in fields(b))), own(results), own(details)).first()
+    if row is None:
         raise ValueError(f"no batch {batch_id!r}")
-    analytes = own(b.analytes).orderBy("pos").collect()
-    rows: dict[str, list[dict]] = {}
-    for r in own(details).collect():
-        rows.setdefault(r["check_id"], []).append({**json.loads(r["payload"]), "ok": r["ok"]})
-    checks = [
-        {"check_id": r["check_id"], "outcome": r["outcome"], "reason": r["reason"], "verify": r["verify"], "details": sorted(rows.get(r["check_id"], []), key=lambda d: (d.get("row_pos") or 0, str(d.get("label", ""))))}
-        for r in own(results).orderBy("catalog_pos").collect()
-    ]
-    counts = {r["type"]: r["count"] for r in own(b.samples).groupBy("type").count().orderBy("type").collect()}
+    return assembled(row.asDict(recursive=True))
+
+
+def assembled(row: dict) -> dict:
+    """The report of a row of ``reports.report_rows``."""
+    analytes = [a for a in row["analytes"] or [] if a["role"] == "analyte"]
+    counts = {t["type"]: t["n"] for t in row["types"] or []}
+    checks = []
+    for c in row["checks"] or []:
+        rows = [{**json.loads(r["payload"]), "ok": r["ok"]} for r in c["rows"] or []]
+        checks.append({k: c[k] for k in ("check_id", "outcome", "reason", "verify")} | {"details": sorted(rows, key=lambda d: (d.get("row_pos") or 0, str(d.get("label", ""))))})
     return {
         "schema_version": "0.1", "generated_by": "batchlens", "generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
         "batch": {
-            "source": head["source_path"], "template": head["template_id"], "instrument_family": head["instrument_family"], "n_samples": sum(counts.values()), "sample_type_counts": counts,
-            "analytes": [a["label"] for a in analytes if a["role"] == "analyte"], "istds": [a["label"] for a in analytes if a["role"] == "istd"],
-            "analyte_detail": [{k: a[k] for k in ("label", "mass", "element", "mass_shift", "mode", "wavelength_nm")} for a in analytes if a["role"] == "analyte"], "warnings": head["warnings"],
+            "source": row["source_path"], "template": row["template_id"], "instrument_family": row["instrument_family"], "n_samples": sum(counts.values()), "sample_type_counts": counts,
+            "analytes": [a["label"] for a in analytes], "istds": [a["label"] for a in row["analytes"] or [] if a["role"] == "istd"],
+            "analyte_detail": [{k: a[k] for k in ("label", "mass", "element", "mass_shift", "mode", "wavelength_nm")} for a in analytes], "warnings": row["warnings"] or [],
         },
         "verdict": "FAIL" if any(c["outcome"] == "FAIL" for c in checks) else "PASS", "checks": checks,
     }

@@ -50,7 +50,7 @@ class Files(InputPartition):
     paths: list[str]
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, and the path in it."""
     kind = urlparse(path).scheme
     if kind in ("", "file"):
@@ -60,7 +60,7 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 def listed(path: str) -> list[Found]:
     """The files of a path, a folder (and those below it) or a glob in the last part, by change time."""
-    store, place = _store(path)
+    store, place = store_of(path)
     head, _, tail = place.rpartition("/")
     glob = tail if any(c in tail for c in "*?[") else None
     info = store.get_file_info(head if glob else place)
@@ -86,7 +86,7 @@ def _split(files: list[Found], most: int) -> list[Files]:
 
 def lines(path: str, encoding: str, delimiter: str | None) -> Iterator[list[str]]:
     """The rows of a delimited file, read as a stream. A byte order mark beats ``encoding``; what doesn't decode is replaced."""
-    store, place = _store(path)
+    store, place = store_of(path)
     with store.open_input_stream(place) as raw:
         buffered = io.BufferedReader(raw, 1 << 20)
         start = buffered.peek(1 << 16)
