@@ -81,15 +81,26 @@ def unblocked(details: DataFrame, blocked: DataFrame) -> DataFrame:
     return details.join(blocked.select("batch_id"), "batch_id", "left_anti")
 
 
+def recovered(expected: Column, lo: Column, hi: Column) -> tuple[Column, Column, Column]:
+    """Recovery, bound of censored results, and ok, of a row with conc, below_dl and dl."""
+    known = expected.isNotNull() & (expected != 0)
+    pct = F.when(known, F.try_divide(F.col("conc") * 100, expected))
+    bound = F.when(known & F.col("conc").isNull() & F.col("below_dl"), F.try_divide(F.col("dl") * 100, expected))
+    return pct, bound, F.when(pct.isNotNull(), ~F.isnan(pct) & pct.between(lo, hi)).when(bound < lo, F.lit(False))
+
+
+def blank_ok(limit: Column) -> Column:
+    """Whether a blank is below its limit; a non-detect whose own limit is higher isn't decided."""
+    return F.when(F.col("conc").isNotNull(), F.abs("conc") < limit).when(F.coalesce("below_dl", F.lit(False)) & (F.col("dl") <= limit), F.lit(True))
+
+
 def recovery(rows: DataFrame, expected: Column, lo: Column, hi: Column) -> DataFrame:
     """``recovery_pct`` (not rounded), ``bound_pct`` of censored results, and ``ok``.
 
     A non-detect fails only if even its limit would be below the window.
     """
     known = expected.isNotNull() & (expected != 0)
-    pct = F.when(known, F.try_divide(F.col("conc") * 100, expected))
-    bound = F.when(known & F.col("conc").isNull() & F.col("below_dl"), F.try_divide(F.col("dl") * 100, expected))
-    ok = F.when(pct.isNotNull(), ~F.isnan(pct) & pct.between(lo, hi)).when(bound < lo, F.lit(False))
+    pct, bound, ok = recovered(expected, lo, hi)
     note = (
         F.when(~known, F.lit("no expected level in export"))
         .when(F.col("conc").isNotNull(), F.lit(None).cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,16 +13,22 @@ from batchlens.operators.base import KEY, Check, analytes, blocked_below, every_
 _ROW = ["batch_id", "row_pos", "name", "label"]
 
 
+def assessed(params: dict) -> Column:
+    """Whether a result has a deviation and enough signal for it to be judged."""
+    cps, mult = params.get("min_intensity_cps"), params.get("min_conc_x_loq", 10)
+    by_conc = F.when(F.col("conc").isNotNull(), F.col("conc") > loq(params, F.col("label")) * mult).otherwise(F.col("intensity").isNotNull())
+    enough = F.when(F.col("intensity").isNotNull(), F.col("intensity") >= cps).otherwise(by_conc) if cps is not None else by_conc
+    return F.col("rsd_pct").isNotNull() & enough
+
+
 def precision_rsd(b: BatchFrames, params: dict) -> Check:
     """Relative standard deviations of results with enough signal, per analyte."""
-    most, cps, mult = float(params.get("max_rsd_pct", 5.0)), params.get("min_intensity_cps"), params.get("min_conc_x_loq", 10)
+    most = float(params.get("max_rsd_pct", 5.0))
     types = params.get("types")
     if types and (bad := [t for t in types if t not in SAMPLE_TYPES]):
         raise ValueError(f"unknown sample types: {bad}")
     rows = every_result(b, b.of_type(*types) if types else b.samples)
-    by_conc = F.when(F.col("conc").isNotNull(), F.col("conc") > loq(params, F.col("label")) * mult).otherwise(F.col("intensity").isNotNull())
-    enough = F.when(F.col("intensity").isNotNull(), F.col("intensity") >= cps).otherwise(by_conc) if cps is not None else by_conc
-    rows = rows.withColumn("assessed", F.col("rsd_pct").isNotNull() & enough)
+    rows = rows.withColumn("assessed", assessed(params))
     used = F.when(F.col("assessed"), F.col("rsd_pct"))
     out = rows.groupBy("batch_id", "label").agg(
         count_if(F.col("assessed")).alias("n_assessed"), count_if(used > most).alias("n_over"), F.max(used).alias("max_rsd_pct"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from batchlens.functions.stats import pearson
 from batchlens.functions.units import converted
 from batchlens.model import ANALYSIS_TYPES, BatchFrames
-from batchlens.operators.base import Check, analytes, blank_limit, blocked_below, every_result, loq, recovery, unblocked, window
+from batchlens.operators.base import Check, analytes, blank_limit, blank_ok, blocked_below, every_result, loq, recovery, unblocked, window
+from batchlens.operators.names import matched_names
 
 _ROW = ["batch_id", "row_pos", "name", "label"]
 
@@ -120,7 +121,7 @@ def ccv_frequency(b: BatchFrames, params: dict) -> Check:
 def _blanks(b: BatchFrames, params: dict, types: tuple[str, ...], missing: str) -> Check:
     rows = every_result(b, b.of_type(*types)).withColumn("limit_ppb", blank_limit(params, F.col("label")).cast("double"))
     absent = F.col("conc").isNull() & ~F.coalesce("below_dl", F.lit(False))
-    ok = F.when(F.col("conc").isNotNull(), F.abs("conc") < F.col("limit_ppb")).when(~absent & (F.col("dl") <= F.col("limit_ppb")), F.lit(True))
+    ok = blank_ok(F.col("limit_ppb"))
     rows = rows.select(*_ROW, "conc", F.when(~absent, F.col("limit_ppb")).alias("limit_ppb"), F.when(F.col("conc").isNull(), F.col("dl")).alias("dl"), ok.alias("ok"))
     return Check(rows, blocked_below(b, b.of_type(*types), 1, missing))
 
@@ -163,12 +164,12 @@ def crm_recovery(b: BatchFrames, params: dict, values: DataFrame, patterns: Data
     """Recovery of certified elements in samples whose name matches a reference material (the first in the library).
 
     ``values``: lib_pos, crm_id, unit, element, value, uncertainty, value_type; ``patterns``: lib_pos, crm_id, pattern (Java syntax).
-    The library is a handful of files, so it is broadcast. Each distinct name is matched once.
+    Each distinct name is matched once, and only with patterns whose text it holds.
     """
     lo, hi = window(params, default=(80, 120))
-    named = b.samples.select("name").distinct().join(F.broadcast(patterns), F.expr("name rlike pattern")).groupBy("name").agg(F.min(F.struct("lib_pos", "crm_id")).alias("m"))
+    named = matched_names(b.samples.select("name").distinct(), patterns).groupBy("name").agg(F.min(F.struct("lib_pos", "crm_id")).alias("m"))
     hits = b.samples.join(named, "name").select("batch_id", "row_pos", "name", "m.lib_pos", "m.crm_id")
-    rows = every_result(b, hits).join(F.broadcast(values.drop("crm_id").withColumnRenamed("unit", "certified_unit")), ["lib_pos", "element"])
+    rows = every_result(b, hits).join(values.drop("crm_id").withColumnRenamed("unit", "certified_unit"), ["lib_pos", "element"])
     expected = converted(F.col("value"), F.col("certified_unit"), F.coalesce("unit", F.lit("ppb")))
     rows = recovery(rows.withColumn("expected", expected), F.col("expected"), F.lit(lo), F.lit(hi))
     ok = F.when(F.col("value_type") != "information", F.col("ok"))

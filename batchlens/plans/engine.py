@@ -75,7 +75,12 @@ def folded(b: BatchFrames, checks: dict[str, Check]) -> DataFrame:
     n = reduce(DataFrame.unionByName, parts).groupBy("batch_id", "check_id").agg(
         F.count_if(F.col("ok") == F.lit(False)).alias("failing"), F.count("ok").alias("decided"), F.min("blocked").alias("blocked"), F.max("own").alias("own"), F.max("own_reason").alias("own_reason")
     )
-    undecided = F.coalesce(*[F.when(F.col("check_id") == k, c.undecided) for k, c in checks.items()])
+    return settled(n, {k: c.undecided for k, c in checks.items()})
+
+
+def settled(n: DataFrame, undecided: dict[str, str]) -> DataFrame:
+    """batch_id, check_id, outcome, reason of counts of rows: failing, decided, blocked, own, own_reason."""
+    undecided = F.coalesce(*[F.when(F.col("check_id") == k, text) for k, text in undecided.items()])
     outcome = F.when(F.col("blocked").isNotNull(), "NOT_EVALUATED").when(F.col("own").isNotNull(), F.col("own")).when(F.col("failing") > 0, "FAIL").when(F.col("decided") == 0, "WARN").otherwise("PASS")
     reason = (
         F.when(F.col("blocked").isNotNull(), F.col("blocked")).when(F.col("own").isNotNull(), F.col("own_reason"))

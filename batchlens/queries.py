@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from batchlens.functions.labels import ELEMENTS, isotope_label, line_label, mass_label
 from batchlens.functions.units import UNIT_FACTORS, converted, parsed_concentration
 from batchlens.operators import pairs, recoveries
-from batchlens.plans.engine import CATALOG, folded, outcomes, verdict
+from batchlens.plans.engine import CATALOG, outcomes, verdict
+from batchlens.plans.fused import all_outcomes
 from batchlens.sources.crm import PATTERNS, VALUES
 from batchlens.sources.profile import LONGEST, MASK, MEASURED, NUMBERED, ORNAMENT, PROSE, SEPARATORS, SYMBOLS, UNITS, WORDS, column_profile, redacted_column
 from batchlens.sources.tables import collapsed_headers, instrument_objections, merged_counts
@@ -264,10 +265,10 @@ ORACLE_SQL["batch_verdict"] = _outcome_sql() + (
 def every_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome and reason of all 21 checks for every batch, with the parameters of each check's own query.
 
-    The canonical tables are computed once; the checks' rows are folded by one aggregate.
+    The canonical tables are computed once; eleven checks share one aggregate of the results, the others are folded by one.
     """
     b = batch_frames(spark, sf_dir).cached()
-    return folded(b, {name: check(b, {**_LOQ, **params}) for name in CATALOG for check, params in [_PARAMS[name]]})
+    return all_outcomes(b, {name: {**_LOQ, **_PARAMS[name][1]} for name in CATALOG}, {name: _PARAMS[name][0] for name in CATALOG})
 
 
 def _blocks() -> dict[str, str]:
