@@ -18,6 +18,7 @@ from batchlens.functions.units import UNIT_FACTORS, converted, parsed_concentrat
 from batchlens.operators import pairs, recoveries
 from batchlens.plans.engine import CATALOG, outcomes, verdict
 from batchlens.plans.fused import all_outcomes
+from batchlens.sources.corpus import layout_groups
 from batchlens.sources.crm import PATTERNS, VALUES
 from batchlens.sources.profile import LONGEST, MASK, MEASURED, NUMBERED, ORNAMENT, PROSE, SEPARATORS, SYMBOLS, UNITS, WORDS, column_profile, redacted_column
 from batchlens.sources.tables import collapsed_headers, instrument_objections, merged_counts
@@ -421,6 +422,36 @@ g as (select *, last_value(nullif(top, '') ignore nulls) over (partition by file
 select file, col, case when sub = '' and cur = 'BUILDING' then cur when sub = '' and top = '' then concat('(unnamed column ', cast(col as varchar), ')') when sub = '' then cur
   when cur is null or cur = 'BUILDING' then sub else concat(cur, ' :: ', sub) end as name from g
 """
+# A file for each customer: the words of one of the layouts, some of them missing or replaced by a customer's own.
+_VOCABULARY = ("conc", "cps", "rsd", "sample", "type", "level", "mass", "element", "unit", "dilution", "vial", "method", "run", "date", "time", "operator")
+_words, _words_sql = _table(
+    "customer", "c_custkey as file", "c_custkey % 3 as kind", "c_custkey % 7 as variant", "cast(floor(c_custkey / 40) as int) as site",
+)
+
+
+def corpus_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, col, name of the headers of every customer's file."""
+    word = F.element_at(F.array(*map(F.lit, _VOCABULARY)), F.col("col").cast("int") + 1)
+    rows = _words(spark, sf_dir).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(len(_VOCABULARY) - 1))))
+    rows = rows.where("(col + kind * 5) % 16 < 11 and col <> site % 16 and (variant <> 3 or col <> 2)")
+    own = F.when((F.col("variant") == 5) & (F.col("col") == 1), F.concat(F.lit("Northside "), F.col("file").cast("string"))).otherwise(F.upper(word))
+    return rows.select("file", "col", own.alias("name"))
+
+
+QUERIES["layout_groups"] = lambda spark, sf_dir: layout_groups(corpus_headers(spark, sf_dir)).select("file", F.col("layout"), F.col("group").alias("layout_group"))
+ORACLE_SQL["layout_groups"] = f"""
+with recursive h as (select file, kind, variant, site, unnest(range(0, {len(_VOCABULARY)})) as col from {_words_sql}),
+w as (select file, col, case when variant = 5 and col = 1 then '{MASK * 6} ' || repeat('{MASK}', least(length(cast(file as varchar)), 6)) else [{", ".join(f"'{w}'" for w in _VOCABULARY)}][col + 1] end as name0 from h
+  where (col + kind * 5) % 16 < 11 and col <> site % 16 and (variant <> 3 or col <> 2)),
+n as (select file, case when name0 = 'operator' then '{MASK * 6}' else name0 end as name from w),
+f as (select file, list_sort(list(distinct name)) as names from n group by file),
+s as (select file, sha256(array_to_string(names, chr(10))) as layout, names from f),
+l as (select layout, min(names) as names from s group by layout),
+e as (select a.layout as a, b.layout as b from l a join l b on a.layout <> b.layout and len(list_intersect(a.names, b.names)) >= 0.8 * (len(a.names) + len(b.names) - len(list_intersect(a.names, b.names)))),
+r(layout, reach) as (select layout, layout from l union select r.layout, e.b from r join e on e.a = r.reach),
+g as (select layout, min(reach) as low from r group by layout)
+select s.file, s.layout, g.low as layout_group from s join g on g.layout = s.layout
+"""
 QUERIES["companion_merge"] = lambda spark, sf_dir: merged_counts(batch_frames(spark, sf_dir))
 ORACLE_SQL["companion_merge"] = VIEW + """
 , c as (select batch_id, name, count(*) as k from sm group by batch_id, name)
