@@ -19,7 +19,7 @@ import numpy as np
 _UNSURE = re.compile("[^\x00-ɏ]|[²³¹¼-¾\x1c-\x1f]")
 _PIECE = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Pieces that a worker remembers (about 130 bytes each).
-_MOST = 1_000_000
+_MOST = 300_000
 _JOIN = 2048
 
 
