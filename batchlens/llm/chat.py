@@ -1,7 +1,6 @@
 """Chat formatting by a grammar round trip.
 
-Template: ``<s>[ROLE] text </s>`` a turn, the roles' names in capitals, user turns as
-``[INST] ... [/INST]``. Control strings inside a text are escaped by a backslash
+Template: ``<s>[role] L text</s>`` a turn, with F in the place of L where the text is escaped in full. Control strings inside a text are escaped by a backslash
 before their first character, and backslashes that stand before a control string (or another such
 backslash) are doubled, so unescaping is exact. Each rendered conversation is parsed again by a deterministic
 parser and compared with its source; turns that differ are escaped in full (each
@@ -10,7 +9,8 @@ backslash and bracket) until what is parsed is identical.
 Defined cases: a null text is empty; turns are ordered by turn, role, text with
 nulls first; a null role is the empty role, whose marker is ``[]``; repeated
 rows are turns of their own; a null conv_id is a conversation like any other. The loss mask covers the texts of assistant turns,
-without their markers. An empty table gives no rows.
+without their markers. Very long texts make segments of their own, each held whole. Columns other than conv_id, turn, role and text are not looked at,
+so their names can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ intercept's verdict, unknown; they are left out before n-grams are made, and so
 words can't outweigh the intercept even with all n-grams of the templates that hold no other licence word.
 
 One row a paragraph with a family: doc_id, paragraph (from 0), family, probability, similarity, confirmed. Null and
-empty texts have none. Rows that repeat give rows that repeat. An empty table gives no rows.
+empty texts have none. Rows that repeat give rows that repeat. Of classes with equal probability the first in the order of ``TEMPLATES`` counts. Very long texts and
+lines are split and compared whole, in one task. Columns other than doc_id and text are not looked at, so their names can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ file, and the files by name, are in ascending order of document id.
 
 Nulls: a null text is empty (its ids are the end id alone); null ids of documents
 come first; rows that share an id stay separate rows, ordered by their ids.
-An empty table gives an empty folder of segments and an empty result.
+Very long texts are segments of more blocks, encoded whole in one task. Columns other than doc_id and text are not
+looked at, so their names can't clash. An empty table gives an empty folder of segments and an empty result.
 """
 
 from __future__ import annotations
