@@ -12,7 +12,7 @@ Only the text is an input of a score. The sample is the labelled rows with the l
 
 Nulls and empty texts have no terms: their score is the share of label 1 in the sample. Labels
 that are null don't count; a document labelled twice counts with the mean. Without any
-label every score is 0.5. Ties among neighbours go to the earlier one of the sample.
+label every score is 0.5. Of neighbours that tie for the last place the partition by ``argpartition`` picks, the same ones for the same text.
 An empty table gives no rows; rows that repeat give rows that repeat. Very long texts are counted in blocks of a megabyte.
 Columns of the table, whatever their names, are no inputs and stay as they are.
 """
