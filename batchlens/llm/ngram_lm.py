@@ -14,7 +14,7 @@ The model: p(c|ab) = f(abc) + l(ab) p(c|b), p(c|b) = f(bc) + l(b) p(c), absolute
 orders, p(c) = (count + 0.5) / (N + 0.5 (V + 1)). Texts start with a mark that is context only and end with an end token.
 
 Null and empty texts are the end token alone. Rows that repeat are scored (and learned) each. A null
-doc_id counts as a training row. Without training text every token has p(c) alone. A slice holds about 4 MB of
+doc_id counts as a training row. Without training text every token has p(c) alone. A slice holds about 2 MB of
 texts, or one longer text whole. Columns other than doc_id and text are not looked at, so their names can't clash. An empty table gives no rows.
 """
 
