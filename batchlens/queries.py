@@ -22,7 +22,8 @@ from batchlens.sources.corpus import layout_groups
 from batchlens.sources.crm import PATTERNS, VALUES
 from batchlens.sources.profile import LONGEST, MASK, MEASURED, NUMBERED, ORNAMENT, PROSE, SEPARATORS, SYMBOLS, UNITS, WORDS, column_profile, redacted_column
 from batchlens.sources.tables import collapsed_headers, instrument_objections, merged_counts
-from batchlens.testbed import VIEW, batch_frames
+from batchlens.sources.wide import read_wide
+from batchlens.testbed import VIEW, batch_frames, exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -452,6 +453,20 @@ r(layout, reach) as (select layout, layout from l union select r.layout, e.b fro
 g as (select layout, min(reach) as low from r group by layout)
 select s.file, s.layout, g.low as layout_group from s join g on g.layout = s.layout
 """
+
+
+def export_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's batches written as exports, a file each, and read back by the reader of wide exports."""
+    b = read_wide(spark, f"{exports(spark, sf_dir)}/*/*.txt")
+    batch = F.regexp_extract("batch_id", "batch_id=([^/]+)/", 1).alias("batch_id")
+    rows = b.samples.join(b.results, ["batch_id", "row_pos"])
+    return rows.select(batch, "row_pos", "name", "type", "level", "label", "conc", "below_dl", "dl", "intensity", "unit")
+
+
+QUERIES["export_read"] = export_read
+ORACLE_SQL["export_read"] = _EVERY + """
+select batch_id, seq as row_pos, name, case when sample_type in ('SERIAL_DIL') then 'OTHER' else sample_type end as type, level, label, conc, below_dl, dl, intensity, 'ppb' as unit from er
+"""
 QUERIES["companion_merge"] = lambda spark, sf_dir: merged_counts(batch_frames(spark, sf_dir))
 ORACLE_SQL["companion_merge"] = VIEW + """
 , c as (select batch_id, name, count(*) as k from sm group by batch_id, name)

@@ -5,6 +5,9 @@ A batch is the orders of a month by 1,500 neighbouring customers, so there are m
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,33 @@ def batch_frames(spark: SparkSession, sf_dir: str) -> BatchFrames:
         F.col("rsd_pct").alias("value"), F.lit(7.0).alias("limit"), F.lit("high").alias("direction"), F.lit("over the allowed maximum").alias("text"),
     )
     return BatchFrames(batches, labels.unionByName(istd), samples, results, cps, flags)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a session on one machine that names none gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="batchlens-")
+    return f"{folder.rstrip('/')}/exports-{uuid.uuid4().hex[:12]}"
+
+
+# How exports write the types of samples.
+_WRITTEN = {"CAL_STD": "CalStd", "CAL_BLANK": "CalBlk", "SAMPLE": "Sample", "DUP": "Dup"}
+
+
+def exports(spark: SparkSession, sf_dir: str) -> str:
+    """Write every batch of the view as a wide export, a file each, and return the folder: batch_id=.../part-*.txt."""
+    t = tables(spark, sf_dir)
+    labels = [f"L{i}" for i in range(1, 8)]
+    cell = F.when(F.col("below_dl"), F.concat(F.lit("<"), F.col("dl").cast("string"))).otherwise(F.col("conc").cast("string"))
+    of = lambda label, value: F.coalesce(F.max(F.when(F.col("label") == label, value)), F.lit(""))
+    wide = t["results"].groupBy("batch_id", "seq").agg(F.concat_ws(",", *(of(x, cell) for x in labels), *(of(x, F.col("intensity").cast("string")) for x in labels)).alias("cells"))
+    kind = F.coalesce(*[F.when(F.col("sample_type") == k, v) for k, v in _WRITTEN.items()], "sample_type")
+    lines = t["samples"].join(wide, ["batch_id", "seq"], "left").select("batch_id", "seq", F.concat_ws(",", F.col("seq").cast("string"), "name", kind, F.coalesce(F.col("level").cast("string"), F.lit("")), F.coalesce("cells", F.lit("," * 13))).alias("value"))
+    head = ",".join(["Seq", "Sample Name", "Type", "Level [ppb]", *(f"{x} Conc. [ppb]" for x in labels), *(f"{x} CPS" for x in labels)])
+    heads = t["samples"].select("batch_id").distinct().select("batch_id", F.lit(0).alias("seq"), F.lit(head).alias("value"))
+    path = shared_folder(spark)
+    heads.unionByName(lines).repartition("batch_id").sortWithinPartitions("batch_id", "seq").select("batch_id", "value").write.partitionBy("batch_id").text(path)
+    return path
