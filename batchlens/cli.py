@@ -1,4 +1,4 @@
-"""Command line: ``check`` an export, ``inspect`` a layout, ``validate`` a template against an export, ``accept`` it.
+"""Command line: ``check`` an export, or all exports of a ``folder``, ``inspect`` a layout, ``validate`` a template against an export, ``accept`` it.
 
 There is no prefilled link for reporting a problem: nothing of an export leaves the machine.
 """
@@ -23,6 +23,10 @@ def main(args: list[str] | None = None) -> int:
     check.add_argument("--template")
     check.add_argument("--counts")
     check.add_argument("--out", default="out")
+    folder = commands.add_parser("folder")
+    folder.add_argument("folder")
+    folder.add_argument("--rules", default="epa6020b")
+    folder.add_argument("--out", default="out")
     look = commands.add_parser("inspect")
     look.add_argument("export")
     look.add_argument("--include-names", action="store_true")
@@ -39,7 +43,7 @@ def main(args: list[str] | None = None) -> int:
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="batchlens-"))
     try:
-        return {"check": _check, "inspect": _inspect, "validate": _validate, "accept": _accept}[a.command](spark, a)
+        return {"check": _check, "folder": _folder, "inspect": _inspect, "validate": _validate, "accept": _accept}[a.command](spark, a)
     except (OSError, ValueError, RuntimeError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
@@ -59,6 +63,21 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
     return 2 if report["verdict"] == "FAIL" else 0
 
 
+def _folder(spark: SparkSession, a: argparse.Namespace) -> int:
+    from batchlens.plans.engine import run
+    from batchlens.sinks.reports import committed, write_reports
+    from batchlens.sources.folder import read_folder
+
+    found = read_folder(spark, a.folder)
+    b = found.frames.cached()
+    write_reports(b, *run(b, a.rules), a.out)
+    for r in found.files.groupBy("reader").count().orderBy("reader").collect():
+        print(f"{r['count']:6} {r['reader'] or 'read by no layout'}")
+    head, _ = committed(a.out)
+    print(f"{head['batches']} batches, {head['failed']} failed; reports in {a.out}")
+    return 2 if head["failed"] else 0 if head["batches"] else 1
+
+
 def _inspect(spark: SparkSession, a: argparse.Namespace) -> int:
     from batchlens.sources.cells import read_cells
     from batchlens.sources.detect import delimiter_of

@@ -117,3 +117,17 @@ def test_objections_take_time_in_proportion(spark):
 
     seconds(100)
     assert seconds(20_000) < 12  # was beyond any patience when each piece cut the whole cell again
+
+
+def test_folder_from_the_shell(spark, tmp_path, capsys):
+    from batchlens.cli import main
+    from batchlens.sinks.reports import committed
+
+    (tmp_path / "in").mkdir()
+    wide_export(str(tmp_path / "in" / "good.csv"))
+    wide_export(str(tmp_path / "in" / "bad.csv"), violations=True)
+    (tmp_path / "in" / "notes.txt").write_text("nothing\n")
+    assert main(["folder", str(tmp_path / "in"), "--out", str(tmp_path / "out")]) == 2
+    head, files = committed(str(tmp_path / "out"))
+    said = capsys.readouterr().out
+    assert (head["batches"], head["failed"], len(files)) == (2, 1, 2) and "2 wide" in said and "read by no layout" in said
