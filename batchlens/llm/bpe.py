@@ -18,8 +18,8 @@ import numpy as np
 
 _UNSURE = re.compile("[^\x00-ɏ]|[²³¹¼-¾\x1c-\x1f]")
 _PIECE = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Pieces that a worker remembers (about 130 bytes each).
-_MOST = 300_000
+#: Pieces that a worker remembers (about 130 bytes each); a worker keeps them as long as it lives, so after the stage too.
+MOST = 1_000_000
 _JOIN = 2048
 
 
@@ -33,10 +33,11 @@ def default_tokenizer() -> str:
 class Encoder:
     """``ids(texts)``: for each text its ids as little-endian unsigned 16-bit integers.
 
-    ``path`` is a tokenizer file with byte-level pieces and fewer than 65,536 ids.
+    ``path`` is a tokenizer file with byte-level pieces and fewer than 65,536 ids; about ``most`` pieces are remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST):
+        self.most = most
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -67,7 +68,7 @@ class Encoder:
         got = list(map(self.known.get, pieces))
         missing = list(compress(range(len(got)), map(not_, got)))
         if missing:
-            if len(self.known) > _MOST:  # what these texts need stays: it holds the frequent pieces
+            if len(self.known) > self.most:  # what these texts need stays: it holds the frequent pieces
                 self.known = {p: x for p, x in zip(pieces, got) if x}
             self._learn({pieces[i] for i in missing})
             for i in missing:
@@ -89,6 +90,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = MOST) -> Encoder:
     """One encoder a worker process."""
-    return Encoder(path)
+    return Encoder(path, most)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchlens.llm import scratch
-from batchlens.llm.bpe import default_tokenizer, encoder
+from batchlens.llm.bpe import MOST, default_tokenizer, encoder
 from batchlens.llm.words import sliced
 
 PER_TASK = 16_384
@@ -59,14 +59,14 @@ def best_fit(sizes: np.ndarray, room: int) -> list[list[int]]:
     return bins
 
 
-def token_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, remembered: int = MOST) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of all documents, cut to ``size`` ids at most."""
     path, end = tokenizer or default_tokenizer(), np.array([end_id], "<u2").tobytes()
 
     def run(batches):
         for batch in sliced(batches, "text", 1 << 20):
             row, piece, start, length, crc, parts = [], [], [], [], [], []
-            for r, ids in enumerate(encoder(path).ids(batch.column("text").to_pylist())):
+            for r, ids in enumerate(encoder(path, remembered).ids(batch.column("text").to_pylist())):
                 ids = np.frombuffer(ids + end, "<u2")
                 cuts = [0, *range(len(ids) % size or size, len(ids), size), len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -151,9 +151,9 @@ def sequences(pieces: DataFrame, size: int, slack: int = 4) -> DataFrame:
     return every.withColumn("sequence_id", F.monotonically_increasing_id()).mapInArrow(places, "key long, sequence_id long, offset long")
 
 
-def packed_sequences(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Every piece of ``docs`` (doc_id, text) with its sequence_id and offset; ``with_ids`` adds its ids."""
-    pieces = token_pieces(docs, size, tokenizer, end_id, with_ids).withColumn("key", F.monotonically_increasing_id())
+def packed_sequences(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, remembered: int = MOST) -> DataFrame:
+    """Every piece of ``docs`` (doc_id, text) with its sequence_id and offset; ``with_ids`` adds its ids; a worker remembers about ``remembered`` pieces of text."""
+    pieces = token_pieces(docs, size, tokenizer, end_id, with_ids, remembered).withColumn("key", F.monotonically_increasing_id())
     pieces = scratch.saved(pieces, "pieces")
     return pieces.join(sequences(pieces, size), "key").drop("key")
 

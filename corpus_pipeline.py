@@ -27,9 +27,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.cleaned(docs)
 
 
+#: Pieces of text that packing remembers: fewer than alone, as the workers of all stages live on.
+REMEMBERED = 300_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the token pieces of all documents into sequences of 2048 (``packed_sequences(docs, with_ids=True)`` also gives their ids)."""
-    return packing.packed_sequences(docs)
+    return packing.packed_sequences(docs, remembered=REMEMBERED)
 
 
 STAGES = [
