@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from batchlens.sources.xlsx import workbook_rows
 
@@ -51,6 +52,36 @@ def read_cells(spark: SparkSession, paths: str | list[str], encoding: str = "utf
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, CELLS)
 
 
+LINES = "path string, row int, cells array<string>, note string"
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "utf-8-sig", delimiter: str = ",", most: int = 1 << 12) -> DataFrame:
+    """The same files with a row a line that has cells, ``most`` lines a batch at most; ``note`` is set on a file's first line only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "row", "cells", "note"]
+        for files in frames:
+            for path, raw in zip(files["path"], files["content"]):
+                text, note = decoded(bytes(raw), encoding)
+                rows = []
+                for r, line in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)):
+                    if line:
+                        rows.append((path, r, line, None if r else note))
+                    if len(rows) >= most:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
+
+    paths = [paths] if isinstance(paths, str) else paths
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, LINES)
+
+
+def lines_of(cells: DataFrame) -> DataFrame:
+    """A table of cells with a row a line."""
+    ordered = F.array_sort(F.collect_list(F.struct("col", "value")))
+    return cells.groupBy("path", "row").agg(ordered["value"].alias("cells"), F.max("note").alias("note"))
+
+
 EXPORT_CELLS = "path string, delimiter string, encodings array<string>, row int, col int, value string, note string"
 
 

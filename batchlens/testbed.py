@@ -49,7 +49,7 @@ rs as (
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Samples and results of the view."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").repartition("l_orderkey")  # once, for the groups and the join
     sql = VIEW.replace("from orders)", "from {orders})").replace("from lineitem ", "from {lineitem} ")
     samples = spark.sql(sql + "select batch_id, seq, name, sample_type, level, parent_name, istd from sm", orders=orders, lineitem=lines)
     results = spark.sql(sql + "select batch_id, seq, label, conc, intensity, below_dl, dl, rsd_pct from rs", orders=orders, lineitem=lines)
@@ -100,11 +100,15 @@ def exports(spark: SparkSession, sf_dir: str) -> str:
     labels = [f"L{i}" for i in range(1, 8)]
     cell = F.when(F.col("below_dl"), F.concat(F.lit("<"), F.col("dl").cast("string"))).otherwise(F.col("conc").cast("string"))
     of = lambda label, value: F.coalesce(F.max(F.when(F.col("label") == label, value)), F.lit(""))
-    wide = t["results"].groupBy("batch_id", "seq").agg(F.concat_ws(",", *(of(x, cell) for x in labels), *(of(x, F.col("intensity").cast("string")) for x in labels)).alias("cells"))
     kind = F.coalesce(*[F.when(F.col("sample_type") == k, v) for k, v in _WRITTEN.items()], "sample_type")
-    lines = t["samples"].join(wide, ["batch_id", "seq"], "left").select("batch_id", "seq", F.concat_ws(",", F.col("seq").cast("string"), "name", kind, F.coalesce(F.col("level").cast("string"), F.lit("")), F.coalesce("cells", F.lit("," * 13))).alias("value"))
     head = ",".join(["Seq", "Sample Name", "Type", "Level [ppb]", *(f"{x} Conc. [ppb]" for x in labels), *(f"{x} CPS" for x in labels)])
-    heads = t["samples"].select("batch_id").distinct().select("batch_id", F.lit(0).alias("seq"), F.lit(head).alias("value"))
+    first = F.struct("seq", F.concat_ws(",", F.col("seq").cast("string"), "name", kind, F.coalesce(F.col("level").cast("string"), F.lit(""))).alias("first"))
+    firsts = F.inline(F.when(F.col("seq") == 1, F.array(F.struct(F.lit(0).alias("seq"), F.lit(head).alias("first")), first)).otherwise(F.array(first)))
+    samples = t["samples"].select("batch_id", firsts)
+    results = t["results"].select("batch_id", "seq", "label", cell.alias("cell"), F.col("intensity").cast("string").alias("intensity"))
+    rows = samples.unionByName(results, allowMissingColumns=True).repartition("batch_id").groupBy("batch_id", "seq")
+    line = F.concat_ws(",", F.max("first"), *(of(x, F.col("cell")) for x in labels), *(of(x, F.col("intensity")) for x in labels))
+    lines = rows.agg(F.when(F.col("seq") == 0, F.max("first")).otherwise(line).alias("value"))
     path = shared_folder(spark)
-    heads.unionByName(lines).repartition("batch_id").sortWithinPartitions("batch_id", "seq").select("batch_id", "value").write.partitionBy("batch_id").text(path)
+    lines.sortWithinPartitions("batch_id", "seq").select("batch_id", "value").write.partitionBy("batch_id").text(path)
     return path

@@ -6,6 +6,7 @@ import pytest
 from exports import ANALYTES, wide_export
 from pyspark.sql import functions as F
 
+from batchlens.model import cut
 from batchlens.plans.engine import run
 from batchlens.plans.packs import resolve
 from batchlens.sinks.report import as_html, batch_report, write_report
@@ -16,7 +17,7 @@ from batchlens.sources.crm import load_library
 from batchlens.sources.detect import companion, read_batch
 from batchlens.sources.templates import classify, load_template, template_of
 from batchlens.sources.transposed import emission_frames, looks_like_emission_workbook, read_isotope_folder, read_isotope_summary
-from batchlens.sources.wide import read_wide
+from batchlens.sources.wide import read_wide, read_wide_results
 
 
 def test_wide_export(spark, tmp_path):
@@ -174,3 +175,27 @@ def test_review_and_accept(spark, tmp_path):
     assert "FileNotFoundError" in review(validation(spark, "nothing", str(path)))
     saved = accepted(template.read_text(), "mine", str(tmp_path))
     assert saved.name == "mine.template.yaml" and load_template(str(saved)).id == "mine"
+
+
+def test_results_of_a_line_stay_with_it(spark, tmp_path):
+    edits = {("S001", "9 Be Conc. [ppb]"): "<0.05", ("S002", "9 Be Conc. [ppb]"): "", ("S003", "Type"): "", ("S004", "Type"): "PrepBlank"}
+    wide_export(str(tmp_path / "a.csv"), edits=edits)
+    wide_export(str(tmp_path / "b.csv"), bom=True)
+    with open(tmp_path / "a.csv", "a") as out:
+        out.write("\n,,\n ,\nshort\n")  # an empty line, blank ones, and one that ends before its type
+    b = read_wide(spark, str(tmp_path / "*.csv"))
+    got = read_wide_results(spark, str(tmp_path / "*.csv"))
+    joined = b.samples.select("batch_id", "row_pos", "name", "type", "level").join(b.results, ["batch_id", "row_pos"]).select(got.columns)
+    assert got.count() == joined.count() > 0 and got.exceptAll(joined).count() == 0
+    assert b.batches.where("array_contains(warnings, '1 empty row(s) dropped')").count() == 1
+
+
+def test_tables_between_stages_are_small(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    kept = cut(spark.range(20_000).selectExpr("repeat('folder/', 30) as path", "cast(id % 7 as string) as value"))
+    assert kept.count() == 20_000 and size() - before < 500_000
