@@ -54,8 +54,12 @@ class BatchFrames:
         return self.samples.where(self.samples["type"].isin(*types))
 
     def cached(self) -> BatchFrames:
-        """The same tables, computed once for a run of several checks."""
-        return replace(self, **{f.name: cut(getattr(self, f.name)) for f in fields(self)})
+        """The same tables, computed once for a run of several checks.
+
+        These are checkpoints, not Parquet: by its small files Spark would take tables that grow for ones to broadcast.
+        """
+        keep = "checkpoint" if self.batches.sparkSession.sparkContext.getCheckpointDir() else "persist"
+        return replace(self, **{f.name: getattr(getattr(self, f.name), keep)() for f in fields(self)})
 
     def union(self, other: BatchFrames) -> BatchFrames:
         """Both sets of batches."""
