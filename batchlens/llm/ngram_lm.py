@@ -218,12 +218,17 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
-def _trie(node: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, total_of) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The arrays of one shard's trie from its n-grams in any order; the nodes and how many successors each has."""
+def _trie(ngrams: list[np.ndarray], total_of) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The arrays of one shard's trie from its n-grams (node, b, c, counts) in any order, which are taken out of the list; the nodes and how many successors each has."""
+    node, b, c, n = ngrams
+    ngrams.clear()
     nodes, at = np.unique(node, return_inverse=True)
+    del node
     pair = (at.astype(np.uint64) << np.uint64(32)) | b
+    del at, b
     order = np.lexsort((c, pair))
     pair, c, n = pair[order], c[order], n[order].astype(np.float64)
+    del order
     pair_first = _runs(pair)
     pair_values = pair[pair_first]
     pair_n = np.add.reduceat(n, pair_first)
@@ -234,6 +239,7 @@ def _trie(node: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, total_o
     triple = (rank.astype(np.uint64) << np.uint64(32)) | c
     keep = c > 0
     triple, m = triple[keep], n[keep]
+    del rank, keep, pair, c, n
     first = _runs(triple) if len(triple) else np.zeros(0, np.int64)
     values = triple[first]
     triple_n = np.add.reduceat(m, first) if len(first) else m
@@ -308,7 +314,9 @@ def train(training: DataFrame) -> Model:
                 whole = pa.decompress(raw[8:], decompressed_size=int(np.frombuffer(raw[:8], "<i8")[0]), codec="zstd", asbytes=True)
                 node, length, b, c, n = unpack_arrays(np.frombuffer(whole, np.uint8))
                 got.append((np.repeat(node, length), b, c, n))
-            arrays, nodes, size = _trie(*(np.concatenate(x) for x in zip(*got)), total_of)
+            joined = [np.concatenate(x) for x in zip(*got)]
+            got = whole = node = length = b = c = n = None  # a shard's parts and its joined arrays needn't be there at once
+            arrays, nodes, size = _trie(joined, total_of)
             scratch.put_bytes(f"{path}/ngrams-{s}", pack_arrays(arrays))
             split = np.isin(nodes, known)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([nodes[split].view(np.int64)], pa.list_(pa.int64())), pa.array([size[split]], pa.list_(pa.int64()))], ["shard", "nodes", "sizes"])
