@@ -164,12 +164,13 @@ def crm_recovery(b: BatchFrames, params: dict, values: DataFrame, patterns: Data
     """Recovery of certified elements in samples whose name matches a reference material (the first in the library).
 
     ``values``: lib_pos, crm_id, unit, element, value, uncertainty, value_type; ``patterns``: lib_pos, crm_id, pattern (Java syntax).
-    Each distinct name is matched once, and only with patterns whose text it holds.
+    Each distinct name is matched once, and only with patterns whose text it holds. The values of the library, which the driver loads,
+    go to every task: by material and element all results of one would meet in one.
     """
     lo, hi = window(params, default=(80, 120))
     named = matched_names(b.samples.select("name").distinct(), patterns).groupBy("name").agg(F.min(F.struct("lib_pos", "crm_id")).alias("m"))
     hits = b.samples.join(named, "name").select("batch_id", "row_pos", "name", "m.lib_pos", "m.crm_id")
-    rows = every_result(b, hits).join(values.drop("crm_id").withColumnRenamed("unit", "certified_unit"), ["lib_pos", "element"])
+    rows = every_result(b, hits).join(F.broadcast(values.drop("crm_id").withColumnRenamed("unit", "certified_unit")), ["lib_pos", "element"])
     expected = converted(F.col("value"), F.col("certified_unit"), F.coalesce("unit", F.lit("ppb")))
     rows = recovery(rows.withColumn("expected", expected), F.col("expected"), F.lit(lo), F.lit(hi))
     ok = F.when(F.col("value_type") != "information", F.col("ok"))

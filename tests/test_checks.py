@@ -8,6 +8,7 @@ from batchlens.model import frames
 from batchlens.operators import pairs, recoveries
 from batchlens.plans.engine import CATALOG, outcomes, run, verdict
 from batchlens.plans.packs import load_pack
+from batchlens.sources.crm import PATTERNS, VALUES
 from batchlens.sources.wide import read_wide
 
 LOQ = {"loq_ppb": {"default": 0.1}}
@@ -134,3 +135,20 @@ def test_packs(spark):
     results, _ = run(b, {"checks": {"precision_rsd": {"params": {"types": ["WRONG"]}}, "unknown_check": {}}})
     rows = results.collect()
     assert len(rows) == 1 and rows[0]["outcome"] == "NOT_EVALUATED" and "check error" in rows[0]["reason"]
+
+
+def test_results_of_one_material_spread_over_tasks(spark):
+    values = spark.createDataFrame([(0, "w", "ppb", "Cr", 10.0, None, "certified"), (0, "w", "ppb", "Fe", 1.0, None, "certified")], VALUES)
+    patterns = spark.createDataFrame([(0, "w", "^W")], PATTERNS)
+    b = batch(spark, [(f"W{i}", "SAMPLE", None, None) for i in range(60)] + [("S", "SAMPLE", None, None)], results=[(i + 1, "A", 10.0 if i % 2 else 50.0, None, False, None, None) for i in range(61)])
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        rows = recoveries.crm_recovery(b, {}, values, patterns).details.select("name", "ok", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["name"]: r["ok"] for r in rows} == {f"W{i}": i % 2 == 1 for i in range(60)} and len(rows) == 60
+    assert len({r["task"] for r in rows}) > 1
