@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, inside Spark tasks.
 
 The tokenizers library makes every id. As the vocabulary splits a text into pieces
-that are encoded alone, each worker remembers the ids of pieces it has met (a bounded
-number) and hands the library the new ones only. Texts with characters
+that are encoded alone, and no piece goes on over a space after something else, each worker cuts
+texts at spaces, remembers the ids of pieces it has met (a bounded number) and hands the library's model the new pieces only. Texts with characters
 outside the plain Latin range, where this module's split could differ from the
 library's, go to the library whole.
 """
@@ -10,6 +10,7 @@ library's, go to the library whole.
 from __future__ import annotations
 
 import re
+from codecs import charmap_decode
 from functools import lru_cache
 from itertools import chain, compress, islice
 from operator import not_
@@ -18,9 +19,15 @@ import numpy as np
 
 _UNSURE = re.compile("[^\x00-ɏ]|[²³¹¼-¾\x1c-\x1f]")
 _PIECE = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# A space where a text must not be cut: white space before it, and more of it or the end after it, are one piece.
+_JOINED = re.compile(r"\s (?!\S)")
 #: Pieces that a worker remembers (about 130 bytes each); a worker keeps them as long as it lives, so after the stage too.
 MOST = 1_000_000
-_JOIN = 2048
+# How byte-level vocabularies write bytes: those that show as themselves, all others as characters from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_rest = iter(range(256, 512))
+_BYTES = "".join(chr(i if i in _SHOWN else next(_rest)) for i in range(256))
+_ENDS = frozenset(".,;:!?")
 
 
 def default_tokenizer() -> str:
@@ -44,35 +51,45 @@ class Encoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # Whether an id begins with a space, written as the character below: words begin there and nowhere else.
-        self.begins = np.zeros(1 << 16, bool)
-        self.begins[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model if self.library.normalizer is None else None
+        self.raw = [i.to_bytes(2, "little") for i in range(1 << 16)]
+        self.units: dict[str, bytes] = {}  # pieces with a space before them, by what follows it
+        self.known: dict[str, bytes] = {}  # pieces without a space before them
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        words = [p for p in new if p[0] == " " and p[1:2].isalpha()]
-        for i in range(0, len(words), _JOIN):
-            part = words[i : i + _JOIN]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u2")
-            raw, ends = ids.tobytes(), [*(np.flatnonzero(self.begins[ids]) * 2).tolist(), 2 * len(ids)]
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
-        for p in new:
-            if p not in self.known:
-                self.known[p] = self._whole(p)
-
-    def _looked_up(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece; those not met before are learnt together."""
-        got = list(map(self.known.get, pieces))
+    def _encoded(self, piece: str) -> bytes:
+        """The ids of one piece, by the library's model alone where nothing else would change the piece."""
+        if self.model is None:
+            return self._whole(piece)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", _BYTES)[0])])
+
+    def _piece(self, piece: str) -> bytes:
+        known, key = (self.units, piece[1:]) if piece[0] == " " and len(piece) > 1 and not piece.isspace() else (self.known, piece)
+        x = known.get(key)
+        if x is None:
+            x = known[key] = self._encoded(piece)
+        return x
+
+    def _looked_up(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit with the space before it."""
+        got = list(map(self.units.get, units))
         missing = list(compress(range(len(got)), map(not_, got)))
-        if missing:
-            if len(self.known) > self.most:  # what these texts need stays: it holds the frequent pieces
-                self.known = {p: x for p, x in zip(pieces, got) if x}
-            self._learn({pieces[i] for i in missing})
-            for i in missing:
-                got[i] = self.known[pieces[i]]
+        if len(self.units) + len(self.known) > self.most and missing:  # what these texts need stays: it holds the frequent ones
+            self.units, self.known = {u: x for u, x in zip(units, got) if x}, {}
+        for i in missing:
+            u = units[i]
+            x = self.units.get(u)
+            if x is None:
+                if u.isalpha():
+                    x = self.units[u] = self._encoded(" " + u)
+                elif u[-1:] in _ENDS and u[:-1].isalpha():  # a word and one mark: two pieces
+                    x = self._piece(" " + u[:-1]) + self._piece(u[-1])
+                else:
+                    x = b"".join(map(self._piece, _PIECE.findall(" " + u)))
+            got[i] = x
         return got
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
@@ -83,9 +100,9 @@ class Encoder:
                 t = t or ""
                 odd = not t.isascii() and _UNSURE.search(t) or any(s in t for s in self.special)
                 odd = odd or t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f")
-                split.append(self._whole(t) if odd else _PIECE.findall(t))
-            got = iter(self._looked_up(list(chain.from_iterable(x for x in split if isinstance(x, list)))))
-            out += [x if isinstance(x, bytes) else b"".join(islice(got, len(x))) for x in split]
+                split.append(self._whole(t) if odd else b"".join(map(self._piece, _PIECE.findall(t))) if _JOINED.search(t) else t.split(" "))
+            got = iter(self._looked_up(list(chain.from_iterable(islice(x, 1, None) for x in split if isinstance(x, list)))))
+            out += [x if isinstance(x, bytes) else b"".join([*map(self._piece, _PIECE.findall(x[0])), *islice(got, len(x) - 1)]) for x in split]
         return out
 
 

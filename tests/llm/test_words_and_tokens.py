@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from batchlens.llm import eliasfano, packing, rans, words
-from batchlens.llm.bpe import default_tokenizer, encoder
+from batchlens.llm.bpe import Encoder, default_tokenizer, encoder
 
 ROWS = [(3, "Hello, world! it's 42  times\n\n naïve ²x"), (1, None), (2, ""), (1, "same"), (1, "same"), (None, "no id"), (7, "ab <|endoftext|> cd"), (9, "x" * 5000 + " " + "longer words " * 2500), (8, "日本 text\x1c\x85 é")]
 SCHEMA = "doc_id long, text string"
@@ -116,3 +116,11 @@ def test_elias_fano():
         assert (same == np.isin(keys, v)).all() and (not n or (v[at[same]] == keys[same]).all())
         if n:
             assert (e.access(np.arange(n)) == v).all()
+
+
+def test_texts_are_cut_at_spaces_without_remembering_more_than_pieces():
+    e = Encoder(default_tokenizer(), most=20)
+    texts = ["a  b", "a   b ", " a\n b", "a\n  b", "a \n", "\n \n x", "it's 's 12 _ ... é\xa0 ç", "two words, one mark.", "mark. words, two"]
+    for _ in range(3):
+        assert [list(np.frombuffer(x, "<u2")) for x in e.ids(texts)] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "words" in e.units and "words," not in e.units and "mark." not in e.units
