@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from batchlens.llm import eliasfano, packing, rans, words
-from batchlens.llm.bpe import default_tokenizer, encoder
+from batchlens.llm.bpe import Encoder, default_tokenizer, encoder
 
 ROWS = [(3, "Hello, world! it's 42  times\n\n naïve ²x"), (1, None), (2, ""), (1, "same"), (1, "same"), (None, "no id"), (7, "ab <|endoftext|> cd"), (9, "x" * 5000 + " " + "longer words " * 2500), (8, "日本 text\x1c\x85 é")]
 SCHEMA = "doc_id long, text string"
@@ -43,6 +43,33 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library_ids(t) for t in texts]
 
 
+def test_encoder_equals_the_library_on_random_texts():
+    rng = random.Random(5)
+    signs = list("aB1_'\" \t\n\r\x0b\x85\xa0é ß-.,stvremldɏª´²\x1c日😀") + ["'s", "'re", "'ll", "<|endoftext|>"]
+    small = Encoder(default_tokenizer(), most=50)
+    texts = ["it'", "s", "a'r", "e", " ", "\n", "b"] + [None if rng.random() < 0.03 else "".join(rng.choices(signs[: rng.choice([16, 30, 99])], k=rng.randrange(30))) for _ in range(6000)]
+    column = pa.array(["cut off", *texts])[1:]
+    got = [x for i in range(0, len(texts), 200) for x in small.ids(column[i : i + 200])]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library_ids(t) for t in texts]
+    assert small.ids(pa.array([], pa.string())) == [] and small.ids(pa.array([None, ""])) == [b"", b""]
+
+
+def test_pieces_are_looked_up_once_a_slice():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    texts = ["one two, it's two" * 50, " one\n" * 300, "two one " * 300]
+    encoder_ = Encoder(default_tokenizer())
+    first = encoder_.ids(texts)
+    encoder_.known = Counted(encoder_.known)
+    assert encoder_.ids(texts) == first and 0 < encoder_.known.asked < 20
+    assert [np.frombuffer(x, "<u2").tolist() for x in first] == [library_ids(t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 16384, 16385, 40000])
 def test_rans_round_trip(n):
     ids = np.random.default_rng(n).choice([0, 3, 3, 3, 900, 50256], n).astype(np.uint16)
