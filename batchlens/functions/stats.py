@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
-def pearson(y: Column, x: Column) -> Column:
-    """Pearson's r; 0.0 where either side is constant."""
-    sxx, syy = F.regr_sxx(y, x), F.regr_syy(y, x)
-    return F.when((sxx <= 0) | (syy <= 0), F.lit(0.0)).otherwise(F.regr_sxy(y, x) / F.sqrt(sxx * syy))
+def pearson(y: Column, x: Column, by: WindowSpec | None = None) -> Column:
+    """Pearson's r, of a group or over a window; 0.0 where either side is constant."""
+    sxx, syy, sxy = (f(y, x) if by is None else f(y, x).over(by) for f in (F.regr_sxx, F.regr_syy, F.regr_sxy))
+    return F.when((sxx <= 0) | (syy <= 0), F.lit(0.0)).otherwise(sxy / F.sqrt(sxx * syy))
 
 
 def count_if(condition: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.model import BatchFrames
+from batchlens.model import BatchFrames, carries
 
 KEY = ("batch_id", "row_pos")
 
@@ -62,7 +62,13 @@ def analytes(b: BatchFrames) -> DataFrame:
 
 
 def every_result(b: BatchFrames, samples: DataFrame) -> DataFrame:
-    """A row for each of the samples and each analyte of its batch, with its result where there is one."""
+    """A row for each of the samples and each analyte of its batch, with its result where there is one.
+
+    Of samples that carry their results there are rows with a result only: the others decide nothing.
+    """
+    if carries(samples):
+        own = [c for c in samples.columns if c not in ("results", "cps", "flagged")]
+        return samples.select(*own, F.inline("results")).where("pos is not null").withColumn("below_dl", F.coalesce("below_dl", F.lit(False)))
     columns = b.results.select("batch_id", "row_pos", "label", "conc", "unit", "intensity", F.coalesce("below_dl", F.lit(False)).alias("below_dl"), "dl", "rsd_pct")
     return samples.join(analytes(b), "batch_id").join(columns, [*KEY, "label"], "left")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from batchlens.functions.stats import pearson
 from batchlens.functions.units import converted
-from batchlens.model import ANALYSIS_TYPES, BatchFrames
+from batchlens.model import ANALYSIS_TYPES, BatchFrames, carries
 from batchlens.operators.base import Check, analytes, blank_limit, blank_ok, blocked_below, every_result, loq, recovery, unblocked, window
 from batchlens.operators.names import matched_names
 
@@ -164,18 +164,25 @@ def crm_recovery(b: BatchFrames, params: dict, values: DataFrame, patterns: Data
     """Recovery of certified elements in samples whose name matches a reference material (the first in the library).
 
     ``values``: lib_pos, crm_id, unit, element, value, uncertainty, value_type; ``patterns``: lib_pos, crm_id, pattern (Java syntax).
-    Each distinct name is matched once, and only with patterns whose text it holds. The values of the library, which the driver loads,
-    go to every task: by material and element all results of one would meet in one.
+    Each distinct name is matched once, and only with patterns whose text it holds; samples that carry their results stay where they are and
+    are matched with all patterns in turn. The values of the library, which the driver loads, go to every task: by material and element all results of one would meet in one.
     """
     lo, hi = window(params, default=(80, 120))
-    named = matched_names(b.samples.select("name").distinct(), patterns).groupBy("name").agg(F.min(F.struct("lib_pos", "crm_id")).alias("m"))
-    hits = b.samples.join(named, "name").select("batch_id", "row_pos", "name", "m.lib_pos", "m.crm_id")
+    library = patterns.collect()
+    if carries(b.samples):
+        first = sorted((r["lib_pos"], r["crm_id"], r["pattern"]) for r in library if r["pattern"] is not None)
+        found = [F.when(F.col("name").rlike(p), F.struct(F.lit(pos).alias("lib_pos"), F.lit(crm_id).alias("crm_id"))) for pos, crm_id, p in first]
+        hits = b.samples.withColumn("m", F.coalesce(*found)).where("m is not null") if found else b.samples.withColumn("m", F.struct(F.lit(0).alias("lib_pos"), F.lit("").alias("crm_id"))).limit(0)
+        hits = hits.select("batch_id", "row_pos", "name", "m.lib_pos", "m.crm_id", "results")
+    else:
+        named = matched_names(b.samples.select("name").distinct(), patterns).groupBy("name").agg(F.min(F.struct("lib_pos", "crm_id")).alias("m"))
+        hits = b.samples.join(named, "name").select("batch_id", "row_pos", "name", "m.lib_pos", "m.crm_id")
     rows = every_result(b, hits).join(F.broadcast(values.drop("crm_id").withColumnRenamed("unit", "certified_unit")), ["lib_pos", "element"])
     expected = converted(F.col("value"), F.col("certified_unit"), F.coalesce("unit", F.lit("ppb")))
     rows = recovery(rows.withColumn("expected", expected), F.col("expected"), F.lit(lo), F.lit(hi))
     ok = F.when(F.col("value_type") != "information", F.col("ok"))
     within = F.abs(F.col("conc") - F.col("expected")) <= converted(F.col("uncertainty"), F.col("certified_unit"), F.coalesce("unit", F.lit("ppb")))
     out = rows.select(*_ROW, "crm_id", "element", "expected", "recovery_pct", within.alias("within_ref_uncert"), ok.alias("ok"))
-    ids = [r["crm_id"] for r in patterns.select("crm_id").distinct().orderBy("crm_id").collect()]
+    ids = sorted({r["crm_id"] for r in library})
     reason = f"no sample name matched any of the {len(ids)} material(s) in the library ({', '.join(ids)})" if ids else "CRM library is empty"
     return Check(out, blocked_below(b, hits, 1, reason))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchlens.model import BatchFrames
+from batchlens.model import BatchFrames, by_batch, carried_istd, carried_results, kept_by_batch
 
 #: The view that both engines read. Names: ``sample`` S and the sequence number, CRM for some controls.
 VIEW = """
@@ -46,38 +46,84 @@ rs as (
 """
 
 
+def _orders_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return orders, lines.repartition("l_orderkey")  # once, for the groups and the join
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Samples and results of the view."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").repartition("l_orderkey")  # once, for the groups and the join
+    orders, lines = _orders_and_lines(spark, sf_dir)
     sql = VIEW.replace("from orders)", "from {orders})").replace("from lineitem ", "from {lineitem} ")
     samples = spark.sql(sql + "select batch_id, seq, name, sample_type, level, parent_name, istd from sm", orders=orders, lineitem=lines)
     results = spark.sql(sql + "select batch_id, seq, label, conc, intensity, below_dl, dl, rsd_pct from rs", orders=orders, lineitem=lines)
     return {"samples": samples, "results": results}
 
 
+#: A sample of the view as one of the model.
+_SAMPLE = [
+    "batch_id", "seq as row_pos", "seq as seq_index", "name", "sample_type as type", "level", "parent_name", "cast(null as double) as dilution_factor", "cast(array() as array<string>) as flags",
+]
+
+
 def batch_frames(spark: SparkSession, sf_dir: str) -> BatchFrames:
     """The canonical tables of the view; L1 to L7 stand for emission lines of one element."""
     t = tables(spark, sf_dir)
+    samples = t["samples"].selectExpr(*_SAMPLE)
+    batches, analytes = _of_batches(t["samples"].select("batch_id").distinct())
+    results = t["results"].select("batch_id", F.col("seq").alias("row_pos"), "label", "conc", F.lit("ppb").alias("unit"), "intensity", "below_dl", "dl", "rsd_pct")
+    cps = t["samples"].select("batch_id", F.col("seq").alias("row_pos"), F.lit("IS").alias("istd_label"), F.col("istd").alias("cps"))
+    return BatchFrames(batches, analytes, samples, results, cps, _objections(results))
+
+
+def _of_batches(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Batches and analytes of these ids."""
     null = lambda kind: F.lit(None).cast(kind)
-    samples = t["samples"].select(
-        "batch_id", F.col("seq").alias("row_pos"), F.col("seq").alias("seq_index"), "name", F.col("sample_type").alias("type"), "level", "parent_name",
-        null("double").alias("dilution_factor"), F.array().cast("array<string>").alias("flags"),
-    )
-    ids = t["samples"].select("batch_id").distinct()
     batches = ids.select("batch_id", F.lit("orders").alias("source_path"), F.lit("testbed").alias("template_id"), F.lit("testbed").alias("instrument_family"), F.lit(True).alias("flags_column_mapped"), F.array().cast("array<string>").alias("warnings"))
     labels = ids.select("batch_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("pos")).select(
         "batch_id", "pos", F.lit("analyte").alias("role"), F.concat(F.lit("L"), F.col("pos").cast("string")).alias("label"), null("int").alias("mass"), F.lit("Xx").alias("element"),
         null("int").alias("mass_shift"), null("string").alias("mode"), (F.col("pos") * 100.0).alias("wavelength_nm"),
     )
     istd = ids.select("batch_id", F.lit(8).alias("pos"), F.lit("istd").alias("role"), F.lit("IS").alias("label"), null("int").alias("mass"), null("string").alias("element"), null("int").alias("mass_shift"), null("string").alias("mode"), null("double").alias("wavelength_nm"))
-    results = t["results"].select("batch_id", F.col("seq").alias("row_pos"), "label", "conc", F.lit("ppb").alias("unit"), "intensity", "below_dl", "dl", "rsd_pct")
-    cps = t["samples"].select("batch_id", F.col("seq").alias("row_pos"), F.lit("IS").alias("istd_label"), F.col("istd").alias("cps"))
-    flags = t["results"].where("rsd_pct > 7").select(
-        "batch_id", F.col("seq").alias("row_pos"), F.substring("label", 2, 4).cast("int").alias("flag_pos"), F.col("label").alias("analyte"), F.lit("CPS RSD").alias("metric"),
+    return batches, labels.unionByName(istd)
+
+
+def _objections(results: DataFrame) -> DataFrame:
+    """Flags on results that scatter."""
+    return results.where("rsd_pct > 7").select(
+        "batch_id", "row_pos", F.substring("label", 2, 4).cast("int").alias("flag_pos"), F.col("label").alias("analyte"), F.lit("CPS RSD").alias("metric"),
         F.col("rsd_pct").alias("value"), F.lit(7.0).alias("limit"), F.lit("high").alias("direction"), F.lit("over the allowed maximum").alias("text"),
     )
-    return BatchFrames(batches, labels.unionByName(istd), samples, results, cps, flags)
+
+
+#: What the view makes of a line ``l`` of a sample: concentration, and whether it is below the limit.
+_CONC = """case when sample_type in ('CAL_BLANK','CCB','MB') then l.d*1.2
+  when sample_type in ('CAL_STD','ICV','CCV','LCS') then level*(0.88+2.4*l.d) else l.q end"""
+_BELOW = "sample_type in ('CAL_BLANK','CCB','MB') and l.d = 0"
+_CARRIED = f"""transform(lines, l -> named_struct('label', concat('L', cast(l.l_linenumber as string)), 'pos', case when l.l_linenumber between 1 and 7 then cast(l.l_linenumber as int) end,
+  'element', 'Xx', 'wavelength_nm', cast(l.l_linenumber * 100.0 as double), 'conc', case when not ({_BELOW}) then {_CONC} end, 'unit', 'ppb',
+  'intensity', case when not ({_BELOW}) then {_CONC}*2000*(1+(l.t-0.04)/2) end, 'below_dl', {_BELOW}, 'dl', case when {_BELOW} then cast(0.05 as double) + l.t end, 'rsd_pct', l.t*100)) as results"""
+
+
+def carrying_frames(spark: SparkSession, sf_dir: str) -> BatchFrames:
+    """The tables of ``batch_frames`` with samples that carry their results, kept by batch (``BatchFrames.carrying``).
+
+    The lines are moved twice: to their order, and with it to its batch.
+    """
+    orders, lines = _orders_and_lines(spark, sf_dir)
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.min("l_tax").alias("t"))
+    lines = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "q", "d", "t")).alias("lines"))
+    orders = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    inner = VIEW[VIEW.index("(select *, concat(") : VIEW.index(" o),\ns1")]  # the orders with their batch
+    dealt = by_batch(spark.sql(inner[1:-1].replace("from orders", "from {orders}"), orders=orders), "batch")
+    sql = VIEW[: VIEW.index(",\nline as (")].replace(inner, "{dealt}").replace("parent_seq, istd\n", "parent_seq, istd, lines\n")
+    t = spark.sql(sql + " select * from sm", dealt=dealt)
+    samples = t.selectExpr(*_SAMPLE, _CARRIED, "array(named_struct('istd_label', 'IS', 'cps', istd)) as cps").withColumn("flagged", F.exists("results", lambda r: r["rsd_pct"] > 7))
+    samples = kept_by_batch(samples)
+    batches, analytes = _of_batches(samples.select("batch_id").distinct())
+    results = carried_results(samples)
+    return BatchFrames(batches, analytes, samples, results, carried_istd(samples), _objections(results))
 
 
 def shared_folder(spark: SparkSession) -> str:
