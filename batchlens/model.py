@@ -53,13 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, column: str = "batch_id") -> DataFrame:
-    """The same rows, dealt out by batch to as many tasks as any shuffle."""
+def dealt(df: DataFrame, column: str = "batch_id") -> DataFrame:
+    """The same rows, dealt out by a key to as many tasks as shuffles have: a number of its own, so that Spark doesn't merge small ones into tasks of much memory."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
 
 
 def kept_by_batch(df: DataFrame) -> DataFrame:
-    """Rows that ``by_batch`` dealt out, each batch in one bucket of a table in the folder for checkpoints; without one Spark keeps them.
+    """Rows that ``dealt`` gave, each batch in one bucket of a table in the folder for checkpoints; without one Spark keeps them.
 
     Windows, groups and joins of a batch then move no rows. The table's name is given up again, its files stay like those of ``cut``.
     """
@@ -116,7 +116,7 @@ class BatchFrames:
         results = self.results.join(lines, ["batch_id", "label"], "left").groupBy(*key).agg(F.collect_list(F.struct(*CARRIED)).alias("results"))
         cps = self.istd.groupBy(*key).agg(F.collect_list(F.struct("istd_label", "cps")).alias("cps"))
         flagged = b.flags.select(*key, F.lit(True).alias("flagged")).distinct()
-        samples = kept_by_batch(by_batch(self.samples.join(results, key, "left").join(cps, key, "left").join(flagged, key, "left")))
+        samples = kept_by_batch(dealt(self.samples.join(results, key, "left").join(cps, key, "left").join(flagged, key, "left")))
         return replace(b, samples=samples, results=carried_results(samples), istd=carried_istd(samples))
 
     def union(self, other: BatchFrames) -> BatchFrames:

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchlens.model import BatchFrames, by_batch, carried_istd, carried_results, kept_by_batch
+from batchlens.model import BatchFrames, carried_istd, carried_results, dealt, kept_by_batch
 
 #: The view that both engines read. Names: ``sample`` S and the sequence number, CRM for some controls.
 VIEW = """
@@ -49,12 +49,13 @@ rs as (
 def _orders_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
-    return orders, lines.repartition("l_orderkey")  # once, for the groups and the join
+    return orders, lines
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Samples and results of the view."""
     orders, lines = _orders_and_lines(spark, sf_dir)
+    lines = lines.repartition("l_orderkey")  # once, for the groups and the join
     sql = VIEW.replace("from orders)", "from {orders})").replace("from lineitem ", "from {lineitem} ")
     samples = spark.sql(sql + "select batch_id, seq, name, sample_type, level, parent_name, istd from sm", orders=orders, lineitem=lines)
     results = spark.sql(sql + "select batch_id, seq, label, conc, intensity, below_dl, dl, rsd_pct from rs", orders=orders, lineitem=lines)
@@ -112,13 +113,13 @@ def carrying_frames(spark: SparkSession, sf_dir: str) -> BatchFrames:
     The lines are moved twice: to their order, and with it to its batch.
     """
     orders, lines = _orders_and_lines(spark, sf_dir)
-    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.min("l_tax").alias("t"))
+    lines = dealt(lines, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.min("l_tax").alias("t"))
     lines = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "q", "d", "t")).alias("lines"))
     orders = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
     inner = VIEW[VIEW.index("(select *, concat(") : VIEW.index(" o),\ns1")]  # the orders with their batch
-    dealt = by_batch(spark.sql(inner[1:-1].replace("from orders", "from {orders}"), orders=orders), "batch")
-    sql = VIEW[: VIEW.index(",\nline as (")].replace(inner, "{dealt}").replace("parent_seq, istd\n", "parent_seq, istd, lines\n")
-    t = spark.sql(sql + " select * from sm", dealt=dealt)
+    orders = dealt(spark.sql(inner[1:-1].replace("from orders", "from {orders}"), orders=orders), "batch")
+    sql = VIEW[: VIEW.index(",\nline as (")].replace(inner, "{orders}").replace("parent_seq, istd\n", "parent_seq, istd, lines\n")
+    t = spark.sql(sql + " select * from sm", orders=orders)
     samples = t.selectExpr(*_SAMPLE, _CARRIED, "array(named_struct('istd_label', 'IS', 'cps', istd)) as cps").withColumn("flagged", F.exists("results", lambda r: r["rsd_pct"] > 7))
     samples = kept_by_batch(samples)
     batches, analytes = _of_batches(samples.select("batch_id").distinct())
